@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +39,23 @@ def land(raw: DataFrame, path: str) -> DataFrame:
     return raw.sparkSession.read.schema(safe.schema).parquet(path).toDF(*raw.columns)
 
 
-def _header(spark: SparkSession, path: str) -> list[str] | None:
-    try:
-        return read_raw_csv(spark, path).columns
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _find(spark: SparkSession, folder: str, names) -> dict[str, str]:
+    """Path of each named table under the folder, the plain one before its ``.gz``.
+
+    Only paths are listed; no file is opened. A table may be a folder of part files.
+    """
+    base = folder.rstrip("/")
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
+    )
+    found = {}
+    for name in names:
+        hit = F.regexp_extract("path", rf"/({re.escape(name)}(\.gz)?)(/[^/]+)?$", 1)
+        kinds = listed.select(hit.alias("file")).where(F.col("file") != "").distinct()
+        files = sorted(r["file"] for r in kinds.collect())
+        if files:
+            found[name] = f"{base}/{files[0]}"
+    return found
 
 
 def audit_sources(
@@ -53,17 +63,14 @@ def audit_sources(
 ) -> DataFrame:
     """One row per expected table: the file found (plain, else ``.gz``) and its faults."""
     contracts = {"requests.csv": settings.REQUEST_COLUMNS, "domains.csv": settings.DOMAIN_COLUMNS}
+    paths = _find(spark, folder, expected)
     rows = []
     for name, column in expected.items():
-        found, header = None, None
-        for path in (f"{folder.rstrip('/')}/{name}", f"{folder.rstrip('/')}/{name}.gz"):
-            header = _header(spark, path)
-            if header is not None:
-                found = path
-                break
+        path = paths.get(name)
+        header = read_raw_csv(spark, path).columns if path else []
         wanted = [column, *contracts.get(name, {})]
-        absent = sorted({c for c in wanted if c not in (header or [])})
-        rows.append((name, found, found is not None, column in (header or []), absent))
+        absent = sorted({c for c in wanted if c not in header})
+        rows.append((name, path, path is not None, column in header, absent))
     return spark.createDataFrame(
         rows, "source string, path string, present boolean, recognised boolean, missing array<string>"
     )

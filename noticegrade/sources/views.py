@@ -191,7 +191,8 @@ def certificate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         spike, F.concat(F.lit("match-live-"), user.cast("string"), F.lit(".xyz"))
     ).otherwise(F.concat(kind, F.lit("-"), user.cast("string"), F.lit("."), suffix))
     shown = F.when(F.col("event_id") % 3 == 0, F.upper(host)).otherwise(host)
-    micros = F.unix_micros("ts")
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz"))
     in_spike = F.lit(1_705_777_200_000_000) + F.pmod(micros, F.lit(900_000_000))
     seen = F.when(spike, in_spike).otherwise(micros)
     message = F.struct(

@@ -34,6 +34,8 @@ def with_views(*names: str) -> str:
 
     for n in names:
         add(n)
+    if not ordered:
+        return ""
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in ordered) + "\n"
 
 
