@@ -79,25 +79,23 @@ def running_before(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
+def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Rows per group and distinct value, as (group, _v, _n). Nulls and NaN are left out."""
+    return (
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        .groupBy(*group, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+
+
+def quantiles_of_counts(
+    counted: DataFrame,
     group: Sequence[str],
-    value: str,
     quantiles: Mapping[str, float],
     *,
     per_unit: int = BUCKETS_PER_UNIT,
 ) -> DataFrame:
-    """Interpolated quantiles of ``value`` per group: one row per group.
-
-    Gives what the exact ``percentile`` aggregate gives. That aggregate holds every
-    distinct value of a group in one task; here values are counted first and the
-    order statistics are looked up in the running counts. Nulls and NaN are left out.
-    """
-    counted = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    """Interpolated quantiles per group from (group, _v, _n) rows: one row per group."""
     located = running_before(
         counted, group, "_v", {"_n": "_before"}, totals={"_n": "_total"}, per_unit=per_unit
     )
@@ -113,3 +111,20 @@ def exact_quantiles(
         share = F.max(spot - F.floor(spot))
         outs.append((low + (high - low) * share).alias(name))
     return located.groupBy(*group).agg(*outs)
+
+
+def exact_quantiles(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    quantiles: Mapping[str, float],
+    *,
+    per_unit: int = BUCKETS_PER_UNIT,
+) -> DataFrame:
+    """Interpolated quantiles of ``value`` per group: one row per group.
+
+    Gives what the exact ``percentile`` aggregate gives. That aggregate holds every
+    distinct value of a group in one task; here values are counted first and the
+    order statistics are looked up in the running counts.
+    """
+    return quantiles_of_counts(value_counts(df, group, value), group, quantiles, per_unit=per_unit)

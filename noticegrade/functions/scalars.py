@@ -74,16 +74,16 @@ def share_or_zero(part: Column, whole: Column) -> Column:
 # ---- naming signals -------------------------------------------------------------
 
 
+def token_count(domain: Column, tokens: Iterable[str] = settings.SUSPICIOUS_TOKENS) -> Column:
+    """Number of distinct tokens that are substrings; ``sports`` also counts ``sport``."""
+    return reduce(add, (domain.contains(t).cast("int") for t in tokens))
+
+
 def has_token(domain: Column, tokens: Iterable[str] = settings.SUSPICIOUS_TOKENS) -> Column:
     """True if any token is a substring (not a word) of the domain."""
     return reduce(lambda a, b: a | b, (domain.contains(t) for t in tokens))
 
 
-def token_count(domain: Column, tokens: Iterable[str] = settings.SUSPICIOUS_TOKENS) -> Column:
-    """Number of distinct tokens contained; ``sports`` also counts ``sport``."""
-    return reduce(add, (domain.contains(t).cast("int") for t in tokens))
-
-
 def public_suffix(domain: Column, suffixes: Iterable[str] = settings.PUBLIC_SUFFIXES) -> Column:
     """Longest registered suffix that ends the domain at a label border, "" if none.
 
@@ -93,11 +93,11 @@ def public_suffix(domain: Column, suffixes: Iterable[str] = settings.PUBLIC_SUFF
     by_labels: dict[int, list[str]] = {}
     for s in suffixes:
         by_labels.setdefault(s.count(".") + 1, []).append(s)
-    found = F.lit(None).cast("string")
+    found = F.lit("")
     for n in sorted(by_labels):
         tail = F.substring_index(domain, ".", -n)
         found = F.when(tail.isin(by_labels[n]), tail).otherwise(found)
-    return F.coalesce(found, F.lit(""))
+    return found
 
 
 def last_label(domain: Column) -> Column:
@@ -110,9 +110,9 @@ def last_label(domain: Column) -> Column:
 def digit_ratio(domain: Column) -> Column:
     """Share of characters that are digits, 0.0 for an empty name."""
     length = F.length(domain)
-    digits = length - F.length(F.regexp_replace(domain, "[0-9]", ""))
+    digits = length - F.length(F.translate(domain, "0123456789", ""))
     return F.when(length > 0, digits.cast("double") / length).otherwise(F.lit(0.0))
 
 
 def hyphen_count(domain: Column) -> Column:
-    return F.length(domain) - F.length(F.replace(domain, F.lit("-"), F.lit("")))
+    return F.length(domain) - F.length(F.translate(domain, "-", ""))

@@ -7,77 +7,72 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with at least HOT_ROWS rows is joined by broadcast; at most HOT_KEYS of them
-# are, so the broadcast is bounded whatever the data size. A key below the top
-# HOT_KEYS holds less than 1/HOT_KEYS of all rows and shuffles normally.
+# Rows of one key that a task may take; a larger key is split over several tasks.
 HOT_ROWS = 1_000_000
+# At most this many keys are split. They come from a sketch of SKETCH_ITEMS counters,
+# which finds every key above roughly a thousandth of all rows.
 HOT_KEYS = 256
+SKETCH_ITEMS = 10_000
 SALTS = 64
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Column:
+    """Map from the hash of a key with many rows to the number of parts to split it in.
+
+    One scan of the key columns into a fixed-size sketch, no shuffle of keys. The map has
+    at most ``HOT_KEYS`` entries. Counts are estimates: they steer only how rows are
+    spread, never which rows match.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("_h"))
+    top = F.expr(f"approx_top_k(_h, {HOT_KEYS}, {SKETCH_ITEMS})")
+    parts = F.transform(
+        F.filter("_top", lambda t: t["count"] >= hot_rows),
+        lambda t: F.struct(t["item"], F.ceil(t["count"] / F.lit(hot_rows)).cast("bigint")),
+    )
+    return hashed.agg(top.alias("_top")).select(F.map_from_entries(parts)).scalar()
+
+
 def spread_left_join(
     facts: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
-    rows_col: str,
+    heavy: Column,
     spread_by: Sequence[str],
     *,
     null_safe: bool = False,
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Left join ``facts`` to ``lookup`` (one row per key), spreading the hot keys.
+    """Left join ``facts`` to ``lookup`` on ``keys``, splitting the heavy keys.
 
-    ``rows_col`` of ``lookup`` says how many fact rows a key has. The largest keys are
-    resolved by a small broadcast join. Their rows then go through the shuffle join
-    under a salt that matches nothing, so they scatter over all tasks instead of
-    meeting in one. Rows with a null key scatter the same way unless ``null_safe``.
+    ``heavy`` comes from ``heavy_keys``. Fact rows of a heavy key are dealt over its
+    parts by the hash of ``spread_by``, and its lookup rows are repeated once per part.
+    Rows with a null key match nothing, and are scattered, unless ``null_safe``.
     """
-    values = [c for c in lookup.columns if c not in (*keys, rows_col)]
-
-    def side(df: DataFrame, tag: str, *extra: Column) -> DataFrame:
-        return df.select(
-            *(F.col(k).alias(f"_{tag}_{k}") for k in keys),
-            *(F.col(v).alias(f"_{tag}_{v}") for v in values),
-            *extra,
-        )
-
-    def match(tag: str) -> Column:
-        cond = F.lit(True)
+    parts = F.try_element_at(heavy, F.xxhash64(*keys))
+    spread = F.xxhash64(*spread_by)
+    salt = F.coalesce(F.pmod(spread, parts), F.lit(0))
+    if null_safe:
+        on = F.lit(True)
+    else:
+        on, known = F.lit(True), F.lit(True)
         for k in keys:
-            a, b = F.col(k), F.col(f"_{tag}_{k}")
-            cond = cond & (a.eqNullSafe(b) if null_safe else a == b)
-        return cond
-
-    biggest = (
-        lookup.where(F.col(rows_col) >= hot_rows)
-        .orderBy(F.col(rows_col).desc(), *keys)
-        .limit(hot_keys)
-    )
-    hot = side(biggest, "hot", F.lit(True).alias("_is_hot"))
-    # least(rows, 0) is 0 but not a literal: a literal would be folded out of the join
-    # key. It also keeps both branches reading the same columns, so the aggregation
-    # below them is computed once and its exchange reused.
-    cold = side(lookup, "cold", F.least(F.col(rows_col), F.lit(0)).cast("long").alias("_cold_salt"))
-
-    scatter = F.col("_is_hot").isNotNull()
-    if not null_safe:
-        for k in keys:
-            scatter = scatter | F.col(k).isNull()
-    marked = facts.join(F.broadcast(hot), match("hot"), "left").withColumn(
-        "_salt",
-        F.when(scatter, 1 + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20))).otherwise(F.lit(0)),
-    )
-    joined = marked.join(cold, match("cold") & (F.col("_salt") == F.col("_cold_salt")), "left")
-    return joined.select(
-        *facts.columns,
-        *(
-            F.when(F.col("_is_hot").isNotNull(), F.col(f"_hot_{v}"))
-            .otherwise(F.col(f"_cold_{v}"))
-            .alias(v)
-            for v in values
+            known = known & F.col(k).isNotNull()
+        lookup = lookup.where(known)
+        salt = F.when(known, salt).otherwise(spread)
+    values = [c for c in lookup.columns if c not in keys]
+    side = lookup.select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys),
+        *values,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(parts, F.lit(1)) - 1)).alias(
+            "_part"
         ),
     )
+    for k in keys:
+        a, b = F.col(k), F.col(f"_k_{k}")
+        on = on & (a.eqNullSafe(b) if null_safe else a == b)
+    salted = facts.withColumn("_salt", salt)
+    return salted.join(side, on & (F.col("_salt") == F.col("_part")), "left").select(
+        *facts.columns, *values
+    )
 
 
 def top_k_per_group(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticegrade import settings
 from noticegrade.functions import scalars as S
-from noticegrade.functions.skew import HOT_ROWS, spread_left_join
+from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
 
 CLEAN_REQUEST_COLUMNS = (
     "request_id", "date", "reporting_org_id", "reporting_org", "copyright_owner_id",
@@ -44,7 +44,7 @@ def with_outcomes(df: DataFrame) -> DataFrame:
 
 
 def canonical_spellings(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Per id its most frequent spelling (ties: first in binary order) and its row count.
+    """Per id its most frequent spelling; ties go to the first in binary order.
 
     Two partial aggregations and no window: an id that owns a large share of the rows
     is reduced to its distinct spellings before anything meets in one task.
@@ -55,8 +55,8 @@ def canonical_spellings(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
     named = F.when(F.col(name_col).isNotNull(), F.struct(-F.col("_n"), F.col(name_col)))
     return (
         spellings.groupBy(id_col)
-        .agg(F.min(named).alias("_best"), F.sum("_n").alias("id_rows"))
-        .select(id_col, F.col(f"_best.{name_col}").alias("canonical_name"), "id_rows")
+        .agg(F.min(named).alias("_best"))
+        .select(id_col, F.col(f"_best.{name_col}").alias("canonical_name"))
     )
 
 
@@ -73,9 +73,13 @@ def canonicalise(
 
     Rows with a null id keep their own normalised name.
     """
-    names = canonical_spellings(df if spellings_from is None else spellings_from, id_col, name_col)
+    source = df if spellings_from is None else spellings_from
     joined = spread_left_join(
-        df, names, [id_col], "id_rows", [spread_by, name_col], hot_rows=hot_rows
+        df,
+        canonical_spellings(source, id_col, name_col),
+        [id_col],
+        heavy_keys(source, [id_col], hot_rows),
+        [spread_by, name_col],
     )
     return joined.withColumn(
         name_col, F.coalesce("canonical_name", S.clean_name(F.col(name_col)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noticegrade import settings
 from noticegrade.functions import scalars as S
 from noticegrade.functions.skew import HOT_ROWS
-from noticegrade.operators.history import add_prior_rate
+from noticegrade.operators.history import add_prior_rates
 
 
 def add_request_shape(df: DataFrame, input_prefix: str = "", output_prefix: str = "") -> DataFrame:
@@ -44,18 +44,18 @@ def add_request_features(
 
     Works at either grain through the prefixes.
     """
-    out = add_request_shape(df, input_prefix, output_prefix)
-    for group, name in (("reporting_org_id", "org"), ("copyright_owner_id", "owner")):
-        out = add_prior_rate(
-            out,
-            group,
-            f"{input_prefix}removal_rate",
-            f"{output_prefix}{name}_historical_hit_rate",
-            weight=weight,
-            spread_by=spread_by,
-            hot_rows=hot_rows,
-        )
-    return out
+    rate = f"{input_prefix}removal_rate"
+    dated = add_prior_rates(
+        df,
+        [
+            ("reporting_org_id", rate, f"{output_prefix}org_historical_hit_rate"),
+            ("copyright_owner_id", rate, f"{output_prefix}owner_historical_hit_rate"),
+        ],
+        weight=weight,
+        spread_by=spread_by,
+        hot_rows=hot_rows,
+    )
+    return add_request_shape(dated, input_prefix, output_prefix)
 
 
 def add_naming_features(
@@ -68,13 +68,12 @@ def add_naming_features(
 ) -> DataFrame:
     """What the domain's own name shows. No shuffle."""
     name = F.lower(F.coalesce("domain", F.lit("")))
-    suffix = S.public_suffix(name, suffixes)
-    return df.withColumns(
+    tld, count = f"{output_prefix}tld", f"{output_prefix}suspicious_token_count"
+    # two steps, so that the suffix and the count are worked out once
+    return df.withColumns({tld: S.public_suffix(name, suffixes), count: S.token_count(name, tokens)}).withColumns(
         {
-            f"{output_prefix}domain_has_suspicious_token": S.has_token(name, tokens).cast("int"),
-            f"{output_prefix}suspicious_token_count": S.token_count(name, tokens),
-            f"{output_prefix}tld": suffix,
-            f"{output_prefix}tld_is_risky": suffix.isin(list(risky)).cast("int"),
+            f"{output_prefix}domain_has_suspicious_token": (F.col(count) > 0).cast("int"),
+            f"{output_prefix}tld_is_risky": F.col(tld).isin(list(risky)).cast("int"),
             f"{output_prefix}domain_length": F.length(name),
             f"{output_prefix}digit_ratio": S.digit_ratio(name),
             f"{output_prefix}hyphen_count": S.hyphen_count(name),
@@ -89,19 +88,19 @@ def add_domain_features(
     output_prefix: str = "",
     *,
     suffixes: Sequence[str] = settings.PUBLIC_SUFFIXES,
+    history_from: DataFrame | None = None,
     spread_by: Sequence[str] = ("request_id",),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Naming features plus the exact domain's earlier hit rate. Needs ``date``."""
-    named = add_naming_features(df, tokens, output_prefix, suffixes=suffixes)
-    return add_prior_rate(
-        named,
-        "domain",
-        f"{input_prefix}removal_rate",
-        f"{output_prefix}domain_historical_hit_rate",
-        spread_by=spread_by,
-        hot_rows=hot_rows,
-    )
+    """Naming features plus the exact domain's earlier hit rate. Needs ``date``.
+
+    ``history_from``: see ``add_prior_rates``.
+    """
+    rate, out = f"{input_prefix}removal_rate", f"{output_prefix}domain_historical_hit_rate"
+    # history first: the naming columns then travel through no shuffle
+    return add_prior_rates(
+        df, [("domain", rate, out)], history_from=history_from, spread_by=spread_by, hot_rows=hot_rows
+    ).transform(lambda d: add_naming_features(d, tokens, output_prefix, suffixes=suffixes))
 
 
 def make_label(

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticegrade.functions.skew import HOT_ROWS, spread_left_join
+from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
 
 
 def prior_rate_table(
     df: DataFrame, group: str, rate: str, out: str, *, day: str = "date", weight: str | None = None
 ) -> DataFrame:
-    """Per (group, day) the mean of ``rate`` over strictly earlier days, and the rows.
+    """Per (group, day) the mean of ``rate`` over strictly earlier days.
 
     Rows are summed to days first, so the window of the largest group holds one row
     per calendar day. Rows without a date neither give nor get history; a null group
@@ -24,33 +24,40 @@ def prior_rate_table(
     daily = (
         df.where(F.col(day).isNotNull())
         .groupBy(group, day)
-        .agg(
-            F.sum(F.col(rate) * w).alias("_sum"),
-            F.sum(counted).alias("_n"),
-            F.count(F.lit(1)).alias("_rows"),
-        )
+        .agg(F.sum(F.col(rate) * w).alias("_sum"), F.sum(counted).alias("_n"))
     )
     earlier = Window.partitionBy(group).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     total, n = F.sum("_sum").over(earlier), F.sum("_n").over(earlier)
-    return daily.select(group, day, "_rows", F.when(n > 0, total / n).alias(out))
+    return daily.select(group, day, F.when(n > 0, total / n).alias(out))
 
 
-def add_prior_rate(
+def add_prior_rates(
     df: DataFrame,
-    group: str,
-    rate: str,
-    out: str,
+    specs: Sequence[tuple[str, str, str]],
     *,
     day: str = "date",
     weight: str | None = None,
+    history_from: DataFrame | None = None,
     spread_by: Sequence[str] = ("request_id",),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
+    """Add, per (group, rate, out), the group's mean rate over strictly earlier days.
+
+    ``history_from`` holds the same rows as ``df`` with fewer columns. The history
+    tables are made from it, not from a frame that already carries other joins, so the
+    work grows with the number of histories and not with their nesting.
+    """
+    source = df if history_from is None else history_from
+    for group, rate, out in specs:
+        table = prior_rate_table(source, group, rate, out, day=day, weight=weight)
+        heavy = heavy_keys(source, [group, day], hot_rows)
+        df = spread_left_join(df, table, [group, day], heavy, spread_by, null_safe=True)
+    return df
+
+
+def add_prior_rate(df: DataFrame, group: str, rate: str, out: str, **options) -> DataFrame:
     """Add ``out``: the group's mean ``rate`` over strictly earlier days, else null."""
-    table = prior_rate_table(df, group, rate, out, day=day, weight=weight)
-    return spread_left_join(
-        df, table, [group, day], "_rows", spread_by, null_safe=True, hot_rows=hot_rows
-    )
+    return add_prior_rates(df, [(group, rate, out)], **options)
 
 
 def add_prior_appearances(
@@ -74,13 +81,11 @@ def add_prior_appearances(
     table = daily.select(
         "domain",
         day,
-        "_rows",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("prior_appearances"),
         F.date_diff(
             F.col(day),
             F.min(day).over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         ).alias("domain_age_days"),
     )
-    return spread_left_join(
-        df, table, ["domain", day], "_rows", spread_by, null_safe=True, hot_rows=hot_rows
-    )
+    heavy = heavy_keys(df, ["domain", day], hot_rows)
+    return spread_left_join(df, table, ["domain", day], heavy, spread_by, null_safe=True)

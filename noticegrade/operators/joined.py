@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade import settings
+from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
 
 OUTCOMES = (
     "urls_specified", "urls_removed", "urls_no_action", "urls_not_in_index",
@@ -27,15 +28,25 @@ def request_context(requests: DataFrame) -> DataFrame:
     )
 
 
-def join_domains(domains: DataFrame, requests: DataFrame) -> DataFrame:
+def domain_grain(domains: DataFrame) -> DataFrame:
+    return prefix_outcomes(domains.select("request_id", "domain", *OUTCOMES), "domain")
+
+
+def attach_context(
+    domains: DataFrame, context: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Left join of domain rows to per-request columns, splitting very large requests."""
+    heavy = heavy_keys(domains, ["request_id"], hot_rows)
+    return spread_left_join(domains, context, ["request_id"], heavy, ["domain"])
+
+
+def join_domains(domains: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per (request, domain) with the request's context.
 
-    Domains without a request keep null context. One shuffle join on ``request_id``;
-    adaptive execution broadcasts a small side by its measured size and splits a
-    request that holds very many domains.
+    Domains without a request keep null context. One shuffle join on ``request_id``; a
+    side measured to be small is broadcast by adaptive execution.
     """
-    grain = prefix_outcomes(domains.select("request_id", "domain", *OUTCOMES), "domain")
-    return grain.join(request_context(requests), "request_id", "left")
+    return attach_context(domain_grain(domains), request_context(requests), hot_rows)
 
 
 def sample_requests(

@@ -7,17 +7,19 @@ sigmoid calibration; explanations come from one plain fit on all training rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from noticegrade import settings
-from noticegrade.functions.prefix import exact_quantiles
+from noticegrade.functions.prefix import quantiles_of_counts, value_counts
 from noticegrade.functions.storage import settle, shared_folder
 from noticegrade.operators.explain import (
     importance_contributions,
@@ -31,16 +33,17 @@ LINEAR, TREES = "logistic_regression", "gradient_boosted_trees"
 _SMALL_CLASS = 1000
 
 
-def impute_medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Exact median per feature, nulls left out; an all-null feature gets 0.0.
-
-    The features are stacked and grouped by value map-side, so distinct values travel,
-    not rows.
-    """
-    stacked = df.select(*(F.col(f).cast("double").alias(f) for f in features)).unpivot(
-        [], list(features), "feature", "value"
+def _stacked_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows per feature and value. Values are counted map-side, so they travel, not rows."""
+    stacked = df.select(*by, *(F.col(f).cast("double").alias(f) for f in features)).unpivot(
+        list(by), list(features), "feature", "value"
     )
-    medians = exact_quantiles(stacked, ["feature"], "value", {"median": 0.5})
+    return value_counts(stacked, [*by, "feature"], "value")
+
+
+def impute_medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Exact median per feature, nulls left out; an all-null feature gets 0.0."""
+    medians = quantiles_of_counts(_stacked_counts(df, features), ["feature"], {"median": 0.5})
     names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(medians, "feature", "left").select(
         "feature", F.coalesce("median", F.lit(0.0)).alias("median")
@@ -61,19 +64,65 @@ class Preparation:
     def scaled(self, f: str) -> Column:
         return (self.imputed(f) - F.lit(self.means[f])) / F.lit(self.scales[f])
 
-    @classmethod
-    def learn(cls, train: DataFrame, features: Sequence[str], scale: bool) -> Preparation:
-        medians = {r["feature"]: r["median"] for r in impute_medians(train, features).collect()}
-        prep = cls(medians)
-        if scale:
-            stats = train.agg(
-                *(F.avg(prep.imputed(f)).alias(f"mean_{f}") for f in features),
-                *(F.stddev_pop(prep.imputed(f)).alias(f"std_{f}") for f in features),
-            ).first()
-            prep.means = {f: stats[f"mean_{f}"] for f in features}
-            # a constant feature is centred and left unscaled
-            prep.scales = {f: stats[f"std_{f}"] or 1.0 for f in features}
-        return prep
+
+def learn_preparations(
+    rows: DataFrame, features: Sequence[str], rows_per_set: Sequence[int], scale: bool
+) -> list[Preparation]:
+    """Statistics of every training set in at most two passes over ``rows``.
+
+    Set i leaves out ``_fold`` i; the last set is all rows.
+    """
+    folds = len(rows_per_set) - 1
+    counted = _stacked_counts(rows, features, ["_fold"])
+    sets = F.filter(
+        F.sequence(F.lit(0), F.lit(folds)), lambda i: (i == folds) | (i != F.col("_fold"))
+    )
+    by_set = counted.withColumn("_set", F.explode(sets)).drop("_fold")
+    medians = quantiles_of_counts(by_set, ["_set", "feature"], {"median": 0.5}).collect()
+    preparations = [Preparation(dict.fromkeys(features, 0.0)) for _ in range(folds + 1)]
+    for r in medians:
+        preparations[r["_set"]].medians[r["feature"]] = r["median"]
+    if scale:
+        _add_scales(by_set, preparations, features, rows_per_set)
+    return preparations
+
+
+def _add_scales(
+    by_set: DataFrame,
+    preparations: list[Preparation],
+    features: Sequence[str],
+    rows_per_set: Sequence[int],
+) -> None:
+    """Mean and population deviation of the imputed features, from the value counts.
+
+    Sums are taken around the median: imputed rows then add nothing, and little is
+    lost to rounding.
+    """
+    centres = F.create_map(
+        *(
+            F.lit(x)
+            for i, prep in enumerate(preparations)
+            for f in features
+            for x in (f"{i}:{f}", float(prep.medians[f]))
+        )
+    )
+    off = F.col("_v") - centres[F.concat(F.col("_set").cast("string"), F.lit(":"), "feature")]
+    sums = (
+        by_set.withColumn("_off", off)
+        .groupBy("_set", "feature")
+        .agg(
+            F.sum(F.col("_n") * F.col("_off")).alias("first"),
+            F.sum(F.col("_n") * F.col("_off") * F.col("_off")).alias("second"),
+        )
+    )
+    for prep in preparations:
+        prep.means, prep.scales = dict(prep.medians), dict.fromkeys(features, 1.0)
+    for r in sums.collect():
+        prep, f, n = preparations[r["_set"]], r["feature"], rows_per_set[r["_set"]]
+        shift = r["first"] / n
+        prep.means[f] += shift
+        # a constant feature is centred and left unscaled
+        prep.scales[f] = max(r["second"] / n - shift * shift, 0.0) ** 0.5 or 1.0
 
 
 def _vector(df: DataFrame, columns: dict[str, Column], out: str) -> DataFrame:
@@ -89,9 +138,10 @@ class LinearFit:
     intercept: float
 
     @classmethod
-    def fit(cls, train: DataFrame, features: Sequence[str], label: str, **_) -> LinearFit:
-        prep = Preparation.learn(train, features, scale=True)
-        counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    def fit(
+        cls, train: DataFrame, prep: Preparation, features: Sequence[str], label: str,
+        counts: Mapping[int, int],
+    ) -> LinearFit:
         n = sum(counts.values())
         weight = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
         vectors = _vector(train, {f: prep.scaled(f) for f in features}, "_features").select(
@@ -128,9 +178,9 @@ class TreeFit:
 
     @classmethod
     def fit(
-        cls, train: DataFrame, features: Sequence[str], label: str, *, trees: int, seed: int
-    ) -> TreeFit:
-        prep = Preparation.learn(train, features, scale=False)
+        cls, train: DataFrame, prep: Preparation, features: Sequence[str], label: str,
+        counts: Mapping[int, int], *, trees: int, seed: int,
+    ) -> TreeFit:
         vectors = _vector(train, {f: prep.imputed(f) for f in features}, "_features").select(
             "_features", F.col(label).cast("double").alias("_label")
         )
@@ -223,13 +273,14 @@ def with_folds(
     return train.where(F.col(label) != rare).withColumn("_fold", by_hash).unionByName(small)
 
 
-def fit_sigmoid(df: DataFrame, raw: str, label: str) -> tuple[float, float]:
+def fit_sigmoid(
+    df: DataFrame, raw: str, label: str, counts: Mapping[int, int]
+) -> tuple[float, float]:
     """Slope and offset of the sigmoid that maps a raw score to a probability.
 
     Targets are pulled in from 0 and 1 by the class sizes; each row enters as a positive
     and a negative copy weighted by its target.
     """
-    counts = class_counts(df, label)
     high, low = (counts[1] + 1) / (counts[1] + 2), 1 / (counts[0] + 2)
     target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
     copies = F.array(
@@ -246,22 +297,38 @@ def fit_sigmoid(df: DataFrame, raw: str, label: str) -> tuple[float, float]:
     return float(model.coefficients[0]), float(model.intercept)
 
 
-def _train(fit_class, model_type, train, features, label, key, **options) -> TriageModel:
+def _train(fit_class, model_type, train, features, label, key, parallelism, **options) -> TriageModel:
     features = list(features)
     rows = numeric_features(train, features).select(*key, *features, F.col(label).cast("int").alias(label))
     counts = class_counts(rows, label)
     folds = min(3, min(counts.values()))
     # every fit below iterates over these rows; write them once
     rows = settle(with_folds(rows, max(folds, 1), label, counts, key), "training")
-    explainer = fit_class.fit(rows, features, label, **options)
-    if folds < 2:
-        return TriageModel(features, model_type, [(explainer, None)], explainer, False)
-    members = []
-    for i in range(folds):
-        fit = fit_class.fit(rows.where(F.col("_fold") != i), features, label, **options)
-        held_out = fit.add_raw(rows.where(F.col("_fold") == i), "_out")
-        members.append((fit, fit_sigmoid(held_out, "_out", label)))
-    return TriageModel(features, model_type, members, explainer, True)
+    sets = folds if folds > 1 else 0
+    fold_counts = {
+        i: {y: 0 for y in counts} for i in range(max(folds, 1))
+    }
+    for r in rows.groupBy("_fold", label).agg(F.count("*").alias("n")).collect():
+        fold_counts[r["_fold"]][r[label]] = r["n"]
+    set_counts = [{y: n - fold_counts[i][y] for y, n in counts.items()} for i in range(sets)]
+    set_counts.append(counts)
+    preparations = learn_preparations(
+        rows, features, [sum(c.values()) for c in set_counts], scale=fit_class is LinearFit
+    )
+
+    def fit(i: int):
+        inside = rows.where(F.col("_fold") != i) if i < sets else rows
+        fitted = fit_class.fit(inside, preparations[i], features, label, set_counts[i], **options)
+        if i == sets:
+            return fitted, None
+        held_out = fitted.add_raw(rows.where(F.col("_fold") == i), "_out")
+        return fitted, fit_sigmoid(held_out, "_out", label, fold_counts[i])
+
+    spark = rows.sparkSession
+    with ThreadPool(max(1, min(parallelism, sets + 1))) as pool:
+        fits = pool.map(inheritable_thread_target(spark)(fit), range(sets + 1))
+    explainer = fits[-1][0]
+    return TriageModel(features, model_type, fits[:-1] or fits, explainer, bool(sets))
 
 
 def train_baseline(
@@ -269,9 +336,11 @@ def train_baseline(
     features: Sequence[str] = settings.FEATURES,
     label: str = "action",
     key: Sequence[str] = ("request_id", "domain"),
+    *,
+    parallelism: int = 4,
 ) -> TriageModel:
-    """Calibrated logistic regression."""
-    return _train(LinearFit, LINEAR, train, features, label, key)
+    """Calibrated logistic regression. ``parallelism`` fits run at the same time."""
+    return _train(LinearFit, LINEAR, train, features, label, key, parallelism)
 
 
 def train_challenger(
@@ -282,9 +351,12 @@ def train_challenger(
     *,
     trees: int = 250,
     seed: int = settings.SEED,
+    parallelism: int = 4,
 ) -> TriageModel:
-    """Calibrated boosted trees."""
-    return _train(TreeFit, TREES, train, features, label, key, trees=trees, seed=seed)
+    """Calibrated boosted trees. ``parallelism`` fits run at the same time."""
+    return _train(
+        TreeFit, TREES, train, features, label, key, parallelism, trees=trees, seed=seed
+    )
 
 
 def compare_models(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticegrade import settings
 from noticegrade.functions import scalars as S
-from noticegrade.functions.skew import HOT_ROWS, spread_left_join
+from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
 
 BASELINE_HOURS = 24
 
@@ -108,11 +108,9 @@ def score_domains(
     exploded = domains.select(
         "domain", F.explode(naming_signals(F.col("domain"), tokens, suffixes)).alias("signal")
     )
-    weights = scorer.select(
-        "signal", "weight", (F.col("pirate_domains") + F.col("other_domains")).alias("_rows")
-    )
+    heavy = heavy_keys(exploded, ["signal"], hot_rows)
     scores = (
-        spread_left_join(exploded, weights, ["signal"], "_rows", ["domain"], hot_rows=hot_rows)
+        spread_left_join(exploded, scorer.select("signal", "weight"), ["signal"], heavy, ["domain"])
         .groupBy("domain")
         .agg(F.round(F.sum(F.coalesce("weight", F.lit(0.0))), 9).alias("_z"))
     )

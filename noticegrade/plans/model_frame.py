@@ -12,19 +12,23 @@ from noticegrade.operators.features import (
     add_request_features,
     make_label,
 )
-from noticegrade.operators.joined import OUTCOMES, prefix_outcomes, request_context
+from noticegrade.operators.joined import attach_context, domain_grain, request_context
 from noticegrade.operators.select import add_owner_weight
 
 
 def model_frame_from_joined(joined: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Features and label on an existing joined table."""
+    """Features and label on an existing, written joined table."""
     return (
         joined.transform(
             lambda d: add_request_features(
                 d, "request_", "request_", spread_by=("request_id", "domain"), hot_rows=hot_rows
             )
         )
-        .transform(lambda d: add_domain_features(d, input_prefix="domain_", hot_rows=hot_rows))
+        .transform(
+            lambda d: add_domain_features(
+                d, input_prefix="domain_", history_from=joined, hot_rows=hot_rows
+            )
+        )
         .transform(lambda d: make_label(d, target_col="domain_removal_rate"))
     )
 
@@ -46,11 +50,20 @@ def model_frame(domains: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROW
     context = add_request_features(
         weighted, "request_", "request_", weight="_domain_rows", hot_rows=hot_rows
     ).drop("_domain_rows")
-    grain = prefix_outcomes(domains.select("request_id", "domain", *OUTCOMES), "domain")
+    grain = domain_grain(domains)
+    dated = attach_context(
+        grain.select("request_id", "domain", "domain_removal_rate"),
+        requests.select("request_id", "date"),
+        hot_rows,
+    )
     return (
-        grain.join(context, "request_id", "left")
+        attach_context(grain, context, hot_rows)
         .transform(_zero_missing_ratios)
-        .transform(lambda d: add_domain_features(d, input_prefix="domain_", hot_rows=hot_rows))
+        .transform(
+            lambda d: add_domain_features(
+                d, input_prefix="domain_", history_from=dated, hot_rows=hot_rows
+            )
+        )
         .transform(lambda d: make_label(d, target_col="domain_removal_rate"))
     )
 

@@ -63,7 +63,7 @@ def _plain(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _frame(spark: SparkSession, sf: str) -> DataFrame:
-    return model_frame.model_frame(V.domains(spark, sf), V.requests(spark, sf))
+    return model_frame.model_frame(*V.written(spark, sf))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,7 +382,7 @@ def domain_history(spark, sf):
 @query
 def joined_features(spark, sf):
     """Features at domain grain through the prefixes, from the joined table."""
-    frame = model_frame.model_frame_from_joined(_joined(spark, sf))
+    frame = model_frame.model_frame_from_joined(settle(_joined(spark, sf), "joined"))
     return _plain(frame.select("request_id", "domain", "tld", *settings.FEATURES))
 
 
@@ -586,37 +586,61 @@ def watchlist(spark, sf):
 # ---- streams, drained over everything available -----------------------------------------------
 
 
-def _recorded(spark, sf) -> str:
-    """The certificate feed as JSON files in time order, one per stretch of days."""
-    path = fresh_folder(spark, "feed")
-    V.certificate_messages(spark, sf).repartitionByRange(4, "seen_micros").sortWithinPartitions(
-        "seen_micros"
-    ).select("value").write.text(path)
-    return path
+FEED_PARTS = 4
 
 
-def _event_stream(spark, sf):
-    return radar.explode_hosts(
-        certificates.stream_messages(spark, _recorded(spark, sf), max_files=1)
-    )
+def _replayed(spark, sf, make_writer) -> None:
+    """Play the certificate feed to a stream as it would arrive.
+
+    Each stretch of days is written as JSON files, then the stream, started from its
+    checkpoint, takes in what is new.
+    """
+    feed = fresh_folder(spark, "feed")
+    messages = settle(V.certificate_messages(spark, sf), "messages")
+    first, last = messages.agg(F.min("seen_micros"), F.max("seen_micros")).first()
+    part = F.floor((F.col("seen_micros") - first) * FEED_PARTS / F.lit(last - first + 1))
+    for i in range(FEED_PARTS):
+        messages.where(part == i).select("value").write.mode("append").text(feed)
+        events = radar.explode_hosts(certificates.stream_messages(spark, feed))
+        stream.drain(make_writer(events))
 
 
 @query
 def stream_new_domains(spark, sf):
     base = fresh_folder(spark, "store")
-    fresh = stream.first_sightings(_event_stream(spark, sf))
-    stream.drain(certificates.store_new_domains(fresh, f"{base}/data", f"{base}/progress"))
+    _replayed(
+        spark,
+        sf,
+        lambda events: certificates.store_new_domains(events, f"{base}/data", f"{base}/progress"),
+    )
     return _plain(
         certificates.read_new_domains(spark, f"{base}/data").select("domain", "seen_at")
     )
 
 
+@query
+def stream_first_sightings(spark, sf):
+    """Domains that pass the stream's own duplicate filter."""
+    base = fresh_folder(spark, "alerts")
+    _replayed(
+        spark,
+        sf,
+        lambda events: certificates.store_events(
+            stream.first_sightings(events), f"{base}/data", f"{base}/progress"
+        ),
+    )
+    return tables.read_table(spark, f"{base}/data").select("domain").distinct()
+
+
 @query
 def stream_bursts(spark, sf):
     base = fresh_folder(spark, "bursts")
-    windows = stream.closed_windows(_event_stream(spark, sf))
-    stream.drain(
-        stream.burst_writer(windows, f"{base}/counts", f"{base}/alerts", f"{base}/progress")
+    _replayed(
+        spark,
+        sf,
+        lambda events: stream.burst_writer(
+            stream.closed_windows(events), f"{base}/counts", f"{base}/alerts", f"{base}/progress"
+        ),
     )
     return _plain(tables.read_table(spark, f"{base}/alerts").drop("batch"))
 
@@ -625,10 +649,10 @@ def stream_bursts(spark, sf):
 def stream_watchlist(spark, sf):
     base = fresh_folder(spark, "watch")
     scorer = settle(_scorer(spark, sf), "scorer")
-    stream.drain(
-        stream.watchlist_writer(
-            _event_stream(spark, sf), scorer, f"{base}/data", f"{base}/progress"
-        )
+    _replayed(
+        spark,
+        sf,
+        lambda events: stream.watchlist_writer(events, scorer, f"{base}/data", f"{base}/progress"),
     )
     return _plain(stream.read_watchlist(spark, f"{base}/data"))
 

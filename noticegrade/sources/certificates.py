@@ -29,11 +29,8 @@ def stream_messages(spark: SparkSession, path: str, max_files: int = 100) -> Dat
     )
 
 
-def store_new_domains(new: DataFrame, path: str, checkpoint: str):
-    """Append a stream of first sightings to the rolling store, by day seen.
-
-    Returns the started query's writer, so the caller sets the trigger.
-    """
+def store_events(new: DataFrame, path: str, checkpoint: str):
+    """Writer that appends a stream of domain events to a Parquet store, by day seen."""
     return (
         new.withColumn("event_date", F.to_date("seen_at"))
         .writeStream.format("parquet")
@@ -44,12 +41,29 @@ def store_new_domains(new: DataFrame, path: str, checkpoint: str):
     )
 
 
-def read_new_domains(spark: SparkSession, path: str) -> DataFrame:
-    """First sighting per domain. A domain seen again after the stream forgot it may be
-    stored twice; the earliest row counts."""
+def store_new_domains(events: DataFrame, path: str, checkpoint: str):
+    """Writer of the rolling new-domain store: per batch the first sighting of each domain.
+
+    No event is too late for it. A batch run again replaces its own folder.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        earliest_sighting(batch).withColumn("event_date", F.to_date("seen_at")).write.mode(
+            "overwrite"
+        ).partitionBy("event_date").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+
+
+def earliest_sighting(events: DataFrame) -> DataFrame:
+    """One row per domain: its earliest event."""
     return (
-        spark.read.parquet(path)
-        .groupBy("domain")
-        .agg(F.min_by(F.struct("issuer", "seen_at"), F.struct("seen_at", "issuer")).alias("_e"))
+        events.groupBy("domain")
+        .agg(F.min(F.struct("seen_at", "issuer")).alias("_e"))
         .select("domain", "_e.issuer", "_e.seen_at")
     )
+
+
+def read_new_domains(spark: SparkSession, path: str) -> DataFrame:
+    """First sighting per domain over all batches stored so far."""
+    return earliest_sighting(spark.read.parquet(path))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from noticegrade import settings
 from noticegrade.functions import scalars as S
+from noticegrade.functions.storage import settle
 
 CUTOFF = "2000-09-01"
 
@@ -77,9 +78,15 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_outcomes(domain_counts(spark, sf_dir)).withColumn("from_abuser", F.lit(False))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean request table; requests without domains have nothing specified."""
-    sums = domain_counts(spark, sf_dir).groupBy("request_id").agg(
+def requests(
+    spark: SparkSession, sf_dir: str, counts: DataFrame | None = None
+) -> DataFrame:
+    """Clean request table; requests without domains have nothing specified.
+
+    ``counts`` may be a written domain table to sum up.
+    """
+    counts = domain_counts(spark, sf_dir) if counts is None else counts
+    sums = counts.groupBy("request_id").agg(
         *(F.sum(c).cast("int").alias(c) for c in settings.URL_COUNTS)
     )
     owners = table(spark, sf_dir, "customer").join(
@@ -107,6 +114,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_outcomes(counted)
 
 
+def written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(domains, requests) as written Parquet tables, the way the feature jobs find them."""
+    d = settle(domains(spark, sf_dir), "domains")
+    return d, settle(requests(spark, sf_dir, d), "requests")
+
+
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request table as dirty text under the source headers."""
     rid = F.col("request_id")

@@ -23,7 +23,11 @@ LATENESS = "10 minutes"
 
 
 def first_sightings(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Stream of domains not seen within the lateness allowed."""
+    """Stream of domains not seen within the lateness allowed, for alerts.
+
+    Which of several sightings in one batch is passed on is left open; the store of
+    new domains keeps the earliest.
+    """
     return events.withWatermark("seen_at", lateness).dropDuplicatesWithinWatermark(["domain"])
 
 
@@ -114,6 +118,8 @@ def read_watchlist(spark: SparkSession, store: str, k: int = 100) -> DataFrame:
 
 
 def drain(writer) -> None:
-    """Run a writer over everything available, then stop."""
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Run a writer over everything available, then stop.
+
+    Run again with the same checkpoint it goes on from there.
+    """
+    writer.trigger(availableNow=True).start().awaitTermination()

@@ -379,6 +379,8 @@ sql("new_domains", ("ct_v",), """
 SELECT domain, min(seen_at) AS first_seen, count(*) AS sightings FROM ct_v GROUP BY 1""")
 sql("stream_new_domains", ("ct_v",), "SELECT domain, min(seen_at) AS seen_at FROM ct_v GROUP BY 1")
 
+sql("stream_first_sightings", ("ct_v",), "SELECT DISTINCT domain FROM ct_v")
+
 view("known_v", ("joined_v",), known(CUTOFF))
 view("weights_v", ("known_v",), weights("known_v"))
 sql("pattern_weights", ("weights_v",), f"SELECT signal, pirate_domains, other_domains, {r('weight')} FROM weights_v")
