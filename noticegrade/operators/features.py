@@ -18,7 +18,10 @@ def add_request_shape(df: DataFrame, input_prefix: str = "", output_prefix: str
     specified = F.col(f"{input_prefix}urls_specified")
     return df.withColumns(
         {
-            f"{output_prefix}urls_log1p": F.log1p(F.greatest(specified, F.lit(0)).cast("double")),
+            # greatest() passes over nulls; an unknown count stays unknown
+            f"{output_prefix}urls_log1p": F.when(
+                specified.isNotNull(), F.log1p(F.greatest(specified, F.lit(0)).cast("double"))
+            ),
             f"{output_prefix}not_in_index_ratio": S.share_or_zero(
                 F.col(f"{input_prefix}urls_not_in_index"), specified
             ),
