@@ -501,9 +501,9 @@ def selection_uplift(spark, sf):
 
 @query
 def selection_uplift_mixed(spark, sf):
-    return _plain(
-        select.selection_uplift(settle(_valued(spark, sf), "valued"), cost="cost_minutes")
-    )
+    """With unequal costs; several best selections may differ in size, so it is left out."""
+    valued = settle(_valued(spark, sf), "valued")
+    return _plain(select.selection_uplift(valued, cost="cost_minutes").drop("optimal_count"))
 
 
 # ---- backtest ------------------------------------------------------------------------------

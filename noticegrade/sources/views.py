@@ -27,8 +27,8 @@ def _choose(key: Column, options: dict, default: str) -> Column:
     return out
 
 
-def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four outcome buckets per (request, domain)."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as (request, domain) rows with one of the four buckets filled."""
     part = table(spark, sf_dir, "part")
     kind = F.col("p_partkey") % 6
     infix = _choose(kind, {0: "-live", 1: "-stream", 2: "hd", 3: "-news", 4: "-blog"}, "")
@@ -52,13 +52,14 @@ def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag, status, pirate = F.col("l_returnflag"), F.col("l_linestatus"), F.col("pirate")
 
     def bucket(cond: Column, name: str) -> Column:
-        return F.sum(F.when(cond, qty).otherwise(F.lit(0))).cast("int").alias(name)
+        return F.when(cond, qty).otherwise(F.lit(0)).alias(name)
 
     return (
         table(spark, sf_dir, "lineitem")
         .join(named, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("request_id"), "domain")
-        .agg(
+        .select(
+            F.col("l_orderkey").alias("request_id"),
+            "domain",
             bucket((flag == "A") | ((flag == "N") & pirate), "urls_removed"),
             bucket((flag == "R") & (status == "F"), "urls_not_in_index"),
             bucket((flag == "N") & ~pirate, "urls_no_action"),
@@ -67,6 +68,15 @@ def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*(F.sum(c).cast("int").alias(c) for c in settings.URL_COUNTS))
+
+
+def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four outcome buckets per (request, domain)."""
+    return _summed(_lines(spark, sf_dir), "request_id", "domain")
+
+
 def _with_outcomes(df: DataFrame) -> DataFrame:
     return df.withColumn("urls_specified", S.urls_specified()).withColumn(
         "removal_rate", S.removal_rate(F.col("urls_removed"), F.col("urls_specified"))
@@ -85,10 +95,7 @@ def requests(
 
     ``counts`` may be a written domain table to sum up.
     """
-    counts = domain_counts(spark, sf_dir) if counts is None else counts
-    sums = counts.groupBy("request_id").agg(
-        *(F.sum(c).cast("int").alias(c) for c in settings.URL_COUNTS)
-    )
+    sums = _summed(_lines(spark, sf_dir) if counts is None else counts, "request_id")
     owners = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )

@@ -305,6 +305,29 @@ SELECT step_start::VARCHAR AS step_start, {r('sum(expected_value)', 'optimal_val
   count(*) AS optimal_count, {r('sum(expected_value)', 'greedy_value')}, count(*) AS greedy_count,
   0.0::DOUBLE AS uplift FROM optimal_v GROUP BY ALL""")
 
+# the best total per step and budget 0..60, one candidate after the other; each cost's
+# candidates beyond the 60 / cost most valuable cannot matter
+view("short_v", ("valued_v",), """
+SELECT step_start, expected_value AS v, cost_minutes AS c,
+  row_number() OVER (PARTITION BY step_start ORDER BY request_id, domain) AS i FROM (
+  SELECT *, row_number() OVER (PARTITION BY step_start, cost_minutes
+    ORDER BY expected_value DESC, request_id, domain) AS rn FROM valued_v) WHERE rn * cost_minutes <= 60""")
+SQL["selection_uplift_mixed"] = (
+    with_views("short_v", "greedy_v").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """, best_v AS (
+  SELECT step_start, 0::BIGINT AS i, list_transform(range(61), lambda b: 0.0::DOUBLE) AS best
+  FROM (SELECT DISTINCT step_start FROM short_v)
+  UNION ALL
+  SELECT b.step_start, s.i, list_transform(range(61), lambda m: greatest(b.best[m + 1],
+    CASE WHEN m >= s.c THEN b.best[m + 1 - s.c] + s.v ELSE 0.0::DOUBLE END))
+  FROM best_v b JOIN short_v s ON s.step_start = b.step_start AND s.i = b.i + 1)
+SELECT o.step_start::VARCHAR AS step_start, round(o.v, 6) AS optimal_value,
+  round(g.v, 6) AS greedy_value, g.n AS greedy_count, round(o.v - g.v, 6) AS uplift
+FROM (SELECT step_start, max(best[61]) AS v FROM best_v GROUP BY 1) o
+JOIN (SELECT step_start, sum(expected_value) AS v, count(*) AS n FROM greedy_v
+  WHERE cumulative_cost <= 60 GROUP BY 1) g USING (step_start)"""
+)
+
 # ---- backtest --------------------------------------------------------------------------------------
 
 sql("replay_ranked", ("ranked_v",), f"""
