@@ -89,12 +89,20 @@ def _joined(spark: SparkSession, sf: str) -> DataFrame:
     return J.join_domains(V.domains(spark, sf), V.requests(spark, sf))
 
 
+def _dated(spark: SparkSession, sf: str) -> DataFrame:
+    """The few columns of the joined table that domain histories and the scorer need."""
+    grain = V.domains(spark, sf).select(
+        "request_id", "domain", F.col("removal_rate").alias("domain_removal_rate")
+    )
+    return J.attach_context(grain, V.request_dates(spark, sf))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return radar.explode_hosts(certificates.parse_messages(V.certificate_messages(spark, sf)))
 
 
-def _scorer(spark: SparkSession, sf: str, cutoff: str = V.CUTOFF) -> DataFrame:
-    return radar.fit_pattern_scorer(radar.known_domains(_joined(spark, sf), cutoff))
+def _scorer(spark: SparkSession, sf: str) -> DataFrame:
+    return radar.fit_pattern_scorer(radar.known_domains(_dated(spark, sf), V.CUTOFF))
 
 
 # ---- cleaning ---------------------------------------------------------------------
@@ -348,13 +356,12 @@ def hit_rate_owner(spark, sf):
 
 @query
 def hit_rate_domain(spark, sf):
-    return _hit_rate(_joined(spark, sf), "domain", "domain_removal_rate", ["request_id", "domain"])
+    return _hit_rate(_dated(spark, sf), "domain", "domain_removal_rate", ["request_id", "domain"])
 
 
 @query
 def domain_features(spark, sf):
-    dated = _joined(spark, sf).select("request_id", "domain", "date", "domain_removal_rate")
-    out = features.add_domain_features(dated, input_prefix="domain_")
+    out = features.add_domain_features(_dated(spark, sf), input_prefix="domain_")
     return _plain(out.drop("date", "domain_removal_rate"))
 
 
@@ -375,7 +382,7 @@ def domain_suffix(spark, sf):
 
 @query
 def domain_history(spark, sf):
-    dated = _joined(spark, sf).select("request_id", "domain", "date")
+    dated = _dated(spark, sf).select("request_id", "domain", "date")
     return _plain(history.add_prior_appearances(dated).drop("date"))
 
 
@@ -400,7 +407,7 @@ def label(spark, sf):
 
 @query
 def temporal_split(spark, sf):
-    train, holdout = features.temporal_split(_joined(spark, sf), V.CUTOFF)
+    train, holdout = features.temporal_split(_dated(spark, sf), V.CUTOFF)
 
     def part(df: DataFrame, name: str) -> DataFrame:
         return df.agg(
@@ -415,7 +422,7 @@ def temporal_split(spark, sf):
 
 @query
 def class_balance(spark, sf):
-    labelled = features.make_label(_joined(spark, sf), target_col="domain_removal_rate")
+    labelled = features.make_label(_dated(spark, sf), target_col="domain_removal_rate")
     return _plain(features.class_balance(labelled, V.CUTOFF))
 
 
@@ -530,12 +537,13 @@ def noise_avoided(spark, sf):
 
 def _leads(spark, sf):
     """Domains first taken down after the scorer was fitted, flagged when first seen."""
-    hits = _joined(spark, sf).select("domain", "date")
-    firsts = hits.groupBy("domain").agg(F.min("date").alias("date"))
+    dated = settle(_dated(spark, sf), "dated")
+    scorer = radar.fit_pattern_scorer(radar.known_domains(dated, LEAD_CUTOFF))
+    firsts = dated.groupBy("domain").agg(F.min("date").alias("date"))
     later = firsts.where(F.col("date") >= F.lit(LEAD_CUTOFF).cast("date"))
     shift = (7 * F.length("domain")) % 41 - 20
     seen = later.select("domain", F.date_sub("date", shift).alias("flagged_on"))
-    risky = radar.score_domains(seen, _scorer(spark, sf, LEAD_CUTOFF)).where(F.col("risk") >= 0.5)
+    risky = radar.score_domains(seen, scorer).where(F.col("risk") >= 0.5)
     return backtest.lead_times(risky.select("domain", "flagged_on"), later)
 
 

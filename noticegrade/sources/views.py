@@ -88,6 +88,12 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_outcomes(domain_counts(spark, sf_dir)).withColumn("from_abuser", F.lit(False))
 
 
+def request_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("date").alias("date")
+    )
+
+
 def requests(
     spark: SparkSession, sf_dir: str, counts: DataFrame | None = None
 ) -> DataFrame:
