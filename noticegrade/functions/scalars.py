@@ -18,7 +18,7 @@ def _blank_to_null(c: Column) -> Column:
 
 def strip_space(c: Column) -> Column:
     """Drop leading and trailing whitespace of any kind (``trim`` drops spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def clean_count(c: Column) -> Column:
@@ -38,7 +38,12 @@ def name_key(c: Column) -> Column:
 
 def clean_domain(c: Column) -> Column:
     """Lower case, no surrounding whitespace, no trailing dots; blank becomes null."""
-    return _blank_to_null(F.regexp_replace(F.lower(strip_space(c)), r"\.+$", ""))
+    return _blank_to_null(F.rtrim(F.lower(strip_space(c)), F.lit(".")))
+
+
+def drop_wildcard(c: Column) -> Column:
+    """A certificate name without its leading ``*.`` label."""
+    return F.when(c.startswith("*."), F.substring(c, 3, 1 << 30)).otherwise(c)
 
 
 def parse_flag(c: Column) -> Column:

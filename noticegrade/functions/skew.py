@@ -70,8 +70,8 @@ def spread_left_join(
         a, b = F.col(k), F.col(f"_k_{k}")
         on = on & (a.eqNullSafe(b) if null_safe else a == b)
     salted = facts.withColumn("_salt", salt)
-    return salted.join(side, on & (F.col("_salt") == F.col("_part")), "left").select(
-        *facts.columns, *values
+    return salted.join(side, on & (F.col("_salt") == F.col("_part")), "left").drop(
+        "_salt", "_part", *(f"_k_{k}" for k in keys)
     )
 
 

@@ -130,7 +130,7 @@ def explode_hosts(messages: DataFrame) -> DataFrame:
     """
     host = F.transform(
         "data.leaf_cert.all_domains",
-        lambda h: S.clean_domain(F.regexp_replace(S.strip_space(h), r"^\*\.", "")),
+        lambda h: S.clean_domain(S.drop_wildcard(S.strip_space(h))),
     )
     return (
         messages.where(F.col("message_type") == "certificate_update")

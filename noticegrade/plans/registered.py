@@ -436,7 +436,9 @@ def impute_medians(spark, sf):
 
 
 def _graded(spark, sf):
-    return features.temporal_split(_scored(spark, sf), V.CUTOFF)[1].select("score", "action")
+    """Score and outcome of the holdout, as a scoring job would leave them."""
+    held = features.temporal_split(_scored(spark, sf), V.CUTOFF)[1]
+    return settle(held.select("score", "action"), "graded")
 
 
 @query
