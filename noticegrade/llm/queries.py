@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
 from noticegrade.llm.near_dedup import near_duplicates
 
 
@@ -15,6 +17,20 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.col("marks.items")
+    return marked.select(
+        "doc_id",
+        F.col("marks.n_words").alias("n_words"),
+        n_hit().alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array(items), ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op7_near_dedup": op7_near_dedup,
+    "op8_decontaminate": op8_decontaminate,
 }
