@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
 from noticegrade.llm.near_dedup import near_duplicates
+from noticegrade.llm.quality import classify_quality, held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = classify_quality(docs, labels, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -31,6 +38,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
 }
