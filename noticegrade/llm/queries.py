@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
+from noticegrade.llm.fingerprints import fingerprints
 from noticegrade.llm.near_dedup import near_duplicates
 from noticegrade.llm.quality import classify_quality, held_out
 
@@ -20,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -39,6 +44,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op4_fingerprints": op4_fingerprints,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
 }
