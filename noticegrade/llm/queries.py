@@ -9,6 +9,7 @@ from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
 from noticegrade.llm.fingerprints import fingerprints
 from noticegrade.llm.near_dedup import near_duplicates
 from noticegrade.llm.quality import classify_quality, held_out
+from noticegrade.llm.sharding import shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -45,6 +50,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_fingerprints": op4_fingerprints,
+    "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
 }
