@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticegrade.functions.storage import fresh_folder
 from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
 from noticegrade.llm.fingerprints import fingerprints
 from noticegrade.llm.near_dedup import near_duplicates
+from noticegrade.llm.pieces import tokenise
 from noticegrade.llm.quality import classify_quality, held_out
 from noticegrade.llm.sharding import shard
+from noticegrade.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise(_table(spark, sf_dir, "documents"), keep=["doc_id"], add=["n_tokens", "ids_sha256", "round_trip", "parity"])
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -47,10 +54,19 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    found = read_archives(spark, folder).filter("gap is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_fingerprints": op4_fingerprints,
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_warc": op9_warc,
 }

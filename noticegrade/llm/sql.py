@@ -23,6 +23,19 @@ SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_DIGITS = " || ".join(f"to_base(('0x' || substr(s, {1 + 5 * k}, 5))::bigint, 32, 4)" for k in range(8))
+
+OP9 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+w AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, strlen(h)::bigint AS payload_bytes,
+  translate({_DIGITS}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN w USING (h)
+"""
+
 SQL: dict[str, str] = {
     "op8_decontaminate": OP8,
+    "op9_warc": OP9,
 }
