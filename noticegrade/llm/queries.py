@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticegrade.functions.storage import fresh_folder
 from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
+from noticegrade.llm.extract import extract
 from noticegrade.llm.fingerprints import fingerprints
 from noticegrade.llm.near_dedup import near_duplicates
 from noticegrade.llm.pieces import tokenise
@@ -33,6 +34,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "boilerplate")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_fingerprints": op4_fingerprints,
+    "op5_extract": op5_extract,
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
