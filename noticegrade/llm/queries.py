@@ -9,6 +9,7 @@ from noticegrade.functions.storage import fresh_folder
 from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
 from noticegrade.llm.extract import extract
 from noticegrade.llm.fingerprints import fingerprints
+from noticegrade.llm.lines import dedup_lines
 from noticegrade.llm.near_dedup import near_duplicates
 from noticegrade.llm.pieces import tokenise
 from noticegrade.llm.quality import classify_quality, held_out
@@ -26,6 +27,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_exact", "n_near")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise(_table(spark, sf_dir, "documents"), keep=["doc_id"], add=["n_tokens", "ids_sha256", "round_trip", "parity"])
 
@@ -69,6 +75,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_fingerprints": op4_fingerprints,
     "op5_extract": op5_extract,

@@ -5,6 +5,29 @@ from __future__ import annotations
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+OP2 = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+o AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM d),
+b AS (SELECT doc_id, pos, line, length(line) AS n, doc_id::hugeint * 100000000 + pos AS ord FROM o WHERE length(line) >= 20),
+f AS (SELECT line, n, min(ord) AS ord FROM b GROUP BY line, n),
+h AS (SELECT line, n, ord, s, side, CASE WHEN side = 0 THEN substr(line, 1, s // 2) ELSE right(line, s - s // 2) END AS part
+      FROM (SELECT *, unnest([n, n - 1]) AS s FROM f), (SELECT unnest([0, 1]) AS side)),
+c AS (SELECT DISTINCT x.line AS a, y.line AS b, x.ord, x.n AS na, y.n AS nb FROM h x JOIN h y USING (s, side, part)
+      WHERE y.ord < x.ord AND abs(x.n - y.n) <= 1),
+e AS (SELECT DISTINCT ord FROM c WHERE CASE
+        WHEN na = nb THEN len(list_filter(range(1, na + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) <= 1
+        WHEN na > nb THEN len(list_filter(range(0, na), lambda i: substr(a, 1, i) || substr(a, i + 2) = b)) > 0
+        ELSE len(list_filter(range(0, nb), lambda i: substr(b, 1, i) || substr(b, i + 2) = a)) > 0 END),
+k AS (SELECT b.doc_id, b.pos, CASE WHEN b.ord > f.ord THEN 'exact' WHEN e.ord IS NOT NULL THEN 'near' END AS why
+      FROM b JOIN f USING (line) LEFT JOIN e ON e.ord = b.ord),
+j AS (SELECT o.doc_id, string_agg(line, chr(10) ORDER BY o.pos) FILTER (WHERE why IS NULL) AS text, count(*) AS n_lines,
+        count(*) FILTER (WHERE why = 'exact') AS n_exact, count(*) FILTER (WHERE why = 'near') AS n_near
+      FROM o LEFT JOIN k ON k.doc_id = o.doc_id AND k.pos = o.pos GROUP BY o.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text, coalesce(n_lines, 0)::bigint AS n_lines,
+  coalesce(n_exact, 0)::bigint AS n_exact, coalesce(n_near, 0)::bigint AS n_near
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
@@ -36,6 +59,7 @@ FROM p JOIN w USING (h)
 """
 
 SQL: dict[str, str] = {
+    "op2_line_dedup": OP2,
     "op8_decontaminate": OP8,
     "op9_warc": OP9,
 }
