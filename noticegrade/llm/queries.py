@@ -9,6 +9,7 @@ from noticegrade.functions.storage import fresh_folder
 from noticegrade.llm.decontaminate import contaminated, contamination, n_hit
 from noticegrade.llm.extract import extract
 from noticegrade.llm.fingerprints import fingerprints
+from noticegrade.llm.licences import scan_licences
 from noticegrade.llm.lines import dedup_lines
 from noticegrade.llm.near_dedup import near_duplicates
 from noticegrade.llm.pieces import tokenise
@@ -73,6 +74,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -83,4 +88,5 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
+    "op10_licences": op10_licences,
 }

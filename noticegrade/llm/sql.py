@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from noticegrade.llm.licence_rules import LONGEST
+from noticegrade.llm.licences import rule_rows
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -58,8 +61,30 @@ SELECT page_id, strlen(h)::bigint AS payload_bytes,
 FROM p JOIN w USING (h)
 """
 
+_RULES = ", ".join(f"('{label}', {priority}, {rank}, '{key}', '{pattern}', {sure}::double)" for label, priority, rank, key, pattern, sure in rule_rows())
+
+OP10 = f"""
+WITH r AS (SELECT * FROM (VALUES {_RULES}) AS t(label, priority, rank, keyword, pattern, sure)),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(len(w))) AS start FROM d),
+f AS (SELECT doc_id, start, w[start + 1] AS keyword, array_to_string(w[start + 1:start + {LONGEST}], ' ') || ' ' AS rest FROM k
+      WHERE w[start + 1] IN (SELECT keyword FROM r)),
+m AS (SELECT doc_id, start, label, priority, rank, sure, regexp_extract(rest, '^(?:' || pattern || ') ') AS hit FROM f JOIN r USING (keyword)),
+i AS (SELECT doc_id, start, start + len(hit) - len(replace(hit, ' ', '')) AS stop, label, priority, rank, sure FROM m WHERE hit <> ''),
+kept AS (SELECT * FROM i WHERE priority = 0 OR NOT EXISTS (SELECT 1 FROM i AS o
+         WHERE o.doc_id = i.doc_id AND o.priority BETWEEN 1 AND i.priority AND o.start <= i.start AND o.stop >= i.stop
+           AND (o.start < i.start OR o.stop > i.stop OR o.priority < i.priority OR o.rank < i.rank))),
+g AS (SELECT doc_id, count(*) FILTER (WHERE priority = 0) AS n_base, min(start) FILTER (WHERE priority = 0) AS first_word,
+        max(start) FILTER (WHERE priority = 0) AS last_word, list_sort(list_distinct(list(label) FILTER (WHERE priority = 0))) AS b,
+        list_sort(list_distinct(list(label))) AS l, max(sure) AS score FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
+  coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, coalesce(score, 0)::double AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_line_dedup": OP2,
     "op8_decontaminate": OP8,
     "op9_warc": OP9,
+    "op10_licences": OP10,
 }
