@@ -26,7 +26,7 @@ from noticegrade.functions.storage import settle
 
 LEAST_CHARS = 20
 #: Blocks that a line is cut into before variants are made.
-BLOCKS = 16
+BLOCKS = 8
 #: A table of hashes with up to so many rows is broadcast (16 MB); a larger one is joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -102,18 +102,16 @@ def _variants(candidates: DataFrame, blocks: int) -> DataFrame:
     groups = cut.groupBy("g1", "g2").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("g1", "g2")
     cut = cut.join(groups, ["g1", "g2"], "left_semi")
 
-    def hashes(variant: Column, at: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(k), "g1", "g2", variant, at).alias(f"v{k}") for k in (1, 2)]
-
     m = F.col("middle")
-    without = F.concat(F.substring(m, F.lit(1), F.col("at")), F.substring(m, F.col("at") + 2, F.length(m)))
-    steps = cut.filter(F.length("middle") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.length("middle") - 1)))
-    left_out = steps.withColumn("variant", without)
-    placed = left_out.select("place", *_LINE, F.lit(False).alias("full"), *hashes(F.col("variant"), F.col("at")))
-    unplaced = left_out.select("place", *_LINE, F.lit(False).alias("full"), *hashes(F.col("variant"), F.lit(-1)))
-    full = cut.select("place", *_LINE, F.lit(True).alias("full"), *hashes(m, F.lit(-1)))
-    placed = placed.withColumn("by_place", F.lit(True))
-    return placed.unionByName(unplaced.unionByName(full).withColumn("by_place", F.lit(False)))
+    without = lambda i: F.concat(F.substring(m, F.lit(1), i), F.substring(m, i + 2, F.length(m)))
+    entry = lambda at, full, variant: F.struct(at.alias("at"), F.lit(full).alias("full"), variant.alias("variant"))
+    every = F.when(F.length(m) > 0, F.sequence(F.lit(0), F.length(m) - 1)).otherwise(F.array().cast("array<int>"))
+    placed = F.transform(every, lambda i: entry(i, False, without(i)))
+    unplaced = F.transform(every, lambda i: entry(F.lit(-1), False, without(i)))
+    whole = F.array(entry(F.lit(-1), True, m))
+    out = cut.select("place", "g1", "g2", F.explode(F.concat(placed, unplaced, whole)).alias("x"))
+    hashes = [F.xxhash64(F.lit(k), "g1", "g2", "x.variant", "x.at").alias(f"v{k}") for k in (1, 2)]
+    return out.select("place", *hashes, "x.full", (F.col("x.at") >= 0).alias("by_place"))
 
 
 def _alike(candidates: DataFrame, blocks: int) -> DataFrame:
@@ -157,15 +155,17 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, blocks: int = B
     repeated = lines.select(*_PLACE, *_LINE).join(first.filter("times > 1").select(*_LINE, "first"), _LINE)
     exact = repeated.filter(F.col("first") < place).select(*_PLACE, F.lit(False).alias("near"))
     near = _alike(_candidates(lines, first), blocks).withColumn("near", F.lit(True))
-    gone = exact.unionByName(near).groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
-    gone = gone.agg(*(F.collect_set(F.when(F.col("near") == near, F.col("at"))).alias(c) for c, near in (("exact", False), ("near", True))))
+    gone = exact.unionByName(near).groupBy(F.col("doc_id").alias("gone id"), F.col("text_hash").alias("gone hash"))
+    gone = gone.agg(*(F.collect_set(F.when(F.col("near") == near, F.col("at"))).alias(f"gone {c}") for c, near in (("exact", False), ("near", True))))
 
-    same = F.xxhash64("text").eqNullSafe(F.col("g_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("g_id"))
+    same = F.xxhash64("text").eqNullSafe(F.col("gone hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone id"))
     out = docs.join(gone, same, "left")
-    split = F.split("text", "\n")
-    places = F.concat("exact", "near")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places), lambda i: F.element_at(split, i + 1))
-    text = F.when(F.col("g_hash").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    places = F.concat("gone exact", "gone near")
+    out = out.withColumn("gone parts", F.when(F.col("gone hash").isNotNull(), F.split("text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("gone parts") - 1), places), lambda i: F.element_at("gone parts", i + 1))
+    text = F.when(F.col("gone parts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     number = lambda c: F.coalesce(F.size(c).cast("long"), F.lit(0).cast("long"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce((breaks + 1).cast("long"), F.lit(0).cast("long"))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    return out.select(*columns, number(split).alias("n_lines"), number("exact").alias("n_exact"), number("near").alias("n_near"))
+    return out.select(*columns, n_lines.alias("n_lines"), number("gone exact").alias("n_exact"), number("gone near").alias("n_near"))
