@@ -230,4 +230,6 @@ def contaminated(share: int = 20) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with the same columns."""
-    return contamination(docs, benchmark, window).filter(~contaminated(share)).select(*docs.columns)
+    other = docs.withColumnRenamed("marks", "marks of docs")
+    kept = contamination(other, benchmark, window).filter(~contaminated(share)).drop("marks")
+    return kept.withColumnRenamed("marks of docs", "marks").select(*docs.columns)
