@@ -1,9 +1,8 @@
 """Running sums, ranks and exact quantiles without a one-task window.
 
-All work on rows already grouped to one per (group, value). Values are cut into
-order-preserving buckets; bucket totals give each bucket its starting offset, and the
-window inside a bucket does the rest. No task sees more than one bucket of one group,
-and the table of bucket totals has a fixed upper size per group.
+Rows are dealt to ranges of (group, order) whose limits come from the data, so the ranges
+are about even however the values cluster. Totals of the ranges, a row for each range and
+group in it, give each range its starting offset; the window inside a range does the rest.
 """
 
 from __future__ import annotations
@@ -13,72 +12,78 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticegrade.functions.storage import settle
 
-BUCKETS_PER_UNIT = 1024
-MAX_BUCKET = 1 << 15
 
+def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` written once, with ``_range``: its range in the order of (group, order).
 
-def order_bucket(value: Column, per_unit: int = BUCKETS_PER_UNIT) -> Column:
-    """Bucket number that never decreases as ``value`` grows.
-
-    With ``per_unit`` a power of two the product is exact, so equal order is certain.
-    Values beyond the bounds share the end buckets: slower there, never wrong.
+    Range numbers never decrease along the order. Rows that are equal in all of it share
+    a range.
     """
-    scaled = F.floor(value.cast("double") * F.lit(float(per_unit)))
-    held = F.greatest(F.lit(-MAX_BUCKET), F.least(F.lit(MAX_BUCKET), scaled))
-    return F.when(value.isNotNull(), held).cast("int")
+    ranged = df.repartitionByRange(*(F.col(g) for g in group), *order)
+    return settle(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def running_before(
-    df: DataFrame,
+def _with_offsets(
+    ranged: DataFrame,
     group: Sequence[str],
-    value: str,
+    order: Sequence[Column],
     measures: Mapping[str, str],
-    *,
-    totals: Mapping[str, str] | None = None,
-    descending: bool = False,
-    then: Sequence[Column] = (),
-    per_unit: int = BUCKETS_PER_UNIT,
+    totals: Mapping[str, str],
 ) -> DataFrame:
-    """Add, per measure, its sum over the group's rows that come before this one.
-
-    ``measures`` maps a column to the name of its running sum, ``totals`` to the name
-    of its sum over the whole group. ``then`` orders rows with equal value.
-    """
-    totals = totals or {}
-
-    def way(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
+    """Per measure its sum before each row of the written ``ranged``, and over its group."""
 
     def before(w, m: str) -> Column:
         return F.coalesce(F.sum(m).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    bucketed = df.withColumn("_bucket", order_bucket(F.col(value), per_unit))
-    across = Window.partitionBy(*group).orderBy(way("_bucket"))
+    across = Window.partitionBy(*group).orderBy("_range")
     offsets = (
-        bucketed.groupBy(*group, "_bucket")
+        ranged.groupBy(*group, "_range")
         .agg(*(F.sum(m).alias(m) for m in measures))
         .select(
             *(F.col(g).alias(f"_g_{g}") for g in group),
-            F.col("_bucket").alias("_offset_bucket"),
+            F.col("_range").alias("_offset_range"),
             *(before(across, m).alias(f"_offset_{m}") for m in measures),
             *(F.sum(m).over(Window.partitionBy(*group)).alias(f"_total_{m}") for m in totals),
         )
     )
-    same = F.col("_bucket").eqNullSafe(F.col("_offset_bucket"))
+    same = F.col("_range") == F.col("_offset_range")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(way(value), *then)
-    return bucketed.join(offsets, same).select(
-        *df.columns,
-        *(
-            (F.col(f"_offset_{m}") + before(inside, m)).alias(out)
-            for m, out in measures.items()
-        ),
+    inside = Window.partitionBy(*group, "_range").orderBy(*order)
+    return ranged.join(offsets, same).select(
+        *(c for c in ranged.columns if c != "_range"),
+        *((F.col(f"_offset_{m}") + before(inside, m)).alias(out) for m, out in measures.items()),
         *(F.col(f"_total_{m}").alias(out) for m, out in totals.items()),
     )
 
 
+def running_before(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    measures: Mapping[str, str],
+    *,
+    totals: Mapping[str, str] | None = None,
+    descending: bool = False,
+) -> DataFrame:
+    """Add, per measure, its sum over the group's rows that come before this one.
+
+    ``df`` has one row per group and value. ``measures`` maps a column to the name of its
+    running sum, ``totals`` to the name of its sum over the whole group.
+    """
+    order = [F.col(value).desc() if descending else F.col(value).asc()]
+    return _with_offsets(in_ranges(df, group, order), group, order, measures, totals or {})
+
+
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Add ``out``: the row's number from 1 in its group. Equal rows are numbered somehow."""
+    ones = in_ranges(df.withColumn("_one", F.lit(1).cast("bigint")), group, order)
+    ranked = _with_offsets(ones, group, order, {"_one": "_ahead"}, {})
+    return ranked.withColumn(out, F.col("_ahead") + 1).drop("_one", "_ahead")
+
+
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Rows per group and distinct value, as (group, _v, _n). Nulls and NaN are left out."""
     return (
@@ -92,12 +97,10 @@ def quantiles_of_counts(
     counted: DataFrame,
     group: Sequence[str],
     quantiles: Mapping[str, float],
-    *,
-    per_unit: int = BUCKETS_PER_UNIT,
 ) -> DataFrame:
     """Interpolated quantiles per group from (group, _v, _n) rows: one row per group."""
     located = running_before(
-        counted, group, "_v", {"_n": "_before"}, totals={"_n": "_total"}, per_unit=per_unit
+        counted, group, "_v", {"_n": "_before"}, totals={"_n": "_total"}
     )
 
     def at(index: Column) -> Column:
@@ -118,8 +121,6 @@ def exact_quantiles(
     group: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
-    *,
-    per_unit: int = BUCKETS_PER_UNIT,
 ) -> DataFrame:
     """Interpolated quantiles of ``value`` per group: one row per group.
 
@@ -127,4 +128,4 @@ def exact_quantiles(
     distinct value of a group in one task; here values are counted first and the
     order statistics are looked up in the running counts.
     """
-    return quantiles_of_counts(value_counts(df, group, value), group, quantiles, per_unit=per_unit)
+    return quantiles_of_counts(value_counts(df, group, value), group, quantiles)

@@ -7,72 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key that a task may take; a larger key is split over several tasks.
-HOT_ROWS = 1_000_000
-# At most this many keys are split. They come from a sketch of SKETCH_ITEMS counters,
-# which finds every key above roughly a thousandth of all rows.
-HOT_KEYS = 256
-SKETCH_ITEMS = 10_000
 SALTS = 64
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Column:
-    """Map from the hash of a key with many rows to the number of parts to split it in.
-
-    One scan of the key columns into a fixed-size sketch, no shuffle of keys. The map has
-    at most ``HOT_KEYS`` entries. Counts are estimates: they steer only how rows are
-    spread, never which rows match.
-    """
-    hashed = df.select(F.xxhash64(*keys).alias("_h"))
-    top = F.expr(f"approx_top_k(_h, {HOT_KEYS}, {SKETCH_ITEMS})")
-    parts = F.transform(
-        F.filter("_top", lambda t: t["count"] >= hot_rows),
-        lambda t: F.struct(t["item"], F.ceil(t["count"] / F.lit(hot_rows)).cast("bigint")),
-    )
-    return hashed.agg(top.alias("_top")).select(F.map_from_entries(parts)).scalar()
-
-
-def spread_left_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    heavy: Column,
-    spread_by: Sequence[str],
-    *,
-    null_safe: bool = False,
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], *, null_safe: bool = False
 ) -> DataFrame:
-    """Left join ``facts`` to ``lookup`` on ``keys``, splitting the heavy keys.
+    """Left join ``facts`` to ``lookup``, which has one row per key.
 
-    ``heavy`` comes from ``heavy_keys``. Fact rows of a heavy key are dealt over its
-    parts by the hash of ``spread_by``, and its lookup rows are repeated once per part.
-    Rows with a null key match nothing, and are scattered, unless ``null_safe``.
+    Adaptive execution splits the large partitions of the fact side, whatever their
+    number, and broadcasts a lookup it has measured to be small. Null keys match only
+    with ``null_safe``.
     """
-    parts = F.try_element_at(heavy, F.xxhash64(*keys))
-    spread = F.xxhash64(*spread_by)
-    salt = F.coalesce(F.pmod(spread, parts), F.lit(0))
-    if null_safe:
-        on = F.lit(True)
-    else:
-        on, known = F.lit(True), F.lit(True)
-        for k in keys:
-            known = known & F.col(k).isNotNull()
-        lookup = lookup.where(known)
-        salt = F.when(known, salt).otherwise(spread)
-    values = [c for c in lookup.columns if c not in keys]
-    side = lookup.select(
-        *(F.col(k).alias(f"_k_{k}") for k in keys),
-        *values,
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(parts, F.lit(1)) - 1)).alias(
-            "_part"
-        ),
-    )
+    on = F.lit(True)
     for k in keys:
         a, b = F.col(k), F.col(f"_k_{k}")
         on = on & (a.eqNullSafe(b) if null_safe else a == b)
-    salted = facts.withColumn("_salt", salt)
-    return salted.join(side, on & (F.col("_salt") == F.col("_part")), "left").drop(
-        "_salt", "_part", *(f"_k_{k}" for k in keys)
-    )
+    values = [c for c in lookup.columns if c not in keys]
+    side = lookup.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *values)
+    return facts.join(side, on, "left").drop(*(f"_k_{k}" for k in keys))
 
 
 def top_k_per_group(
@@ -82,19 +35,17 @@ def top_k_per_group(
     k: int,
     rank_col: str,
     *,
-    spread_by: Sequence[str] | None = None,
+    spread_by: Sequence[str],
     salts: int = SALTS,
 ) -> DataFrame:
     """First ``k`` rows of each group with their rank.
 
-    Spark turns ``row_number() <= k`` into a per-task limit before the shuffle for k
-    up to 1000, so a hot group sends at most k rows per task. For larger k the limit
-    runs within (group, salt) first.
+    A group is cut to k rows in each of ``salts`` parts first, so the task that orders
+    the rest has at most k times that many rows of it.
     """
-    if k > 1000 and spread_by:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-        w = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = salted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-        df = df.drop("_r", "_salt")
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+    parts = Window.partitionBy(*group, "_salt").orderBy(*order)
+    short = salted.withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= k)
+    whole = Window.partitionBy(*group).orderBy(*order)
+    ranked = short.drop("_r", "_salt").withColumn(rank_col, F.row_number().over(whole))
+    return ranked.where(F.col(rank_col) <= k)

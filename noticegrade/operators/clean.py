@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticegrade import settings
 from noticegrade.functions import scalars as S
-from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
+from noticegrade.functions.skew import lookup_join
 
 CLEAN_REQUEST_COLUMNS = (
     "request_id", "date", "reporting_org_id", "reporting_org", "copyright_owner_id",
@@ -66,21 +66,13 @@ def canonicalise(
     name_col: str,
     *,
     spellings_from: DataFrame | None = None,
-    spread_by: str = "request_id",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give every row of an id the id's canonical spelling.
 
     Rows with a null id keep their own normalised name.
     """
     source = df if spellings_from is None else spellings_from
-    joined = spread_left_join(
-        df,
-        canonical_spellings(source, id_col, name_col),
-        [id_col],
-        heavy_keys(source, [id_col], hot_rows),
-        [spread_by, name_col],
-    )
+    joined = lookup_join(df, canonical_spellings(source, id_col, name_col), [id_col])
     return joined.withColumn(
         name_col, F.coalesce("canonical_name", S.clean_name(F.col(name_col)))
     ).drop("canonical_name")
@@ -102,9 +94,7 @@ def typed_requests(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_requests(
-    raw: DataFrame, *, spellings_from: DataFrame | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def clean_requests(raw: DataFrame, *, spellings_from: DataFrame | None = None) -> DataFrame:
     """Raw request table to the clean request schema.
 
     ``spellings_from`` is a second handle on the same raw table for the spelling
@@ -117,7 +107,7 @@ def clean_requests(
         ("copyright_owner_id", "copyright_owner"),
         ("reporting_org_id", "reporting_org"),
     ):
-        out = canonicalise(out, id_col, name_col, spellings_from=names, hot_rows=hot_rows)
+        out = canonicalise(out, id_col, name_col, spellings_from=names)
     return out.select(*CLEAN_REQUEST_COLUMNS)
 
 

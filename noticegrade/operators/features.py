@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from noticegrade import settings
 from noticegrade.functions import scalars as S
-from noticegrade.functions.skew import HOT_ROWS
 from noticegrade.operators.history import add_prior_rates
 
 
@@ -40,8 +39,6 @@ def add_request_features(
     output_prefix: str = "",
     *,
     weight: str | None = None,
-    spread_by: Sequence[str] = ("request_id",),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Request shape plus the organisation's and the owner's earlier hit rate.
 
@@ -55,8 +52,6 @@ def add_request_features(
             ("copyright_owner_id", rate, f"{output_prefix}owner_historical_hit_rate"),
         ],
         weight=weight,
-        spread_by=spread_by,
-        hot_rows=hot_rows,
     )
     return add_request_shape(dated, input_prefix, output_prefix)
 
@@ -92,8 +87,6 @@ def add_domain_features(
     *,
     suffixes: Sequence[str] = settings.PUBLIC_SUFFIXES,
     history_from: DataFrame | None = None,
-    spread_by: Sequence[str] = ("request_id",),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Naming features plus the exact domain's earlier hit rate. Needs ``date``.
 
@@ -102,7 +95,7 @@ def add_domain_features(
     rate, out = f"{input_prefix}removal_rate", f"{output_prefix}domain_historical_hit_rate"
     # history first: the naming columns then travel through no shuffle
     return add_prior_rates(
-        df, [("domain", rate, out)], history_from=history_from, spread_by=spread_by, hot_rows=hot_rows
+        df, [("domain", rate, out)], history_from=history_from
     ).transform(lambda d: add_naming_features(d, tokens, output_prefix, suffixes=suffixes))
 
 
@@ -132,9 +125,15 @@ def numeric_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def temporal_split(
     df: DataFrame, cutoff: str = settings.CUTOFF_DATE, day: str = "date"
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows before the cutoff, rows on or after it)."""
+    """(rows before the cutoff, rows on or after it).
+
+    A table written by month has ``year_month``; its folders on the other side aren't read.
+    """
     edge = F.lit(cutoff).cast("date")
-    return df.where(F.col(day) < edge), df.where(F.col(day) >= edge)
+    before, after = F.col(day) < edge, F.col(day) >= edge
+    if "year_month" in df.columns:
+        before, after = before & (F.col("year_month") <= cutoff[:7]), after & (F.col("year_month") >= cutoff[:7])
+    return df.where(before), df.where(after)
 
 
 def class_balance(df: DataFrame, cutoff: str, label: str = "action") -> DataFrame:

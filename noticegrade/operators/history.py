@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
+from noticegrade.functions.skew import lookup_join
 
 
 def prior_rate_table(
@@ -38,8 +38,6 @@ def add_prior_rates(
     day: str = "date",
     weight: str | None = None,
     history_from: DataFrame | None = None,
-    spread_by: Sequence[str] = ("request_id",),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add, per (group, rate, out), the group's mean rate over strictly earlier days.
 
@@ -50,8 +48,7 @@ def add_prior_rates(
     source = df if history_from is None else history_from
     for group, rate, out in specs:
         table = prior_rate_table(source, group, rate, out, day=day, weight=weight)
-        heavy = heavy_keys(source, [group, day], hot_rows)
-        df = spread_left_join(df, table, [group, day], heavy, spread_by, null_safe=True)
+        df = lookup_join(df, table, [group, day], null_safe=True)
     return df
 
 
@@ -60,13 +57,7 @@ def add_prior_rate(df: DataFrame, group: str, rate: str, out: str, **options) ->
     return add_prior_rates(df, [(group, rate, out)], **options)
 
 
-def add_prior_appearances(
-    df: DataFrame,
-    *,
-    day: str = "date",
-    spread_by: Sequence[str] = ("request_id",),
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def add_prior_appearances(df: DataFrame, *, day: str = "date") -> DataFrame:
     """Add how often a domain was targeted before this day, and its age in days.
 
     ``domain_age_days`` counts from the first appearance and is 0 on that day.
@@ -87,5 +78,4 @@ def add_prior_appearances(
             F.min(day).over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         ).alias("domain_age_days"),
     )
-    heavy = heavy_keys(df, ["domain", day], hot_rows)
-    return spread_left_join(df, table, ["domain", day], heavy, spread_by, null_safe=True)
+    return lookup_join(df, table, ["domain", day], null_safe=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade import settings
-from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
+from noticegrade.functions.skew import lookup_join
 
 OUTCOMES = (
     "urls_specified", "urls_removed", "urls_no_action", "urls_not_in_index",
@@ -32,21 +32,18 @@ def domain_grain(domains: DataFrame) -> DataFrame:
     return prefix_outcomes(domains.select("request_id", "domain", *OUTCOMES), "domain")
 
 
-def attach_context(
-    domains: DataFrame, context: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Left join of domain rows to per-request columns, splitting very large requests."""
-    heavy = heavy_keys(domains, ["request_id"], hot_rows)
-    return spread_left_join(domains, context, ["request_id"], heavy, ["domain"])
+def attach_context(domains: DataFrame, context: DataFrame) -> DataFrame:
+    """Left join of domain rows to per-request columns."""
+    return lookup_join(domains, context, ["request_id"])
 
 
-def join_domains(domains: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_domains(domains: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per (request, domain) with the request's context.
 
     Domains without a request keep null context. One shuffle join on ``request_id``; a
     side measured to be small is broadcast by adaptive execution.
     """
-    return attach_context(domain_grain(domains), request_context(requests), hot_rows)
+    return attach_context(domain_grain(domains), request_context(requests))
 
 
 def sample_requests(
@@ -54,11 +51,11 @@ def sample_requests(
 ) -> DataFrame:
     """Repeatable sample of about ``rows`` requests and never more.
 
-    A request is drawn if the hash of (seed, id) falls below ``rows / total``. Only
+    A request is drawn if the hash of (seed, id), with a null id as empty text, falls below ``rows / total``. Only
     the drawn rows reach the final ``limit``, which trims a lucky surplus.
     """
     total = requests.agg(F.count(F.lit(1)).alias("n")).scalar()
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("request_id").cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("request_id").cast("string"), F.lit(""))))
     # the first eight hex digits as a fraction of their range
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     return (

@@ -14,12 +14,12 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from noticegrade import settings
-from noticegrade.functions.prefix import quantiles_of_counts, value_counts
+from noticegrade.functions.prefix import quantiles_of_counts, rank_within, value_counts
 from noticegrade.functions.storage import settle, shared_folder
 from noticegrade.operators.explain import (
     importance_contributions,
@@ -30,7 +30,6 @@ from noticegrade.operators.evaluate import ranking_measures
 from noticegrade.operators.features import numeric_features
 
 LINEAR, TREES = "logistic_regression", "gradient_boosted_trees"
-_SMALL_CLASS = 1000
 
 
 def _stacked_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -256,21 +255,14 @@ def class_counts(train: DataFrame, label: str) -> dict[int, int]:
     return counts
 
 
-def with_folds(
-    train: DataFrame, k: int, label: str, counts: dict[int, int], key: Sequence[str]
-) -> DataFrame:
-    """Add ``_fold`` 0..k-1, alike in both classes.
+def with_folds(train: DataFrame, k: int, label: str, key: Sequence[str]) -> DataFrame:
+    """Add ``_fold`` 0..k-1: each class is dealt round in the order of its keys' hashes.
 
-    Folds come from the hash of the key. A class too small for that to even out is
-    dealt round instead; it has fewer than a thousand rows.
+    Folds of a class differ by one row at most, whatever the size of the class.
     """
-    by_hash = F.pmod(F.xxhash64(*key), F.lit(k)).cast("int")
-    rare = min(counts, key=counts.get)
-    if counts[rare] >= _SMALL_CLASS:
-        return train.withColumn("_fold", by_hash)
-    dealt = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(*key), *key))
-    small = train.where(F.col(label) == rare).withColumn("_fold", F.pmod(dealt, F.lit(k)))
-    return train.where(F.col(label) != rare).withColumn("_fold", by_hash).unionByName(small)
+    order = [F.xxhash64(*key).asc(), *(F.col(c).asc() for c in key)]
+    ranked = rank_within(train, [label], order, "_rank")
+    return ranked.withColumn("_fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank")
 
 
 def fit_sigmoid(
@@ -303,7 +295,7 @@ def _train(fit_class, model_type, train, features, label, key, parallelism, **op
     counts = class_counts(rows, label)
     folds = min(3, min(counts.values()))
     # every fit below iterates over these rows; write them once
-    rows = settle(with_folds(rows, max(folds, 1), label, counts, key), "training")
+    rows = settle(with_folds(rows, max(folds, 1), label, key), "training")
     sets = folds if folds > 1 else 0
     fold_counts = {
         i: {y: 0 for y in counts} for i in range(max(folds, 1))
@@ -368,6 +360,10 @@ def compare_models(
         scored = model.predict_proba(holdout, "_score")
         row = ranking_measures(scored, "_score", label).select(F.lit(name).alias("model"), "*")
         measured = row if measured is None else measured.unionByName(row)
+    return best_first(measured)
+
+
+def best_first(measured: DataFrame) -> DataFrame:
     return measured.orderBy(F.col("average_precision").desc(), "model")
 
 

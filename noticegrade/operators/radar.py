@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticegrade import settings
 from noticegrade.functions import scalars as S
-from noticegrade.functions.skew import HOT_ROWS, heavy_keys, spread_left_join
+from noticegrade.functions.skew import lookup_join
 
 BASELINE_HOURS = 24
 
@@ -96,27 +96,20 @@ def score_domains(
     scorer: DataFrame,
     tokens: Sequence[str] = settings.SUSPICIOUS_TOKENS,
     suffixes: Sequence[str] = settings.PUBLIC_SUFFIXES,
-    *,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``risk`` in [0, 1] to a table with one row per domain.
 
-    Signals unknown to the scorer add nothing. A signal such as a common suffix is
-    shared by very many domains and is spread by ``spread_left_join``. The sum is rounded
+    Signals unknown to the scorer add nothing. The other columns travel with the signals'
+    sum, so the domains aren't joined to themselves. The sum is rounded
     so that names with the same signals get the same risk in whatever order they add up.
     """
-    exploded = domains.select(
-        "domain", F.explode(naming_signals(F.col("domain"), tokens, suffixes)).alias("signal")
-    )
-    heavy = heavy_keys(exploded, ["signal"], hot_rows)
-    scores = (
-        spread_left_join(exploded, scorer.select("signal", "weight"), ["signal"], heavy, ["domain"])
-        .groupBy("domain")
-        .agg(F.round(F.sum(F.coalesce("weight", F.lit(0.0))), 9).alias("_z"))
-    )
-    return domains.join(scores, "domain", "left").select(
-        *domains.columns, (1 / (1 + F.exp(-F.coalesce("_z", F.lit(0.0))))).alias("risk")
-    )
+    rest = [c for c in domains.columns if c != "domain"]
+    signals = naming_signals(F.col("domain"), tokens, suffixes)
+    exploded = domains.select(*domains.columns, F.explode_outer(signals).alias("signal"))
+    weighted = lookup_join(exploded, scorer.select("signal", "weight"), ["signal"])
+    z = F.round(F.sum(F.coalesce("weight", F.lit(0.0))), 9)
+    scores = weighted.groupBy("domain").agg(z.alias("_z"), *(F.any_value(c).alias(c) for c in rest))
+    return scores.select(*domains.columns, (1 / (1 + F.exp(-F.col("_z")))).alias("risk"))
 
 
 # ---- certificate events -------------------------------------------------------------

@@ -1,9 +1,11 @@
 """Selection under a time budget, per decision group.
 
-A decision group is one budget to spend, by default one replay step. Costs are whole
-minutes (use smaller units for fractions). Nothing here holds a whole group in one
-task: a budget of B leaves at most B candidates of cost c >= 1 that can matter, and the
-rest are cut map-side by ``top_k_per_group``. Free candidates are all taken.
+A decision group is one budget to spend, by default one replay step. Costs and budgets are
+minutes and count in ticks: ``ticks_per_minute=2`` allows half minutes. A cost or budget
+that is no whole number of ticks raises, it is never rounded. Nothing here holds a whole
+group in one task: a budget of B ticks leaves at most B candidates of cost c >= 1 that can
+matter, and the rest are cut by ``top_k_per_group``. Free candidates are all taken, one
+without a known cost is left out.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from noticegrade import settings
 from noticegrade.functions.skew import top_k_per_group
 
 KEY = ("request_id", "domain")
+# how far from a whole number of ticks binary fractions of minutes may be
+_WHOLE = 1e-9
 
 
 def add_owner_weight(
@@ -42,39 +46,60 @@ def with_value(df: DataFrame, prob_col: str = "score", weight_col: str = "weight
     return df.withColumn("expected_value", expected_value(prob_col, weight_col))
 
 
-def _cost(cost: str | int) -> Column:
-    return F.col(cost) if isinstance(cost, str) else F.lit(cost)
+def _ticks(minutes: float, ticks_per_minute: int) -> int:
+    ticks = round(minutes * ticks_per_minute)
+    if abs(ticks - minutes * ticks_per_minute) > _WHOLE:
+        raise ValueError(f"{minutes} minutes are no whole number of ticks; raise ticks_per_minute")
+    return ticks
 
 
-def _affordable(df: DataFrame, cost: str | int, budget: int) -> DataFrame:
-    """Candidates that fit the budget on their own. A negative cost raises."""
-    c = _cost(cost).cast("bigint")
-    checked = F.when(
-        c < 0, F.raise_error(F.lit("a candidate has a negative cost")).cast("bigint")
-    ).otherwise(c)
-    return df.withColumn("_cost", checked).where(F.col("_cost") <= budget)
+def _affordable(df: DataFrame, cost: str | float, budget: int, ticks_per_minute: int) -> DataFrame:
+    """Candidates that fit the budget on their own, with ``_cost`` in ticks.
+
+    A negative cost, and one that is no whole number of ticks, raises.
+    """
+    if not isinstance(cost, str):
+        return _checked(df, F.lit(_ticks(cost, ticks_per_minute)), budget)
+    exact = F.col(cost).cast("double") * ticks_per_minute
+    broken = F.raise_error(F.lit("a cost is no whole number of ticks")).cast("bigint")
+    ticks = F.when(F.abs(exact - F.round(exact)) > _WHOLE, broken).otherwise(F.round(exact).cast("bigint"))
+    return _checked(df, ticks, budget)
+
+
+def _checked(df: DataFrame, ticks: Column, budget: int) -> DataFrame:
+    negative = F.raise_error(F.lit("a candidate has a negative cost")).cast("bigint")
+    ticks = F.when(ticks < 0, negative).otherwise(ticks.cast("bigint"))
+    return df.withColumn("_cost", ticks).where(F.col("_cost") <= budget)
+
+
+def _minutes(ticks: Column, ticks_per_minute: int) -> Column:
+    return ticks if ticks_per_minute == 1 else ticks / ticks_per_minute
 
 
 def greedy_select(
     df: DataFrame,
-    budget: int = settings.BUDGET_MINUTES,
-    cost: str | int = settings.COST_MINUTES,
+    budget: float = settings.BUDGET_MINUTES,
+    cost: str | float = settings.COST_MINUTES,
     *,
     group: Sequence[str] = ("step_start",),
     value: str = "expected_value",
     key: Sequence[str] = KEY,
+    ticks_per_minute: int = 1,
 ) -> DataFrame:
     """Take candidates by value per minute until one no longer fits.
 
-    Order: value per minute, then value, then key. Adds ``cumulative_cost``.
+    Order: value per minute, then value, then key. Adds ``cumulative_cost`` in minutes: a
+    whole number with one tick a minute, else a double.
     """
-    fits = _affordable(df, cost, budget)
-    free = fits.where(F.col("_cost") == 0).withColumn("cumulative_cost", F.lit(0).cast("bigint"))
+    budget = _ticks(budget, ticks_per_minute)
+    fits = _affordable(df, cost, budget, ticks_per_minute)
+    none = _minutes(F.lit(0).cast("bigint"), ticks_per_minute)
+    free = fits.where(F.col("_cost") == 0).withColumn("cumulative_cost", none)
     paid = fits.where(F.col("_cost") > 0).withColumn(
         "_density", F.col(value) / F.col("_cost")
     )
     order = [F.col("_density").desc(), F.col(value).desc(), *key]
-    # the first budget + 1 candidates of a group cost at least budget + 1 in total
+    # the first budget + 1 candidates of a group cost at least budget + 1 ticks in total
     front = top_k_per_group(paid, group, order, budget + 1, "_rank", spread_by=key)
     running = Window.partitionBy(*group).orderBy("_rank").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -82,6 +107,7 @@ def greedy_select(
     taken = (
         front.withColumn("cumulative_cost", F.sum("_cost").over(running))
         .where(F.col("cumulative_cost") <= budget)
+        .withColumn("cumulative_cost", _minutes(F.col("cumulative_cost"), ticks_per_minute))
         .drop("_density", "_rank")
     )
     return taken.unionByName(free).drop("_cost")
@@ -107,27 +133,30 @@ def _fill(items: pd.DataFrame, budget: int, value: str) -> np.ndarray:
 
 def optimal_select(
     df: DataFrame,
-    budget: int = settings.BUDGET_MINUTES,
-    cost: str | int = settings.COST_MINUTES,
+    budget: float = settings.BUDGET_MINUTES,
+    cost: str | float = settings.COST_MINUTES,
     *,
     group: Sequence[str] = ("step_start",),
     value: str = "expected_value",
     key: Sequence[str] = KEY,
+    ticks_per_minute: int = 1,
 ) -> DataFrame:
     """Subset of each group with the greatest total value within the budget.
 
     No best subset needs more than ``budget // c`` candidates of cost c, so only the
     most valuable of each cost are kept, map-side. What is left of a group is at most
-    the sum of ``budget // c`` over c, 261 rows for 60 minutes, and is solved exactly.
-    With one cost for all, the kept rows are already the answer.
+    the sum of ``budget // c`` over c, 261 rows for 60 ticks, and is solved exactly in
+    rows x budget steps. With one cost for all, the kept rows are already the answer.
+    Several best subsets: the one that leaves out the least valuable, later candidates.
     """
-    fits = _affordable(df, cost, budget).where(F.col(value) > 0)
+    budget = _ticks(budget, ticks_per_minute)
+    fits = _affordable(df, cost, budget, ticks_per_minute).where(F.col(value) > 0)
     free = fits.where(F.col("_cost") == 0).drop("_cost")
     paid = fits.where(F.col("_cost") > 0)
     order = [F.col(value).desc(), *key]
-    if isinstance(cost, int):
-        kept = top_k_per_group(paid, group, order, max(budget // max(cost, 1), 1), "_rank",
-                               spread_by=key)
+    if not isinstance(cost, str):
+        most = max(budget // max(_ticks(cost, ticks_per_minute), 1), 1)
+        kept = top_k_per_group(paid, group, order, most, "_rank", spread_by=key)
         return kept.drop("_rank", "_cost").unionByName(free)
     short = top_k_per_group(paid, [*group, "_cost"], order, budget, "_rank", spread_by=key).where(
         F.col("_rank") * F.col("_cost") <= budget
@@ -144,15 +173,16 @@ def optimal_select(
 
 def selection_uplift(
     df: DataFrame,
-    budget: int = settings.BUDGET_MINUTES,
-    cost: str | int = settings.COST_MINUTES,
+    budget: float = settings.BUDGET_MINUTES,
+    cost: str | float = settings.COST_MINUTES,
     *,
     group: Sequence[str] = ("step_start",),
     value: str = "expected_value",
     key: Sequence[str] = KEY,
+    ticks_per_minute: int = 1,
 ) -> DataFrame:
     """Per group the value captured by the best and by the greedy selection."""
-    options = {"group": group, "value": value, "key": key}
+    options = {"group": group, "value": value, "key": key, "ticks_per_minute": ticks_per_minute}
 
     def captured(selection: DataFrame, name: str) -> DataFrame:
         return selection.groupBy(*group).agg(

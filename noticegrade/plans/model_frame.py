@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade import settings
-from noticegrade.functions.skew import HOT_ROWS
 from noticegrade.operators.features import (
     add_domain_features,
     add_request_features,
@@ -16,24 +15,24 @@ from noticegrade.operators.joined import attach_context, domain_grain, request_c
 from noticegrade.operators.select import add_owner_weight
 
 
-def model_frame_from_joined(joined: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def model_frame_from_joined(joined: DataFrame) -> DataFrame:
     """Features and label on an existing, written joined table."""
     return (
         joined.transform(
             lambda d: add_request_features(
-                d, "request_", "request_", spread_by=("request_id", "domain"), hot_rows=hot_rows
+                d, "request_", "request_"
             )
         )
         .transform(
             lambda d: add_domain_features(
-                d, input_prefix="domain_", history_from=joined, hot_rows=hot_rows
+                d, input_prefix="domain_", history_from=joined
             )
         )
         .transform(lambda d: make_label(d, target_col="domain_removal_rate"))
     )
 
 
-def model_frame(domains: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def model_frame(domains: DataFrame, requests: DataFrame) -> DataFrame:
     """The same frame straight from the clean tables, with two wide shuffles, not four.
 
     Organisation and owner history depend only on the request, so they are attached at
@@ -48,20 +47,19 @@ def model_frame(domains: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROW
     )
     # a request without domains has no rows in the joined table; weight 0 says the same
     context = add_request_features(
-        weighted, "request_", "request_", weight="_domain_rows", hot_rows=hot_rows
+        weighted, "request_", "request_", weight="_domain_rows"
     ).drop("_domain_rows")
     grain = domain_grain(domains)
     dated = attach_context(
         grain.select("request_id", "domain", "domain_removal_rate"),
         requests.select("request_id", "date"),
-        hot_rows,
     )
     return (
-        attach_context(grain, context, hot_rows)
+        attach_context(grain, context)
         .transform(_zero_missing_ratios)
         .transform(
             lambda d: add_domain_features(
-                d, input_prefix="domain_", history_from=dated, hot_rows=hot_rows
+                d, input_prefix="domain_", history_from=dated
             )
         )
         .transform(lambda d: make_label(d, target_col="domain_removal_rate"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticegrade import settings
@@ -30,9 +30,16 @@ SAMPLE_ROWS = 5000
 # a fixed linear explanation, so that reasons can be checked without training
 EXPLAINED = {
     # feature: (median, mean, scale, coefficient)
+    "request_urls_log1p": (4.5, 4.4, 0.9, 0.35),
+    "request_not_in_index_ratio": (0.2, 0.24, 0.2, -0.7),
+    "request_no_action_ratio": (0.2, 0.25, 0.22, -0.8),
+    "request_dow": (3.0, 3.0, 2.0, 0.05),
+    "request_month": (6.0, 6.4, 3.4, -0.02),
     "request_org_historical_hit_rate": (0.5, 0.48, 0.03, 0.9),
-    "tld_is_risky": (0.0, 0.45, 0.5, 0.6),
+    "request_owner_historical_hit_rate": (0.5, 0.49, 0.1, 0.45),
+    "domain_has_suspicious_token": (0.0, 0.5, 0.5, 0.75),
     "suspicious_token_count": (0.0, 0.55, 0.62, 1.3),
+    "tld_is_risky": (0.0, 0.45, 0.5, 0.6),
     "domain_length": (14.0, 15.2, 3.1, -0.4),
     "digit_ratio": (0.1, 0.11, 0.04, 0.2),
     "hyphen_count": (1.0, 1.4, 0.6, 0.3),
@@ -249,10 +256,10 @@ def joined(spark, sf):
 
 @query
 def joined_by_month(spark, sf):
-    """Write the joined table by month and read one side of the cutoff back."""
+    """Write the joined table by month and read it back."""
     path = tables.write_by_month(_joined(spark, sf), fresh_folder(spark, "joined"))
-    late = tables.read_table(spark, path).where(F.col("year_month") >= V.CUTOFF[:7])
-    return late.groupBy(F.col("year_month").cast("string").alias("year_month")).agg(
+    months = tables.read_table(spark, path)
+    return months.groupBy(F.col("year_month").cast("string").alias("year_month")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("domain_urls_removed").alias("removed")
     )
 
@@ -340,7 +347,7 @@ def request_features(spark, sf):
 
 def _hit_rate(df: DataFrame, group: str, rate: str, key: list[str]) -> DataFrame:
     return _plain(
-        history.add_prior_rate(df, group, rate, "hit_rate", spread_by=key).select(*key, "hit_rate")
+        history.add_prior_rate(df, group, rate, "hit_rate").select(*key, "hit_rate")
     )
 
 
@@ -461,17 +468,72 @@ def calibration_curve(spark, sf):
     return _plain(evaluate.calibration_curve(_graded(spark, sf)))
 
 
+def _explained(i: int) -> dict[str, float]:
+    return {f: values[i] for f, values in EXPLAINED.items()}
+
+
+def _contributions() -> dict[str, Column]:
+    return explain.linear_contributions(list(EXPLAINED), *(_explained(i) for i in range(4)))
+
+
 @query
 def explain_top3(spark, sf):
-    names = list(EXPLAINED)
-    medians, means, scales, coefficients = (
-        {f: EXPLAINED[f][i] for f in names} for i in range(4)
-    )
-    parts = explain.linear_contributions(names, medians, means, scales, coefficients)
+    out = explain.with_top_features(_candidates(spark, sf), _contributions())
+    return _plain(explain.flatten_reasons(out, ["request_id", "domain"]))
+
+
+@query
+def explain_tree_top3(spark, sf):
+    """Reasons as the trees give them: imputed value times a fixed importance."""
+    importances = {f: abs(c) / 10 for f, c in _explained(3).items()}
+    parts = explain.importance_contributions(list(EXPLAINED), _explained(0), importances)
     out = explain.with_top_features(_candidates(spark, sf), parts)
     return _plain(explain.flatten_reasons(out, ["request_id", "domain"]))
 
 
+@query
+def predict_fixed(spark, sf):
+    """Probability by two calibrated members whose weights are given, not learnt."""
+    names = list(EXPLAINED)
+    prep = models.Preparation(_explained(0), _explained(1), _explained(2))
+    fit = models.LinearFit(prep, _explained(3), -0.25)
+    model = models.TriageModel(names, models.LINEAR, [(fit, (0.9, 0.1)), (fit, (1.2, -0.3))], fit, True)
+    return _plain(
+        model.predict_proba(_candidates(spark, sf)).select("request_id", "domain", "action_probability")
+    )
+
+
+@query
+def scale_stats(spark, sf):
+    """Mean and population deviation of each feature of the training rows, once imputed."""
+    train, _ = features.temporal_split(_frame(spark, sf), V.CUTOFF)
+    rows = settle(train.select(*settings.FEATURES, F.lit(0).alias("_fold")), "scaled")
+    (prep,) = models.learn_preparations(rows, settings.FEATURES, [rows.count()], scale=True)
+    found = [(f, prep.medians[f], prep.means[f], prep.scales[f]) for f in settings.FEATURES]
+    return _plain(spark.createDataFrame(found, "feature string, median double, mean double, scale double"))
+
+
+@query
+def numeric_coercion(spark, sf):
+    """Text columns read as numbers; what isn't one is null."""
+    raw_text = clean.apply_contract(V.raw_requests(spark, sf), settings.REQUEST_COLUMNS)
+    counts = ["urls_removed", "urls_no_action", "copyright_owner_id"]
+    return _plain(features.numeric_features(raw_text, counts).select("request_id", *counts))
+
+
+@query
+def model_choice(spark, sf):
+    """Two given scores measured on the holdout, the better ranking first."""
+    held = settle(features.temporal_split(_scored(spark, sf), V.CUTOFF)[1], "held")
+    scores = {"naming": F.col("score"), "length": F.round(1 / F.col("domain_length"), 6)}
+    rows = None
+    for name, score in scores.items():
+        measured = evaluate.ranking_measures(held.withColumn("_s", score), "_s")
+        measured = measured.select(F.lit(name).alias("model"), "*")
+        rows = measured if rows is None else rows.unionByName(measured)
+    return _plain(models.best_first(rows).withColumn("chosen", (F.col("model") == models.choose_model(models.best_first(rows))).cast("int")))
+
+
 # ---- selection ---------------------------------------------------------------------------
 
 
@@ -493,6 +555,19 @@ def greedy_select(spark, sf):
     return _plain(select.greedy_select(_valued(spark, sf), cost="cost_minutes"))
 
 
+@query
+def greedy_select_fractional(spark, sf):
+    """Costs in half minutes."""
+    valued = _valued(spark, sf).withColumn("cost_minutes", F.col("cost_minutes") / 2)
+    return _plain(select.greedy_select(valued, cost="cost_minutes", ticks_per_minute=2))
+
+
+@query
+def optimal_select_fractional(spark, sf):
+    """Two and a half minutes for each candidate."""
+    return _plain(select.optimal_select(_valued(spark, sf), cost=2.5, ticks_per_minute=2))
+
+
 @query
 def optimal_select(spark, sf):
     return _plain(select.optimal_select(_valued(spark, sf)))
@@ -630,16 +705,14 @@ def stream_new_domains(spark, sf):
 
 @query
 def stream_first_sightings(spark, sf):
-    """Domains that pass the stream's own duplicate filter."""
+    """Domains that were new to the stream when they came, each once."""
     base = fresh_folder(spark, "alerts")
     _replayed(
         spark,
         sf,
-        lambda events: certificates.store_events(
-            stream.first_sightings(events), f"{base}/data", f"{base}/progress"
-        ),
+        lambda events: stream.first_sighting_writer(events, f"{base}/data", f"{base}/progress"),
     )
-    return tables.read_table(spark, f"{base}/data").select("domain").distinct()
+    return _plain(tables.read_table(spark, f"{base}/data").select("domain", "seen_at"))
 
 
 @query
@@ -731,9 +804,11 @@ def model_comparison(spark, sf):
 def triage_view(spark, sf):
     held = _written_candidates(spark, sf)
     shown = views.triage_view(
-        held.select("request_id", "domain", "step_start", "score", "weight", "action")
+        held.select("request_id", "domain", "step_start", "score", "weight", "action", *EXPLAINED),
+        _contributions(),
     )
-    return _plain(shown.drop("weight"))
+    reasons = F.array_join(F.transform("top_features", lambda x: x["feature"]), ",")
+    return _plain(shown.withColumn("reasons", reasons).drop("top_features", *EXPLAINED))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade import settings
-from noticegrade.operators.backtest import noise_avoided, precision_at_k, rank_all
+from noticegrade.operators.backtest import noise_avoided, one_per_key, precision_at_k, rank_all
 from noticegrade.operators.explain import with_top_features
 from noticegrade.operators.profile import monthly_volume
 from noticegrade.operators.select import KEY, optimal_select, with_value
@@ -29,8 +29,9 @@ def triage_view(
     low_confidence: float = settings.ACTION_THRESHOLD,
 ) -> DataFrame:
     """Every candidate with rank, value, reasons, whether it is above the cut line, and
-    whether its score is low enough to be shown faded. Outcomes are not in the table."""
-    valued = with_value(candidates.drop(*OUTCOME_COLUMNS))
+    whether its score is low enough to be shown faded. Outcomes are not in the table; rows
+    that repeat a candidate are reduced by ``one_per_key``."""
+    valued = with_value(one_per_key(candidates.drop(*OUTCOME_COLUMNS)))
     chosen = optimal_select(valued.select(*_selection_columns(cost)), budget, cost).select(
         *(F.col(k).alias(f"_s_{k}") for k in KEY), F.lit(1).alias("_taken")
     )

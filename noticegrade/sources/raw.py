@@ -50,11 +50,12 @@ def _find(spark: SparkSession, folder: str, names) -> dict[str, str]:
     )
     found = {}
     for name in names:
-        hit = F.regexp_extract("path", rf"/({re.escape(name)}(\.gz)?)(/[^/]+)?$", 1)
+        hit = F.regexp_extract("path", rf"^(.*/{re.escape(name)}(\.gz)?)(/[^/]+)?$", 1)
         kinds = listed.select(hit.alias("file")).where(F.col("file") != "").distinct()
-        files = sorted(r["file"] for r in kinds.collect())
+        files = [r["file"] for r in kinds.collect()]
         if files:
-            found[name] = f"{base}/{files[0]}"
+            # the highest in the folder, then plain before compressed
+            found[name] = min(files, key=lambda f: (f.count("/"), f.endswith(".gz"), f))
     return found
 
 

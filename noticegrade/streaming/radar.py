@@ -22,13 +22,26 @@ from noticegrade.operators.radar import (
 LATENESS = "10 minutes"
 
 
-def first_sightings(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Stream of domains not seen within the lateness allowed, for alerts.
+def first_sighting_writer(events: DataFrame, store: str, checkpoint: str):
+    """Writer that stores a domain with the batch that saw it first, and never again.
 
-    Which of several sightings in one batch is passed on is left open; the store of
-    new domains keeps the earliest.
+    A batch is held against the domains of all earlier batches; only that column of the
+    store is read. A batch that is run again sees the same earlier batches and replaces
+    its own folder.
     """
-    return events.withWatermark("seen_at", lateness).dropDuplicatesWithinWatermark(["domain"])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = batch.groupBy("domain").agg(F.min("seen_at").alias("seen_at"))
+        if batch_id:
+            earlier = spark.read.schema(f"{_ddl(seen)}, batch long").option("basePath", store).parquet(store)
+            known = earlier.where(F.col("batch") < batch_id).select("domain")
+            seen = seen.join(known, "domain", "left_anti")
+        seen.write.mode("overwrite").parquet(_batch_folder(store, batch_id))
+
+    return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode(
+        "append"
+    )
 
 
 def closed_windows(

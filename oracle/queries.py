@@ -116,7 +116,7 @@ SELECT * EXCLUDE (date, domain_removal_rate, request_removal_rate, domain_from_a
   date::VARCHAR AS date, {_rounded} FROM joined_v""")
 sql("joined_by_month", ("joined_v",), f"""
 SELECT strftime(date, '%Y-%m') AS year_month, count(*) AS rows, sum(domain_urls_removed)::BIGINT AS removed
-FROM joined_v WHERE date >= DATE '{CUTOFF}' GROUP BY 1""")
+FROM joined_v GROUP BY 1""")
 
 view("sampled_v", (), """
 SELECT request_id FROM (
@@ -228,6 +228,7 @@ SELECT split, count(*) AS rows, round(avg(action), 6) AS positive_share,
   least(sum(action), count(*) - sum(action))::BIGINT AS smallest_class FROM (
   SELECT CASE WHEN date < DATE '{CUTOFF}' THEN 'train' ELSE 'holdout' END AS split,
     (coalesce(domain_removal_rate, 0) >= 0.5)::INT AS action FROM joined_v) GROUP BY 1""")
+# fixed values: the model's feature columns, in order
 _FEATURES = (
     "request_urls_log1p", "request_not_in_index_ratio", "request_no_action_ratio", "request_dow",
     "request_month", "request_org_historical_hit_rate", "request_owner_historical_hit_rate",
@@ -263,9 +264,16 @@ SELECT bin, count(*) AS rows, round(avg(score), 6) AS mean_predicted,
 GROUP BY 1""")
 
 _EXPLAINED = (
+    ("request_urls_log1p", 4.5, 4.4, 0.9, 0.35),
+    ("request_not_in_index_ratio", 0.2, 0.24, 0.2, -0.7),
+    ("request_no_action_ratio", 0.2, 0.25, 0.22, -0.8),
+    ("request_dow", 3.0, 3.0, 2.0, 0.05),
+    ("request_month", 6.0, 6.4, 3.4, -0.02),
     ("request_org_historical_hit_rate", 0.5, 0.48, 0.03, 0.9),
-    ("tld_is_risky", 0.0, 0.45, 0.5, 0.6),
+    ("request_owner_historical_hit_rate", 0.5, 0.49, 0.1, 0.45),
+    ("domain_has_suspicious_token", 0.0, 0.5, 0.5, 0.75),
     ("suspicious_token_count", 0.0, 0.55, 0.62, 1.3),
+    ("tld_is_risky", 0.0, 0.45, 0.5, 0.6),
     ("domain_length", 14.0, 15.2, 3.1, -0.4),
     ("digit_ratio", 0.1, 0.11, 0.04, 0.2),
     ("hyphen_count", 1.0, 1.4, 0.6, 0.3),
@@ -282,6 +290,44 @@ SELECT request_id, domain, position::INT AS position, feature, round(contributio
   SELECT *, row_number() OVER (PARTITION BY request_id, domain
     ORDER BY abs(contribution) DESC, place) AS position FROM contributions_v) WHERE position <= 3""")
 
+view("importance_v", ("candidates_v",), " UNION ALL ".join(
+    f"SELECT request_id, domain, {i} AS place, '{f}' AS feature, "
+    f"coalesce({f}::DOUBLE, {m}::DOUBLE) * {abs(c) / 10!r}::DOUBLE AS contribution "
+    "FROM candidates_v" for i, (f, m, _, _, c) in enumerate(_EXPLAINED)
+))
+sql("explain_tree_top3", ("importance_v",), """
+SELECT request_id, domain, position::INT AS position, feature, round(contribution, 6) AS contribution,
+  CASE WHEN contribution >= 0 THEN 'up' ELSE 'down' END AS direction FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id, domain
+    ORDER BY abs(contribution) DESC, place) AS position FROM importance_v) WHERE position <= 3""")
+sql("predict_fixed", ("contributions_v",), """
+SELECT request_id, domain, round((1 / (1 + exp(-(0.9::DOUBLE * z + 0.1::DOUBLE)))
+  + 1 / (1 + exp(-(1.2::DOUBLE * z - 0.3::DOUBLE)))) / 2, 6) AS action_probability
+FROM (SELECT request_id, domain, sum(contribution) - 0.25::DOUBLE AS z FROM contributions_v GROUP BY 1, 2)""")
+sql("scale_stats", ("features_v",), " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(any_value(m), 6) AS median, round(avg(coalesce({f}::DOUBLE, m)), 6) AS mean, "
+    f"round(CASE WHEN stddev_pop(coalesce({f}::DOUBLE, m)) = 0 THEN 1 ELSE stddev_pop(coalesce({f}::DOUBLE, m)) END, 6) AS scale "
+    f"FROM (SELECT {f}, median({f}::DOUBLE) OVER () AS m FROM features_v WHERE date < DATE '{CUTOFF}')"
+    for f in _FEATURES
+))
+sql("numeric_coercion", ("requests_raw_v",), """
+SELECT request_id, round(TRY_CAST(urls_removed AS DOUBLE), 6) AS urls_removed,
+  round(TRY_CAST(urls_no_action AS DOUBLE), 6) AS urls_no_action,
+  round(TRY_CAST(copyright_owner_id AS DOUBLE), 6) AS copyright_owner_id FROM requests_raw_v""")
+view("two_scores_v", ("holdout_v",), """
+SELECT 'naming' AS model, score, action FROM holdout_v UNION ALL
+SELECT 'length', round(1.0::DOUBLE / domain_length, 6), action FROM holdout_v""")
+view("measured_v", ("two_scores_v",), """
+SELECT model, sum(pos::DOUBLE * (n - fp + neg / 2.0::DOUBLE)) / max(p::DOUBLE * n) AS roc_auc,
+  sum(pos / p::DOUBLE * tp / (tp + fp)) AS average_precision FROM (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS p,
+    sum(neg) OVER (PARTITION BY model) AS n FROM (
+    SELECT model, score, sum(action) AS pos, sum(1 - action) AS neg FROM two_scores_v GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY model ORDER BY score DESC)) GROUP BY 1""")
+sql("model_choice", ("measured_v",), """
+SELECT model, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision,
+  (row_number() OVER (ORDER BY average_precision DESC, model) = 1)::INT AS chosen FROM measured_v""")
+
 # ---- selection ----------------------------------------------------------------------------------
 
 view("valued_v", ("candidates_v",), """
@@ -294,6 +340,16 @@ SELECT *, sum(cost_minutes) OVER (PARTITION BY step_start ORDER BY expected_valu
 sql("greedy_select", ("greedy_v",), f"""
 SELECT request_id, domain, step_start::VARCHAR AS step_start, {r('expected_value')}, cost_minutes,
   cumulative_cost FROM greedy_v WHERE cumulative_cost <= 60""")
+view("greedy_half_v", ("valued_v",), """
+SELECT *, sum(cost_minutes) OVER (PARTITION BY step_start ORDER BY expected_value / cost_minutes DESC,
+  expected_value DESC, request_id, domain ROWS UNBOUNDED PRECEDING) / 2.0::DOUBLE AS half_cost FROM valued_v""")
+sql("greedy_select_fractional", ("greedy_half_v",), f"""
+SELECT request_id, domain, step_start::VARCHAR AS step_start, {r('expected_value')},
+  cost_minutes / 2.0::DOUBLE AS cost_minutes, half_cost AS cumulative_cost FROM greedy_half_v WHERE half_cost <= 60""")
+sql("optimal_select_fractional", ("valued_v",), f"""
+SELECT request_id, domain, step_start::VARCHAR AS step_start, {r('expected_value')}, cost_minutes
+FROM (SELECT *, row_number() OVER (PARTITION BY step_start
+  ORDER BY expected_value DESC, request_id, domain) AS rn FROM valued_v) WHERE rn <= 24""")
 view("optimal_v", ("valued_v",), """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY step_start
   ORDER BY expected_value DESC, request_id, domain) AS rn FROM valued_v) WHERE rn <= 20""")
@@ -402,7 +458,8 @@ sql("new_domains", ("ct_v",), """
 SELECT domain, min(seen_at) AS first_seen, count(*) AS sightings FROM ct_v GROUP BY 1""")
 sql("stream_new_domains", ("ct_v",), "SELECT domain, min(seen_at) AS seen_at FROM ct_v GROUP BY 1")
 
-sql("stream_first_sightings", ("ct_v",), "SELECT DISTINCT domain FROM ct_v")
+# the feed is played in order of time, so a domain's first batch holds its first sighting
+sql("stream_first_sightings", ("ct_v",), "SELECT domain, min(seen_at) AS seen_at FROM ct_v GROUP BY 1")
 
 view("known_v", ("joined_v",), known(CUTOFF))
 view("weights_v", ("known_v",), weights("known_v"))
@@ -455,11 +512,15 @@ FROM leads_v""")
 
 # ---- screens ------------------------------------------------------------------------------------------
 
-sql("triage_view", ("ranked_v", "optimal_v"), f"""
-SELECT r.request_id, r.domain, r.step_start::VARCHAR AS step_start, {r('score')},
+view("reasons_v", ("contributions_v",), """
+SELECT request_id, domain, string_agg(feature, ',' ORDER BY position) AS reasons FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id, domain
+    ORDER BY abs(contribution) DESC, place) AS position FROM contributions_v) WHERE position <= 3 GROUP BY 1, 2""")
+sql("triage_view", ("ranked_v", "optimal_v", "reasons_v"), f"""
+SELECT r.request_id, r.domain, r.step_start::VARCHAR AS step_start, {r('score')}, r.weight, reasons,
   round(r.score * r.weight, 6) AS expected_value, r.rank,
   (o.request_id IS NOT NULL)::INT AS selected, (score < 0.5)::INT AS low_confidence
-FROM ranked_v r LEFT JOIN optimal_v o USING (request_id, domain)""")
+FROM ranked_v r LEFT JOIN optimal_v o USING (request_id, domain) JOIN reasons_v USING (request_id, domain)""")
 _month = "date_trunc('month', {})::DATE::VARCHAR AS year_month"
 sql("outcomes_view", ("precision_v", "avoided_v", "requests_v"), f"""
 SELECT {_month.format('step_start')}, 'precision_at_' || k AS metric, round(avg("precision"), 6) AS value

@@ -220,7 +220,9 @@ view("holdout_v", ("scored_v",), f"SELECT * FROM scored_v WHERE date >= DATE '{C
 
 view("candidates_v", ("holdout_v",), """
 SELECT h.request_id, h.domain, h.date AS step_start, h.score, h.action, h.domain_removal_rate,
-  h.request_org_historical_hit_rate, h.tld_is_risky, h.suspicious_token_count, h.domain_length,
+  h.request_urls_log1p, h.request_not_in_index_ratio, h.request_no_action_ratio, h.request_dow,
+  h.request_month, h.request_org_historical_hit_rate, h.request_owner_historical_hit_rate,
+  h.domain_has_suspicious_token, h.suspicious_token_count, h.tld_is_risky, h.domain_length,
   h.digit_ratio, h.hyphen_count, h.domain_historical_hit_rate,
   coalesce(1 + c.c_custkey % 3, 1)::DOUBLE AS weight,
   1 + (h.request_id + length(h.domain)) % 5 AS cost_minutes

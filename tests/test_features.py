@@ -17,16 +17,16 @@ def by_id(df, *cols):
 
 
 TRIPLE = [
-    {"request_id": 1, "date": "2024-01-01", "removal_rate": 1.0},
-    {"request_id": 2, "date": "2024-01-02", "removal_rate": 0.0},
-    {"request_id": 3, "date": "2024-01-03", "removal_rate": 0.5},
+    {"request_id": 1, "date": "2021-05-02", "removal_rate": 0.75},
+    {"request_id": 2, "date": "2021-05-09", "removal_rate": 0.25},
+    {"request_id": 3, "date": "2021-06-01", "removal_rate": 0.1},
 ]
 
 
 @pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
 def test_history_is_strictly_earlier(make_requests, order):
     out = Fe.add_request_features(make_requests(*(TRIPLE[i] for i in order)))
-    assert by_id(out, "org_historical_hit_rate") == {1: None, 2: 1.0, 3: 0.5}
+    assert by_id(out, "org_historical_hit_rate") == {1: None, 2: 0.75, 3: 0.5}
 
 
 def test_same_day_rows_do_not_see_each_other(make_requests):
@@ -37,7 +37,7 @@ def test_same_day_rows_do_not_see_each_other(make_requests):
 
 def test_null_groups_and_null_days(make_requests):
     rows = [
-        {"request_id": 1, "reporting_org_id": None, "removal_rate": 1.0},
+        {"request_id": 1, "reporting_org_id": None, "date": "2024-01-01", "removal_rate": 1.0},
         {"request_id": 2, "reporting_org_id": None, "date": "2024-01-02", "removal_rate": 0.0},
         {"request_id": 3, "reporting_org_id": None, "date": None, "removal_rate": 0.0},
         {"request_id": 4, "reporting_org_id": None, "date": "2024-01-05", "removal_rate": None},
@@ -50,21 +50,20 @@ def test_null_groups_and_null_days(make_requests):
 def test_domain_history(make_dated_domains):
     out = Fe.add_domain_features(
         make_dated_domains(
-            {"request_id": 1, "domain": "pirate.xyz", "removal_rate": 1.0},
-            {"request_id": 2, "domain": "pirate.xyz", "date": "2024-01-02", "removal_rate": 0.0},
+            {"request_id": 1, "domain": "kino.top", "removal_rate": 0.4},
+            {"request_id": 2, "domain": "kino.top", "date": "2021-03-20", "removal_rate": 0.0},
         )
     )
-    assert by_id(out, "domain_historical_hit_rate") == {1: None, 2: 1.0}
+    assert by_id(out, "domain_historical_hit_rate") == {1: None, 2: 0.4}
 
 
 def test_appearances_and_age(make_dated_domains):
     days = ["2024-01-01", "2024-01-01", "2024-01-04", "2024-01-09"]
     df = make_dated_domains(*({"request_id": i, "date": d} for i, d in enumerate(days)))
-    for hot_rows in (1, 10**6):
-        out = H.add_prior_appearances(df, hot_rows=hot_rows)
-        assert by_id(out, "prior_appearances", "domain_age_days") == {
-            0: (0, 0), 1: (0, 0), 2: (2, 3), 3: (3, 8),
-        }
+    out = H.add_prior_appearances(df)
+    assert by_id(out, "prior_appearances", "domain_age_days") == {
+        0: (0, 0), 1: (0, 0), 2: (2, 3), 3: (3, 8),
+    }
 
 
 def test_changing_a_day_changes_no_feature_up_to_that_day(make_requests):
@@ -82,32 +81,29 @@ def test_changing_a_day_changes_no_feature_up_to_that_day(make_requests):
     assert before != after
 
 
-def test_hot_groups_give_the_same_history(make_requests):
+def test_history_of_hot_and_null_groups(make_requests):
     rng = random.Random(2)
     rows = [
         {"request_id": i, "date": "2024-01-05" if i % 3 else f"2024-01-{rng.randint(1, 9):02d}",
          "reporting_org_id": None if i % 5 == 0 else 1 + i % 2, "removal_rate": rng.random()}
         for i in range(300)
     ]
-    df = make_requests(*rows)
-    plain, split = (
-        by_id(H.add_prior_rate(df, "reporting_org_id", "removal_rate", "x", hot_rows=n), "x")
-        for n in (10**6, 5)
-    )
-    assert len(split) == 300
-    for i, x in plain.items():
-        assert split[i] == (None if x is None else pytest.approx(x))
+    got = by_id(H.add_prior_rate(make_requests(*rows), "reporting_org_id", "removal_rate", "x"), "x")
+    assert len(got) == 300
+    for r in rows:
+        same = [o["removal_rate"] for o in rows if o["reporting_org_id"] == r["reporting_org_id"] and o["date"] < r["date"]]
+        assert got[r["request_id"]] == (pytest.approx(sum(same) / len(same)) if same else None)
 
 
 def test_request_shape(make_requests):
     zero = dict.fromkeys(("urls_specified", "urls_removed", "urls_no_action", "urls_not_in_index"), 0)
     rows = make_requests(
-        {"request_id": 1, "urls_specified": 100, "urls_not_in_index": 25}, {"request_id": 2, **zero}
+        {"request_id": 1, "urls_specified": 40, "urls_not_in_index": 10}, {"request_id": 2, **zero}
     )
     before = rows.columns
     out = Fe.add_request_features(rows)
     got = by_id(out, "not_in_index_ratio", "no_action_ratio", "dow", "month")
-    assert got == {1: (0.25, 0.1, 0, 1), 2: (0.0, 0.0, 0, 1)}
+    assert got == {1: (0.25, 0.15, 6, 3), 2: (0.0, 0.0, 6, 3)}
     assert rows.columns == before
 
 
@@ -121,13 +117,13 @@ def test_request_features_accept_prefixes(make_requests):
 
 
 def test_naming(make_dated_domains):
-    names = ["rojadirecta-live.xyz", "bbc.co.uk", "live-sport-stream.xyz", None, "a1b22.unknowntld", "sports.com"]
+    names = ["kinodirekt-live.xyz", "rda.co.uk", "live-sport-stream.top", None, "a1b22.unknowntld", "sports.com"]
     df = make_dated_domains(*({"request_id": i, "domain": d} for i, d in enumerate(names)))
     out = by_id(
         Fe.add_domain_features(df), "domain_has_suspicious_token", "suspicious_token_count", "tld",
         "tld_is_risky", "domain_length", "hyphen_count",
     )
-    assert out[0] == (1, 1, "xyz", 1, 20, 1)
+    assert out[0] == (1, 1, "xyz", 1, 19, 1)
     assert out[1] == (0, 0, "co.uk", 0, 9, 0)
     assert out[2][:2] == (1, 3)
     assert out[3] == (0, 0, "", 0, 0, 0)
@@ -173,4 +169,3 @@ def test_both_routes_to_the_model_frame_agree(spark):
 
     slow = rows(M.model_frame_from_joined(joined))
     assert slow == rows(M.model_frame(domains, requests))
-    assert slow == rows(M.model_frame(domains, requests, hot_rows=3))

@@ -115,7 +115,7 @@ def test_one_row_of_a_class_is_left_uncalibrated(frame):
 def test_small_classes_are_dealt_over_the_folds(frame):
     few = frame.where("action = 0").unionByName(frame.where("action = 1").limit(3))
     counts = Mo.class_counts(few, "action")
-    folds = Mo.with_folds(few, 3, "action", counts, ["request_id"])
+    folds = Mo.with_folds(few, 3, "action", ["request_id"])
     assert {r["_fold"] for r in folds.where("action = 1").collect()} == {0, 1, 2}
 
 
@@ -124,3 +124,16 @@ def test_reasons_are_ordered_by_size_then_feature(spark):
     out = X.with_top_features(df, {c: F.col(c) for c in "pqrs"})
     rows = X.flatten_reasons(out, ["i"]).orderBy("position").collect()
     assert [(r["feature"], r["direction"]) for r in rows] == [("q", "down"), ("p", "up"), ("r", "up")]
+
+
+def test_small_and_uneven_classes_are_dealt_evenly(spark):
+    """Seven rows of two classes can be trained on, and folds of a class differ by one row at most."""
+    rows = [(i, f"d{i}", float(i), float(i % 2), 0.0, int(i < 3)) for i in range(7)]
+    small = spark.createDataFrame(rows, "request_id long, domain string, a double, b double, c double, action int")
+    model = Mo.train_baseline(small, FEATURES)
+    assert model.calibrated and len(model.members) == 3
+    many = spark.range(2000).select("id", (F.col("id") % 10 == 0).cast("int").alias("action"))
+    sizes = Mo.with_folds(many, 3, "action", ["id"]).groupBy("action", "_fold").count().collect()
+    for y, n in ((0, 1800), (1, 200)):
+        own = [r["count"] for r in sizes if r["action"] == y]
+        assert sum(own) == n and len(own) == 3 and max(own) - min(own) <= 1

@@ -37,11 +37,12 @@ def test_signals(spark):
 def test_pirate_names_outrank_benign_ones(spark, scorer):
     names = ["new-live-stream.xyz", "sport-hd.ru", "library.org", "flowers.com", "zzz"]
     df = spark.createDataFrame([(n,) for n in names], "domain string")
-    for hot_rows in (10**6, 2):
-        risk = {r["domain"]: r["risk"] for r in R.score_domains(df, scorer, hot_rows=hot_rows).collect()}
-        assert min(risk["new-live-stream.xyz"], risk["sport-hd.ru"]) > 0.5
-        assert max(risk["library.org"], risk["flowers.com"]) < 0.5
-        assert risk["zzz"] == 0.5 and all(0 <= r <= 1 for r in risk.values())
+    scored = R.score_domains(df.withColumn("note", F.lit("kept")), scorer).collect()
+    risk = {r["domain"]: r["risk"] for r in scored}
+    assert min(risk["new-live-stream.xyz"], risk["sport-hd.ru"]) > 0.5
+    assert max(risk["library.org"], risk["flowers.com"]) < 0.5
+    assert risk["zzz"] == 0.5 and all(0 <= r <= 1 for r in risk.values())
+    assert {r["note"] for r in scored} == {"kept"}
 
 
 def test_known_domains_use_only_the_time_before_the_cutoff(spark):
@@ -91,7 +92,7 @@ def test_streams_end_where_the_batch_does(spark, scorer, tmp_path):
         St.drain(C.store_new_domains(events(), store["new"], str(tmp_path / "c1")))
         St.drain(St.burst_writer(St.closed_windows(events()), store["counts"], store["alerts"], str(tmp_path / "c2")))
         St.drain(St.watchlist_writer(events(), scorer, store["watch"], str(tmp_path / "c3")))
-        St.drain(C.store_events(St.first_sightings(events()), store["raw"], str(tmp_path / "c4")))
+        St.drain(St.first_sighting_writer(events(), store["raw"], str(tmp_path / "c4")))
     batch = R.explode_hosts(C.read_messages(spark, str(feed)))
     same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert same(
@@ -103,7 +104,26 @@ def test_streams_end_where_the_batch_does(spark, scorer, tmp_path):
     assert same(alerts.select(columns), R.detect_bursts(batch).where("is_burst").select(columns))
     kept = ["domain", "sightings", "risk", "rank"]
     assert same(St.read_watchlist(spark, store["watch"], 20).select(kept), R.watchlist(batch, scorer, 20).select(kept))
-    assert same(spark.read.parquet(store["raw"]).select("domain").distinct(), batch.select("domain").distinct())
+    # each domain once, though "shopz.com" and others come again long after
+    first = spark.read.parquet(store["raw"]).select("domain", "seen_at")
+    assert same(first, R.new_domains(batch).select("domain", F.col("first_seen").alias("seen_at")))
+
+
+def test_late_sightings_are_not_new_and_not_counted_twice(spark, tmp_path):
+    """A feed out of order: what comes again late is no first sighting, but the store learns of it."""
+    feed, store = tmp_path / "feed", str(tmp_path / "first")
+    feed.mkdir()
+    parts = ([("a.com", 600), ("b.com", 601)], [("a.com", 5), ("c.com", 2000)], [("b.com", 9000), ("c.com", 1)])
+    for i, part in enumerate(parts):
+        (feed / f"{i}.json").write_text("\n".join(message([d], m) for d, m in part) + "\n")
+        events = R.explode_hosts(C.stream_messages(spark, str(feed)))
+        St.drain(St.first_sighting_writer(events, store, str(tmp_path / "p1")))
+        St.drain(C.store_new_domains(events, str(tmp_path / "new"), str(tmp_path / "p2")))
+    minutes = (F.unix_seconds("seen_at") - int(START.timestamp())) / 60
+    found = spark.read.parquet(store).select("domain", minutes.alias("m")).collect()
+    assert sorted((r["domain"], r["m"]) for r in found) == [("a.com", 600), ("b.com", 601), ("c.com", 2000)]
+    kept = C.read_new_domains(spark, str(tmp_path / "new")).select("domain", minutes.alias("m")).collect()
+    assert sorted((r["domain"], r["m"]) for r in kept) == [("a.com", 5), ("b.com", 601), ("c.com", 1)]
 
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noticegrade.functions import prefix
-from noticegrade.functions.skew import heavy_keys, top_k_per_group
+from noticegrade.functions.skew import lookup_join, top_k_per_group
 from noticegrade.operators import backtest as B
 from noticegrade.operators import evaluate as E
 from noticegrade.operators import select as Se
@@ -18,11 +18,13 @@ from noticegrade.operators import select as Se
 DAY = dt.date(2024, 1, 1)
 
 
-def test_heavy_keys_are_found_and_bounded(spark):
-    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    found = spark.range(1).select(heavy_keys(df, ["k"], 100).alias("m")).first()["m"]
-    assert list(found.values()) == [30]
-    assert spark.range(1).select(heavy_keys(df.limit(0), ["k"]).alias("m")).first()["m"] == {}
+def test_lookup_join_with_many_hot_and_null_keys(spark):
+    df = spark.range(9000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 300).alias("k"))
+    table = spark.range(-1, 299).select(F.when(F.col("id") >= 0, F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    for null_safe in (False, True):
+        got = {r["id"]: r["v"] for r in lookup_join(df, table, ["k"], null_safe=null_safe).collect()}
+        assert len(got) == 9000 and got[7] == (-2 if null_safe else None)
+        assert all(got[i] == (None if i % 300 == 299 else 2 * (i % 300)) for i in got if i % 7)
 
 
 def test_running_sums_match_a_plain_window(spark):
@@ -42,8 +44,18 @@ def test_running_sums_match_a_plain_window(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
-@pytest.mark.parametrize("per_unit", [1, 1024])
-def test_quantiles_match_numpy(spark, per_unit):
+def test_ranks_of_one_cell_and_of_clustered_scores(spark):
+    """All rows in one (group, score), null ids included, and scores that differ in the last digits."""
+    rows = [("a", 0.5, None if i % 3 == 0 else i) for i in range(500)] + [("b", 0.3 + i * 1e-13, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, s double, id long").repartition(16)
+    order = [F.col("s").desc(), F.col("id").asc()]
+    ranked = prefix.rank_within(df, ["g"], order, "rank")
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    got, want = (sorted((r["g"], r["rank"], r["s"], r["id"] or -1) for r in x.collect()) for x in (ranked, plain))
+    assert got == want
+
+
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(4)
     groups = {"one": [2.0], "ties": [1.0] * 50 + [2.0] * 3, "wide": list(rng.normal(0, 1000, 101)),
               "even": list(rng.random(40))}
@@ -51,7 +63,7 @@ def test_quantiles_match_numpy(spark, per_unit):
     rows += [("even", None), ("ties", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
     qs = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "p9": 0.9, "hi": 1.0}
-    got = {r["g"]: r for r in prefix.exact_quantiles(df, ["g"], "v", qs, per_unit=per_unit).collect()}
+    got = {r["g"]: r for r in prefix.exact_quantiles(df, ["g"], "v", qs).collect()}
     for g, vs in groups.items():
         for name, q in qs.items():
             assert got[g][name] == pytest.approx(np.quantile(vs, q)), (g, name)
@@ -214,6 +226,33 @@ def test_negative_cost_raises(spark):
         Se.greedy_select(df, 5, "cost_minutes").collect()
 
 
+@pytest.mark.parametrize(("cost", "taken"), [(2.5, 24), (0.5, 120)])
+def test_fractional_costs_stay_within_the_budget(spark, cost, taken):
+    rows = [(i, f"d{i}", DAY, 1.0 + i, cost) for i in range(500)]
+    df = spark.createDataFrame(
+        rows, "request_id long, domain string, step_start date, expected_value double, cost_minutes double"
+    )
+    for pick in (Se.greedy_select, Se.optimal_select):
+        for price in ("cost_minutes", cost):
+            got = pick(df, 60, price, ticks_per_minute=2).agg(F.count("*"), F.sum("cost_minutes")).first()
+            assert tuple(got) == (taken, 60.0)
+        with pytest.raises(Exception, match="no whole number of ticks"):
+            pick(df, 60, "cost_minutes").collect()
+
+
+def test_repeated_candidates_are_one_and_never_multiply(spark):
+    """Spellings of a domain that cleaning made one, and blank domains of one request."""
+    rows = [(1, "a.com", DAY, 0.9, 1, 0.5), (1, "a.com", DAY, 0.4, 0, 0.1), *[(2, None, DAY, 0.1 * i, 0, 0.0) for i in range(7)]]
+    df = spark.createDataFrame(
+        rows, "request_id long, domain string, date date, score double, action int, domain_removal_rate double"
+    )
+    out = B.replay(df).collect()
+    assert sorted((r["request_id"], r["score"], r["rank"], r["action"]) for r in out) == [(1, 0.9, 1, 1), (2, pytest.approx(0.6), 2, 0)]
+    ranked = B.rank_all(B.with_step(B.one_per_key(df)))
+    with pytest.raises(Exception, match="candidate key is repeated"):
+        B.reveal(ranked.drop("action"), df.select("request_id", "domain", "action")).collect()
+
+
 def test_owner_weight_defaults_to_one(spark):
     df = spark.createDataFrame([(1, 0.5), (None, 0.5), (3, 0.5)], "copyright_owner_id long, score double")
     weights = spark.createDataFrame([(1, 3.0)], "copyright_owner_id long, weight double")
