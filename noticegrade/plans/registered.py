@@ -439,6 +439,45 @@ def impute_medians(spark, sf):
     return _plain(models.impute_medians(train, settings.FEATURES))
 
 
+# ---- the same from dirty tables: bad days, null owners, blank, repeated and orphan domains ----
+
+
+def _cleaned(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return (
+        settle(clean.clean_domains(V.dirty_domains(spark, sf)), "domains"),
+        settle(clean.clean_requests(V.dirty_requests(spark, sf)), "requests"),
+    )
+
+
+@query
+def joined_dirty(spark, sf):
+    return _plain(J.check_joined_schema(J.join_domains(*_cleaned(spark, sf))))
+
+
+@query
+def hit_rate_org_dirty(spark, sf):
+    return _hit_rate(_cleaned(spark, sf)[1], "reporting_org_id", "removal_rate", ["request_id"])
+
+
+@query
+def hit_rate_owner_dirty(spark, sf):
+    return _hit_rate(_cleaned(spark, sf)[1], "copyright_owner_id", "removal_rate", ["request_id"])
+
+
+@query
+def feature_matrix_dirty(spark, sf):
+    return _plain(model_frame.feature_matrix(model_frame.model_frame(*_cleaned(spark, sf))))
+
+
+@query
+def replay_dirty(spark, sf):
+    """Repeated and blank candidates are one each, so the ranking has no repeated key."""
+    frame = model_frame.model_frame(*_cleaned(spark, sf)).withColumn("score", model_frame.plain_score())
+    held = model_frame.candidates(frame, V.owner_weights(spark, sf), V.CUTOFF)
+    held = settle(held.select("request_id", "domain", "date", "score", "action", "domain_removal_rate"), "held")
+    return _plain(backtest.replay(held).select("request_id", "domain", "step_start", "score", "rank"))
+
+
 # ---- evaluation -------------------------------------------------------------------------
 
 

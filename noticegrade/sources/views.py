@@ -193,6 +193,21 @@ def raw_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw requests without every 31st, whose domains then have no request."""
+    rid = F.col(f"`{next(s for s, c in settings.REQUEST_COLUMNS.items() if c == 'request_id')}`")
+    return raw_requests(spark, sf_dir).where(rid.cast("bigint") % 31 != 0)
+
+
+def dirty_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw domains, some of them twice in spellings that cleaning makes one."""
+    raw = raw_domains(spark, sf_dir)
+    names = {c: s for s, c in settings.DOMAIN_COLUMNS.items()}
+    again = raw.where(F.col(f"`{names['request_id']}`").cast("bigint") % 61 == 0)
+    spelt = F.concat(F.lit(" "), F.upper(F.col(f"`{names['domain']}`")), F.lit(".."))
+    return raw.unionByName(again.withColumn(names["domain"], spelt))
+
+
 def owner_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("copyright_owner_id"),

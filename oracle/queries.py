@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracle.views import (
     CUTOFF,
+    JOINED_DIRTY,
     RISKY,
     TOKENS,
     clean_count,
@@ -93,6 +94,26 @@ SELECT *  EXCLUDE (removed), round(CASE WHEN urls_specified > 0 THEN removed::DO
     ({' + '.join(clean_count(c) for c in COUNTS)})::BIGINT AS urls_specified,
     {parse_flag('from_abuser')}::INT AS from_abuser
   FROM domains_raw_v)""")
+view("dirty_raw_v", ("domains_raw_v",), """
+SELECT * FROM domains_raw_v UNION ALL
+SELECT * REPLACE (' ' || upper(domain) || '..' AS domain) FROM domains_raw_v WHERE request_id::BIGINT % 61 = 0""")
+view("dirty_domains_v", ("dirty_raw_v",), f"""
+SELECT *, {_rate} AS removal_rate FROM (
+  SELECT TRY_CAST(request_id AS BIGINT) AS request_id, {clean_domain('domain')} AS domain, {_typed_counts},
+    ({' + '.join(clean_count(c) for c in COUNTS)})::BIGINT AS urls_specified, {parse_flag('from_abuser')} AS from_abuser
+  FROM dirty_raw_v)""")
+# names are those of the kept requests alone
+view("dirty_typed_v", ("typed_v",), "SELECT * FROM typed_v WHERE request_id % 31 <> 0")
+for _id, _name, _view in (("copyright_owner_id", "copyright_owner", "dirty_owner_v"), ("reporting_org_id", "reporting_org", "dirty_org_v")):
+    view(_view, ("dirty_typed_v",), f"""
+SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, name) AS rn
+  FROM (SELECT {_id} AS id, {clean_name(_name)} AS name FROM dirty_typed_v) WHERE name IS NOT NULL GROUP BY 1, 2)
+WHERE rn = 1 AND id IS NOT NULL""")
+view("dirty_requests_v", ("dirty_typed_v", "dirty_owner_v", "dirty_org_v"), f"""
+SELECT t.* EXCLUDE (copyright_owner, reporting_org), coalesce(o.name, {clean_name('copyright_owner')}) AS copyright_owner,
+  coalesce(g.name, {clean_name('reporting_org')}) AS reporting_org, {_rate} AS removal_rate
+FROM dirty_typed_v t LEFT JOIN dirty_owner_v o ON o.id = copyright_owner_id LEFT JOIN dirty_org_v g ON g.id = reporting_org_id""")
+view("joined_dirty_v", ("dirty_domains_v", "dirty_requests_v"), JOINED_DIRTY)
 sql("contract_audit", ("typed_v",), """
 SELECT count(*) AS rows,
   count(*) FILTER (least(urls_removed, urls_not_in_index, urls_no_action, urls_pending) < 0)
@@ -114,6 +135,34 @@ _rounded = ", ".join(
 sql("joined", ("joined_v",), f"""
 SELECT * EXCLUDE (date, domain_removal_rate, request_removal_rate, domain_from_abuser, request_from_abuser),
   date::VARCHAR AS date, {_rounded} FROM joined_v""")
+sql("joined_dirty", ("joined_dirty_v",), f"""
+SELECT * EXCLUDE (date, domain_removal_rate, request_removal_rate, domain_from_abuser, request_from_abuser),
+  date::VARCHAR AS date, {_rounded} FROM joined_dirty_v""")
+
+
+def _known(group: str, rate: str) -> str:
+    return f"CASE WHEN date IS NOT NULL THEN {prior_rate(group, rate)} END"
+
+
+for _key, _id in (("hit_rate_org_dirty", "reporting_org_id"), ("hit_rate_owner_dirty", "copyright_owner_id")):
+    sql(_key, ("dirty_requests_v",), f"SELECT request_id, {r(_known(_id, 'removal_rate'), 'hit_rate')} FROM dirty_requests_v")
+_dirty_names = ", ".join(f"{text} AS {name}" for name, text in naming("coalesce(domain, '')").items())
+view("features_dirty_v", ("joined_dirty_v",), f"""
+SELECT *, CASE WHEN request_urls_specified IS NOT NULL THEN ln(1 + greatest(request_urls_specified, 0)) END AS request_urls_log1p,
+  {share('request_urls_not_in_index', 'request_urls_specified')} AS request_not_in_index_ratio,
+  {share('request_urls_no_action', 'request_urls_specified')} AS request_no_action_ratio,
+  (isodow(date) - 1)::INT AS request_dow, month(date)::INT AS request_month,
+  {_known('reporting_org_id', 'request_removal_rate')} AS request_org_historical_hit_rate,
+  {_known('copyright_owner_id', 'request_removal_rate')} AS request_owner_historical_hit_rate,
+  {_dirty_names}, {_known('domain', 'domain_removal_rate')} AS domain_historical_hit_rate,
+  (coalesce(domain_removal_rate, 0) >= 0.5)::INT AS action FROM joined_dirty_v""")
+sql("replay_dirty", ("features_dirty_v",), f"""
+SELECT request_id, domain, step_start::VARCHAR AS step_start, score,
+  row_number() OVER (PARTITION BY step_start ORDER BY score DESC, request_id, domain NULLS FIRST) AS rank FROM (
+  SELECT request_id, domain, date AS step_start, max(round(1 / (1 + exp(-(
+    2 * (round(coalesce(request_org_historical_hit_rate, 0.5), 6) - 0.5) + 0.8 * tld_is_risky
+    + 0.5 * suspicious_token_count - 1))), 6)) AS score
+  FROM features_dirty_v WHERE date >= DATE '{CUTOFF}' GROUP BY ALL)""")
 sql("joined_by_month", ("joined_v",), f"""
 SELECT strftime(date, '%Y-%m') AS year_month, count(*) AS rows, sum(domain_urls_removed)::BIGINT AS removed
 FROM joined_v GROUP BY 1""")
@@ -240,6 +289,11 @@ sql("impute_medians", ("features_v",), " UNION ALL ".join(
     f"FROM features_v WHERE date < DATE '{CUTOFF}'" for f in _FEATURES
 ))
 
+sql("feature_matrix_dirty", ("features_dirty_v",), f"""
+SELECT request_id, domain, date::VARCHAR AS date, action, {', '.join(
+    f if f in ('request_dow', 'request_month', 'domain_has_suspicious_token', 'suspicious_token_count', 'tld_is_risky',
+               'domain_length', 'hyphen_count') else r(f) for f in _FEATURES)} FROM features_dirty_v""")
+
 # ---- evaluation ------------------------------------------------------------------------------
 
 view("points_v", ("holdout_v",), """

@@ -141,7 +141,7 @@ SELECT org_id, org_name AS canonical_org FROM (
       {clean_name('reporting_org')} AS org_name FROM requests_raw_v)
   WHERE org_name IS NOT NULL GROUP BY 1, 2) WHERE rn = 1 AND org_id IS NOT NULL""")
 
-view("joined_v", ("domains_v", "requests_v"), """
+_JOINED = """
 SELECT d.request_id, d.domain, r.date, r.reporting_org_id, r.reporting_org, r.copyright_owner_id,
   r.copyright_owner,
   d.urls_specified AS domain_urls_specified, d.urls_removed AS domain_urls_removed,
@@ -152,7 +152,9 @@ SELECT d.request_id, d.domain, r.date, r.reporting_org_id, r.reporting_org, r.co
   r.urls_no_action AS request_urls_no_action, r.urls_not_in_index AS request_urls_not_in_index,
   r.urls_pending AS request_urls_pending, r.removal_rate AS request_removal_rate,
   r.from_abuser AS request_from_abuser
-FROM domains_v d LEFT JOIN requests_v r USING (request_id)""")
+FROM domains_v d LEFT JOIN requests_v r USING (request_id)"""
+view("joined_v", ("domains_v", "requests_v"), _JOINED)
+JOINED_DIRTY = _JOINED.replace("domains_v", "dirty_domains_v").replace("requests_v", "dirty_requests_v")
 
 
 def prior_rate(group: str, rate: str) -> str:
