@@ -92,16 +92,26 @@ def has_token(domain: Column, tokens: Iterable[str] = settings.SUSPICIOUS_TOKENS
 def public_suffix(domain: Column, suffixes: Iterable[str] = settings.PUBLIC_SUFFIXES) -> Column:
     """Longest registered suffix that ends the domain at a label border, "" if none.
 
-    The list is a parameter of the plan, so each label count is one hash-set test and
-    no join is needed.
+    A rule ``*.x`` stands for x with any one label before it, ``!a.x`` takes a.x out of it
+    again and leaves x. The list is a parameter of the plan, so each label count is one
+    hash-set test and no join is needed.
     """
-    by_labels: dict[int, list[str]] = {}
-    for s in suffixes:
-        by_labels.setdefault(s.count(".") + 1, []).append(s)
+    plain, any_label, excepted = {}, {}, {}
+    for rule in suffixes:
+        kind = excepted if rule.startswith("!") else any_label if rule.startswith("*.") else plain
+        kind.setdefault(rule.count(".") + 1, []).append(rule.removeprefix("!").removeprefix("*."))
+    labels = F.length(domain) - F.length(F.translate(domain, ".", "")) + 1
     found = F.lit("")
-    for n in sorted(by_labels):
+    for n in sorted({*plain, *any_label}):
         tail = F.substring_index(domain, ".", -n)
-        found = F.when(tail.isin(by_labels[n]), tail).otherwise(found)
+        if n in plain:
+            found = F.when(tail.isin(plain[n]), tail).otherwise(found)
+        if n in any_label:
+            held = F.substring_index(domain, ".", 1 - n).isin(any_label[n]) & (labels >= n) & ~tail.startswith(".")
+            found = F.when(held, tail).otherwise(found)
+    for n, names in sorted(excepted.items()):
+        is_one = F.substring_index(domain, ".", -n).isin(names)
+        found = F.when(is_one, F.substring_index(domain, ".", 1 - n)).otherwise(found)
     return found
 
 

@@ -387,6 +387,18 @@ def domain_suffix(spark, sf):
     )
 
 
+@query
+def domain_suffix_rules(spark, sf):
+    """Names under rules with a wildcard, and under their exceptions."""
+    label = F.concat(F.lit("n"), F.substring_index("domain", ".", 1))
+    kinds = ["a.%.ck", "%.www.ck", "%.co.uk", "city.kawasaki.jp", "b.%.kawasaki.jp", "%", "ck"]
+    name = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        name = F.when(F.col("page_id") % len(kinds) == i, F.replace(F.lit(kind), F.lit("%"), label)).otherwise(name)
+    hosts = V.page_hosts(spark, sf).select("page_id", name.alias("name"))
+    return hosts.select("page_id", "name", S.public_suffix(F.col("name")).alias("suffix"))
+
+
 @query
 def domain_history(spark, sf):
     dated = _dated(spark, sf).select("request_id", "domain", "date")

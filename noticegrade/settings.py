@@ -67,7 +67,8 @@ FEATURES = (
 OUTCOME_FEATURES = ("request_not_in_index_ratio", "request_no_action_ratio")
 
 # ---- fixed values: a starter set of public suffixes ---------------------------
-# Pass a fuller list to the suffix functions where one is at hand.
+# Pass a fuller list to the suffix functions where one is at hand: ``read_suffixes`` reads
+# the public list's file.
 PUBLIC_SUFFIXES = (
     "com", "net", "org", "info", "biz", "edu", "gov", "mil", "int", "name", "pro",
     "xyz", "top", "club", "online", "stream", "site", "live", "tv", "app", "dev",
@@ -83,4 +84,6 @@ PUBLIC_SUFFIXES = (
     "com.br", "co.jp", "ne.jp", "or.jp", "co.kr", "co.nz", "co.za", "com.ar",
     "com.cn", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw",
     "com.ua", "com.vn", "co.id", "co.il", "co.in", "co.th",
+    "*.bd", "*.ck", "!www.ck", "*.er", "*.fk", "*.jm", "*.kawasaki.jp", "!city.kawasaki.jp",
+    "*.kh", "*.mm", "*.np", "*.pg",
 )

@@ -29,6 +29,18 @@ def read_raw_csv(spark: SparkSession, path, *, multi_line: bool = True) -> DataF
     )
 
 
+def read_suffixes(spark: SparkSession, path: str, most: int = 100_000) -> tuple[str, ...]:
+    """Rules of a public-suffix file: the first word of each line that is no comment.
+
+    The rules become part of the plan, so a file of more than ``most`` rules raises.
+    """
+    lines = spark.read.text(path).select(F.regexp_extract("value", r"^\s*([^\s/]\S*)", 1).alias("rule"))
+    rules = [r["rule"] for r in lines.where(F.col("rule") != "").distinct().limit(most + 1).collect()]
+    if len(rules) > most:
+        raise ValueError(f"{path} has more than {most} rules")
+    return tuple(sorted(rules))
+
+
 def land(raw: DataFrame, path: str) -> DataFrame:
     """Write raw text columns to Parquet once, in even parts, and read them back.
 

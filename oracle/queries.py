@@ -252,6 +252,13 @@ SELECT page_id, domain, {suffix('domain')} AS suffix,
   coalesce(nullif(regexp_extract(domain, '\\.([a-z]{{2,}})$', 1), ''), 'other') AS last_label,
   round({naming('domain')['digit_ratio']}, 6) AS digit_ratio, {naming('domain')['hyphen_count']} AS hyphen_count
 FROM (SELECT page_id, {_host} AS domain FROM pages)""")
+sql("domain_suffix_rules", (), f"""
+SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'a.' || label || '.ck' WHEN 1 THEN label || '.www.ck'
+    WHEN 2 THEN label || '.co.uk' WHEN 3 THEN 'city.kawasaki.jp' WHEN 4 THEN 'b.' || label || '.kawasaki.jp'
+    WHEN 5 THEN label ELSE 'ck' END AS name,
+  CASE page_id % 7 WHEN 0 THEN label || '.ck' WHEN 1 THEN 'ck' WHEN 2 THEN 'co.uk' WHEN 3 THEN 'kawasaki.jp'
+    WHEN 4 THEN label || '.kawasaki.jp' WHEN 5 THEN '' ELSE '' END AS suffix
+FROM (SELECT page_id, 'n' || split_part({_host}, '.', 1) AS label FROM pages)""")
 sql("domain_history", ("joined_v",), """
 SELECT request_id, domain,
   count(*) OVER (PARTITION BY domain ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle.compare import differences, duck
+from oracle.queries import SQL
 
 SF = "/root/testdata/sf0.001"
 QUICK = (
@@ -16,9 +17,12 @@ QUICK = (
     "monthly_volume", "noise_summary", "tld_noise", "token_box", "dataset_summary",
     "request_features", "domain_history", "feature_matrix", "explain_top3", "greedy_select",
     "replay_ranked", "outcomes_view", "triage_view", "lead_time_summary", "detect_bursts",
-    "watchlist", "stream_bursts",
+    "watchlist", "stream_bursts", "stream_first_sightings", "greedy_select_fractional",
+    "optimal_select_fractional", "explain_tree_top3", "predict_fixed", "scale_stats",
+    "numeric_coercion", "model_choice", "joined_dirty", "feature_matrix_dirty", "replay_dirty",
+    "domain_suffix_rules",
 )
-NAMES = list(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = list(SQL) if os.environ.get("ALL_QUERIES") else QUICK
 
 
 @pytest.fixture(scope="module")
