@@ -30,8 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediates that this process made; call it when their results are stored.
+
+    Returns the number of folders that were there.
+    """
+    hadoop, jvm, gone = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(hadoop).delete(path, True)
+    return gone
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -17,7 +17,7 @@ from noticegrade.functions.storage import fresh_folder, settle
 from noticegrade.operators import backtest, clean, evaluate, explain, features, history
 from noticegrade.operators import joined as J
 from noticegrade.operators import models, profile, radar, select
-from noticegrade.plans import ingest, model_frame, views
+from noticegrade.plans import ingest, model_frame, scoring, views
 from noticegrade.sources import certificates, raw, tables
 from noticegrade.sources import views as V
 from noticegrade.streaming import radar as stream
@@ -817,6 +817,24 @@ def baseline_scores(spark, sf):
     )
 
 
+@query
+def scored_output(spark, sf):
+    """The table that the scoring job leaves: score, reasons, rank and choice per candidate."""
+    path = fresh_folder(spark, "scored")
+    out = scoring.run_scoring(spark, _frame(spark, sf), path, V.owner_weights(spark, sf), V.CUTOFF)
+    reasons = F.array_join(F.transform("top_features", lambda x: x["feature"]), ",")
+    return _plain(out.withColumn("reasons", reasons).drop("top_features", "year_month", "date"))
+
+
+@query
+def model_replay(spark, sf):
+    """Precision at k of a replay that is ranked by the trained model."""
+    matrix = settle(_frame(spark, sf).select("request_id", "domain", "date", "action", "domain_removal_rate", *_used(True)), "matrix")
+    past, held = features.temporal_split(matrix, V.CUTOFF)
+    replayed = backtest.replay(held, models.train_baseline(past, _used(True)))
+    return _plain(backtest.precision_at_k(replayed))
+
+
 CHECK_TREES = 20
 
 

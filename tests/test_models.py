@@ -137,3 +137,29 @@ def test_small_and_uneven_classes_are_dealt_evenly(spark):
     for y, n in ((0, 1800), (1, 200)):
         own = [r["count"] for r in sizes if r["action"] == y]
         assert sum(own) == n and len(own) == 3 and max(own) - min(own) <= 1
+
+
+def test_scored_output_ranks_selects_and_explains(spark, tmp_path):
+    """The scoring job from the test tables to the written table, and what the screens need of it."""
+    from noticegrade.functions.storage import discard, settle
+    from noticegrade.plans import model_frame, scoring
+    from noticegrade.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    frame = model_frame.model_frame(*V.written(spark, sf))
+    out = scoring.run_scoring(spark, frame, str(tmp_path / "scored"), V.owner_weights(spark, sf), V.CUTOFF)
+    rows = out.collect()
+    held = frame.where(F.col("date") >= V.CUTOFF)
+    assert len(rows) == held.select("request_id", "domain").distinct().count() > 0
+    by_step = {}
+    for r in rows:
+        assert 0 <= r["score"] <= 1 and r["expected_value"] == pytest.approx(r["score"] * r["weight"])
+        assert len(r["top_features"]) == 3
+        by_step.setdefault(r["step_start"], []).append(r)
+    for step in by_step.values():
+        best = sorted(step, key=lambda r: (-r["score"], r["request_id"], r["domain"]))
+        assert [r["rank"] for r in best] == list(range(1, len(step) + 1))
+        valued = sorted((r["expected_value"] for r in step), reverse=True)
+        assert sorted((r["expected_value"] for r in step if r["selected"]), reverse=True) == valued[:20]
+    kept = settle(spark.range(3), "few")
+    assert kept.count() == 3 and discard(spark) > 0 and discard(spark) == 0
