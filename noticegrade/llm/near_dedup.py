@@ -9,10 +9,13 @@ With the production values (96 permutations, bands of 3, so 32 bands of 6 values
 documents of resemblance exactly 0.8 share no band with probability 6e-5, of 0.85 with 3e-7.
 
 Links are confirmed on full sets of shingles. Documents with equal sets are one class first.
-A bucket's members are held against its smallest member; after the components of those links,
-only buckets that still hold several components are looked at again, and only members of
-different components are paired there. So a large group of copies makes a number of pairs in
-proportion to its size, and no link that could change a component is left out.
+A bucket's members are held against its smallest member, then, while a bucket still holds several
+components, against another one drawn by hash; each of these steps makes at most a pair for each member.
+What is left then are members of different components of one bucket. In buckets of a bounded
+size they are paired in full; in larger ones those are paired that share one of their rarest
+shingles, of which each document has so many that a link can't be missed (prefix filtering). So
+a large group of like documents doesn't make pairs with the square of its size, and no link
+that could change a component is left out.
 """
 
 from __future__ import annotations
@@ -21,15 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade.functions.storage import settle
 from noticegrade.llm.components import components
-from noticegrade.llm.words import SPACE_SEPARATED, mix, slices, text_buffers, word_hashes
+from noticegrade.llm.words import SPACE_SEPARATED, mix, slices, small_batches, text_buffers, word_hashes
 
 PERMUTATIONS = 96
 ROWS = 3
+#: Rounds in which every open bucket's members are held against one more of them.
+DRAWN_STARS = 1
+#: Up to so many members a bucket's open pairs are taken in full; beyond, by shared rare shingles.
+PAIRED = 64
+#: Shingles of up to so many of those documents come first in the order; it doesn't change results.
+RARE = 64
 #: Shingles are permuted in blocks of so many, so a very long text needs no more memory.
 _BLOCK = 4096
 
@@ -92,7 +101,7 @@ def _signer(words: int, permutations: int, rows: int):
     fields = ["doc_id", "n_shingles", "set_a", "set_b", "bands"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sizes, set_a, set_b, bands, limits = [], [], [], [], [0]
             for shingles in shingle_sets(batch.column("text"), words):
                 sizes.append(len(shingles))
@@ -112,7 +121,7 @@ def _signer(words: int, permutations: int, rows: int):
 
 def _set_reader(words: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = list(shingle_sets(batch.column("text"), words))
             limits = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
@@ -122,6 +131,20 @@ def _set_reader(words: int):
     return read
 
 
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct shingle of a batch of sets, the number of its sets, and their keys."""
+    for batch in batches:
+        sets = batch.column("shingles")
+        values = sets.flatten().to_numpy(zero_copy_only=False)
+        keys = np.repeat(batch.column("key").to_numpy(), sets.value_lengths().to_numpy())
+        order = np.argsort(values, kind="stable")
+        values, keys = values[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        limits = np.append(first, len(values))
+        lists = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(np.diff(limits)), lists], names=["shingle", "n", "keys"])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have a resemblance of ``percent`` at least."""
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
@@ -132,6 +155,82 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def _undecided(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with their components."""
+    placed = members.select("band", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
+    placed = settle(placed.select("band", "key", "n", F.coalesce("component", "key").alias("component")), "placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return placed.join(mixed.select("band"), "band", "left_semi")
+
+
+def _joinable(percent: int) -> Column:
+    """Of different components, and near enough in size for the wanted resemblance."""
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return (F.col("c_a") != F.col("c_b")) & sized
+
+
+def _around_drawn(open_: DataFrame, turn: int, percent: int) -> DataFrame:
+    centre = F.min_by(F.struct("key", "n", "component"), F.xxhash64("key", F.lit(turn)))
+    centres = open_.groupBy("band").agg(centre.alias("hub"))
+    centres = centres.select("band", *(F.col(f"hub.{c}").alias(k) for c, k in (("key", "hub"), ("n", "n_b"), ("component", "c_b"))))
+    pairs = open_.withColumnsRenamed({"n": "n_a", "component": "c_a"}).join(centres, "band").filter(_joinable(percent))
+    return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair that can still join two components: all of a small bucket's, and by prefixes."""
+    large = open_.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > PAIRED)
+    small = open_.join(large, "band", "left_anti")
+    among = open_.join(large, "band", "left_semi").select("key", "n", "component").distinct()
+    by_prefix = _prefixes(settle(among, "among"), sets, percent)
+    small = small.select("*", F.lit(0).alias("own"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("before"))
+    return _joined(small, "band", percent).unionByName(_joined(by_prefix, "shingle", percent)).distinct()
+
+
+def _joined(rows: DataFrame, by: str, percent: int) -> DataFrame:
+    names = {"key": "", "n": "n_", "component": "c_", "own": "own_", "at": "at_", "before": "before_"}
+    one, two = (rows.select(by, *(F.col(c).alias(x + k) for c, x in names.items())) for k in "ab")
+    # what only one of both has can't be shared: bounds of intersection and union
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    least = F.greatest(F.col("n_a") + F.col("own_b"), F.col("n_b") + F.col("own_a"))
+    # nor can more be shared than what follows the first shared shingle in either's order
+    after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    possible = (100 * most >= percent * least) & ((100 + percent) * after >= percent * (F.col("n_a") + F.col("n_b")))
+    possible = possible & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+    # a pair that shares the key before this one as well has met there
+    possible = possible & F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+    return one.join(two, by).filter(possible).select("a", "b").distinct()
+
+
+def _prefixes(among: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rarest shingles of each document, so many that linked documents must share one of them.
+
+    With n shingles in one order for all (those of up to RARE documents by their number, then the
+    others), a link needs at least percent * n / 100 shared ones, so one of the first
+    n - ceil(percent * n / 100) + 1. A shingle whose documents are all of one component is left
+    out. ``own`` counts a document's shingles that no other has; with too many of those it can't
+    be linked at all.
+    """
+    held = settle(among.join(sets, "key"), "held")
+    # a shingle once for each task, with its documents there: common ones are summed up early
+    holders = settle(held.select("key", "shingles").mapInArrow(_holders, "shingle long, n long, keys array<long>"), "holders")
+    often = holders.groupBy("shingle").agg(F.sum("n").alias("often")).filter(F.col("often") <= RARE)
+    rare = holders.join(often, "shingle").select("shingle", "often", F.explode("keys").alias("key")).groupBy("key")
+    rare = rare.agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("rare"))
+    ranked = held.join(rare, "key", "left")
+    ranked = ranked.withColumn("own", F.size(F.filter(F.coalesce("rare", F.array()), lambda x: x["often"] == 1)))
+    ranked = ranked.withColumn("rare", F.coalesce("rare.shingle", F.array().cast("array<long>")))
+    linkable = ranked.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rows = linkable.withColumn("ranked", F.concat("rare", F.array_except("shingles", "rare")))
+    rows = rows.withColumn("shingle", F.slice("ranked", F.lit(1), length.cast("int")))
+    rows = rows.withColumn("before", F.concat(F.array(F.lit(None).cast("long")), "shingle"))
+    rows = rows.select("key", "n", "component", "own", F.posexplode(F.arrays_zip("shingle", "before")).alias("at", "x"))
+    first = settle(rows.select("key", "n", "component", "own", "at", "x.shingle", "x.before").filter("shingle is not null"), "prefixes")
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return first.join(mixed.select("shingle"), "shingle", "left_semi")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS
 ) -> DataFrame:
@@ -170,19 +269,17 @@ def near_duplicates(
     sets = settle(reader.mapInArrow(_set_reader(words), "key long, shingles array<long>"), "sets")
     links = settle(_confirmed(stars, sets, percent).unionByName(same.filter("a <> b")), "star-links")
 
-    # what stars can't show: links between different components that share a bucket
-    found = components(links)
-    placed = members.select("band", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("band", "key", "n", F.coalesce("component", "key").alias("component"))
-    placed = settle(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    open_ = placed.join(mixed.select("band"), "band", "left_semi")
-    one, two = (open_.select("band", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("component").alias(f"c_{k}")) for k in "ab")
-    near = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    sized = (100 * F.least("n_a", "n_b")) >= (percent * F.greatest("n_a", "n_b"))
-    rest = one.join(two, "band").filter(near & sized).select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(rest, sets, percent))
+    # a bucket's members may link to others than its smallest: some more stars around members
+    # drawn by hash, then every pair that could still join two components of a bucket
+    tried = stars
+    for turn in range(DRAWN_STARS + 1):
+        found = components(links)
+        open_ = _undecided(members, found)
+        pairs = _around_drawn(open_, turn, percent) if turn < DRAWN_STARS else _across(open_, sets, percent)
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        pointers = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        links = settle(pointers.unionByName(_confirmed(pairs, sets, percent)), "links")
 
     final = components(links).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
