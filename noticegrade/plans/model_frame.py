@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade import settings
+from noticegrade.functions.storage import settle
 from noticegrade.operators.features import (
     add_domain_features,
     add_request_features,
@@ -33,7 +34,7 @@ def model_frame_from_joined(joined: DataFrame) -> DataFrame:
 
 
 def model_frame(domains: DataFrame, requests: DataFrame) -> DataFrame:
-    """The same frame straight from the clean tables, with two wide shuffles, not four.
+    """The same frame straight from the clean tables: domains meet requests once.
 
     Organisation and owner history depend only on the request, so they are attached at
     request grain, weighting each request by its number of domain rows. That is what
@@ -49,17 +50,13 @@ def model_frame(domains: DataFrame, requests: DataFrame) -> DataFrame:
     context = add_request_features(
         weighted, "request_", "request_", weight="_domain_rows"
     ).drop("_domain_rows")
-    grain = domain_grain(domains)
-    dated = attach_context(
-        grain.select("request_id", "domain", "domain_removal_rate"),
-        requests.select("request_id", "date"),
-    )
+    # the one wide join, written once: domain history reads three of its columns
+    attached = settle(attach_context(domain_grain(domains), context), "attached")
     return (
-        attach_context(grain, context)
-        .transform(_zero_missing_ratios)
+        attached.transform(_zero_missing_ratios)
         .transform(
             lambda d: add_domain_features(
-                d, input_prefix="domain_", history_from=dated
+                d, input_prefix="domain_", history_from=attached.select("domain", "date", "domain_removal_rate")
             )
         )
         .transform(lambda d: make_label(d, target_col="domain_removal_rate"))
