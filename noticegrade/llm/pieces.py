@@ -7,7 +7,7 @@ the metaspace mark for spaces, the unigram scores or, for a BPE model, the merge
 scores imply, and byte fallback. Whole texts are encoded in batches, on several threads.
 
 Parity with the reference implementation is checked on every row whose hash is a multiple of
-``parity_every``; decoding is checked on every row.
+``parity_every``; decoding is checked on every row, by the pieces' own bytes.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from noticegrade.llm.words import slices, text_buffers
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 MARK = "▁"
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 
 #: Fixed values of the model format: kinds of pieces, and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -169,8 +171,22 @@ def encode(texts: list[str], data: bytes, threads: int = THREADS) -> list[list[i
     return out
 
 
-def decode(ids: list[list[int]], data: bytes, threads: int = THREADS) -> list[str]:
-    return _ready(data, threads).decode_batch(ids, skip_special_tokens=False)
+@lru_cache(maxsize=2)
+def _spelled(data: bytes) -> tuple[list[bytes], bool]:
+    """The bytes that each id stands for, and whether a leading mark is to be taken off."""
+    model = read_model(data)
+    spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+    return spelled, model.add_leading_mark
+
+
+def decode(ids: list[list[int]], data: bytes) -> list[str]:
+    """Texts of ids: their pieces' bytes read as UTF-8 (what isn't is replaced).
+
+    The same as the tokenizer's own decoder, in a fraction of its time.
+    """
+    spelled, marked = _spelled(data)
+    texts = (b"".join([spelled[i] for i in x]).decode("utf-8", "replace") for x in ids)
+    return [t.removeprefix(" ") if marked else t for t in texts]
 
 
 def normalised(text: str, model: PieceModel) -> str:
@@ -215,13 +231,8 @@ def tokenise(
         data = shared.value
         model = read_model(data)
         for whole in batches:
-            sizes = np.cumsum([len(t or "") for t in whole.column("text").to_pylist()])
-            start = 0
-            while start < whole.num_rows:
-                before = sizes[start - 1] if start else 0
-                end = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES)))
+            for start, end in slices(text_buffers(whole.column("text"))[1], BATCH_BYTES):
                 batch = whole.slice(start, end - start)
-                start = end
                 columns = _columns(batch, data, model, threads, add)
                 yield pa.RecordBatch.from_arrays([*map(batch.column, names), *columns], names=[*names, *add])
 
@@ -237,7 +248,7 @@ def _columns(batch: pa.RecordBatch, data: bytes, model: PieceModel, threads: int
     if "ids_sha256" in add:
         got["ids_sha256"] = pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids])
     if "round_trip" in add:
-        back = decode(ids, data, threads)
+        back = decode(ids, data)
         got["round_trip"] = pa.array([a == normalised(t, model) for a, t in zip(back, texts, strict=True)])
     if "parity" in add:
         rows = [i for i, yes in enumerate(batch.column("compare ").to_pylist()) if yes]
