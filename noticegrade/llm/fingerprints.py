@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noticegrade.functions.storage import settle
-from noticegrade.llm.words import mix
+from noticegrade.llm.words import mix, small_batches
 
 BUCKETS = 1024
 _TABLES = (mix(np.arange(768, dtype=np.uint64), 51).reshape(3, 256) % np.uint64(BUCKETS)).astype(np.uint16)
@@ -57,10 +57,10 @@ class Digest:
         self.ratios = (int(low * 15 // high) if high else 0, int(mid * 15 // high) if high else 0)
         self.codes = ((counts > low).astype(np.uint8) + (counts > mid) + (counts > high)).astype(np.uint8)
 
-    def hex(self) -> str:
+    def raw(self) -> bytes:
         four = self.codes.reshape(-1, 4)
         packed = four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]
-        return f"{self.length:02x}{self.ratios[0]:x}{self.ratios[1]:x}{packed.astype(np.uint8).tobytes().hex()}"
+        return bytes([self.length, self.ratios[0] << 4 | self.ratios[1]]) + packed.astype(np.uint8).tobytes()
 
     @classmethod
     def parse(cls, fingerprint: str) -> Digest:
@@ -80,7 +80,7 @@ class Digest:
 
 
 def fingerprint(text: str | None) -> str:
-    return Digest(text or "").hex()
+    return Digest(text or "").raw().hex()
 
 
 def likeness(a: str, b: str) -> float:
@@ -88,8 +88,9 @@ def likeness(a: str, b: str) -> float:
     return Digest.parse(a).likeness(Digest.parse(b))
 
 
+#: Hashes and digests stay bytes, half as long as their hex, until they are returned.
 _RESULT = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 )
 _FIELDS = [part.split()[0] for part in _RESULT.split(", ")]
 
@@ -98,8 +99,8 @@ def _compared(text: str, digest: Digest, after: str, after_digest: Digest) -> tu
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     other = Digest(edited)
-    sha = hashlib.sha256(edited.encode()).hexdigest()
-    return len(text), sha, digest.hex(), other.hex(), digest.likeness(other), digest.likeness(after_digest)
+    sha = hashlib.sha256(edited.encode()).digest()
+    return len(text), sha, digest.raw(), other.raw(), digest.likeness(other), digest.likeness(after_digest)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     part = TaskContext.get().partitionId()
     held = None
-    for batch in batches:
+    for batch in small_batches(batches):
         rows, edges = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             digest = Digest(text)
@@ -131,7 +132,7 @@ def _batch(rows: list[tuple], edges: list[tuple], part: int) -> pa.RecordBatch:
     blank = (None,) * len(_FIELDS)
     full = [(*r, None, part, None) for r in rows] + [(i, *blank, kind, part, text) for kind, i, text in edges]
     columns = list(zip(*full, strict=True)) or [()] * (len(_FIELDS) + 4)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
     names = ["doc_id", *_FIELDS, "edge", "part", "text"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -170,4 +171,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ends = done.filter("edge = 1").select("doc_id", "part", "text")
     ends = ends.join(parts, "part").join(starts, "next_part").select("doc_id", "text", "after")
     ends = ends.mapInArrow(_pairs, f"doc_id long, {_RESULT}")
-    return done.filter("edge is null").select("doc_id", *_FIELDS).unionByName(ends)
+    out = done.filter("edge is null").select("doc_id", *_FIELDS).unionByName(ends)
+    shown = [F.lower(F.hex(c)).alias(c) if k == "binary" else F.col(c) for c, k in out.dtypes]
+    return out.select(*shown)
