@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticegrade.llm.words import ALPHANUMERIC, slices, text_buffers, word_hashes
+from noticegrade.llm.words import ALPHANUMERIC, slices, small_batches, text_buffers, word_hashes
 
 WINDOW = 13
 #: Bytes of benchmark text that a pass sends to the tasks.
@@ -131,7 +131,7 @@ def _longest(place, which, windows: Windows) -> tuple[np.ndarray, np.ndarray, np
 def _marker(shared, carried: list[str]):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, 2000):
             data, offsets = text_buffers(batch.column("text"))
             before = batch.column("marks").to_pylist()
             out = []
