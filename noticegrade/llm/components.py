@@ -8,11 +8,15 @@ the shared folder, so a lost executor costs a re-read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from noticegrade.functions.storage import settle
 
+FILE_LINKS = 50_000
+
 
 def _star(links: DataFrame, larger: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,8 +30,17 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(links: DataFrame, most: int | None = None) -> tuple[DataFrame, tuple]:
+    """``links`` written, and what tells whether they are still the same, from the same pass.
+
+    With ``most`` links known beforehand they go to as few files as hold ``FILE_LINKS`` each.
+    """
+    seen = Observation()
+    if most is not None:
+        links = links.coalesce(max(1, math.ceil(most / FILE_LINKS)))
+    mark = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    out = settle(links.observe(seen, *mark), "links")
+    return out, tuple(seen.get.values())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,15 +49,12 @@ def components(links: DataFrame) -> DataFrame:
     Self-links and nulls are left out; a graph without links gives an empty table.
     """
     now = links.select("a", "b").filter("a <> b")
-    now = settle(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = _mark(now)
+    now, mark = _written(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while mark[0]:
-        new = settle(_star(_star(now, larger=True), larger=False), "links")
-        new_mark = _mark(new)
-        now = new
-        if new_mark == mark:
+        now, after = _written(_star(_star(now, larger=True), larger=False), mark[0])
+        if after == mark:
             break
-        mark = new_mark
+        mark = after
     pointed = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pointed.unionByName(roots)

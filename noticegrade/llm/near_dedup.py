@@ -9,9 +9,8 @@ With the production values (96 permutations, bands of 3, so 32 bands of 6 values
 documents of resemblance exactly 0.8 share no band with probability 6e-5, of 0.85 with 3e-7.
 
 Links are confirmed on full sets of shingles. Documents with equal sets are one class first.
-A bucket's members are held against its smallest member, then, while a bucket still holds several
-components, against another one drawn by hash; each of these steps makes at most a pair for each member.
-What is left then are members of different components of one bucket. In buckets of a bounded
+A bucket's members are held against its smallest member, which makes at most a pair for each.
+What is left after the components of those links are members of different components of one bucket. In buckets of a bounded
 size they are paired in full; in larger ones those are paired that share one of their rarest
 shingles, of which each document has so many that a link can't be missed (prefix filtering). So
 a large group of like documents doesn't make pairs with the square of its size, and no link
@@ -33,8 +32,6 @@ from noticegrade.llm.words import SPACE_SEPARATED, mix, slices, small_batches, t
 
 PERMUTATIONS = 96
 ROWS = 3
-#: Rounds in which every open bucket's members are held against one more of them.
-DRAWN_STARS = 1
 #: Up to so many members a bucket's open pairs are taken in full; beyond, by shared rare shingles.
 PAIRED = 64
 #: Shingles of up to so many of those documents come first in the order; it doesn't change results.
@@ -163,26 +160,12 @@ def _undecided(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed.select("band"), "band", "left_semi")
 
 
-def _joinable(percent: int) -> Column:
-    """Of different components, and near enough in size for the wanted resemblance."""
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return (F.col("c_a") != F.col("c_b")) & sized
-
-
-def _around_drawn(open_: DataFrame, turn: int, percent: int) -> DataFrame:
-    centre = F.min_by(F.struct("key", "n", "component"), F.xxhash64("key", F.lit(turn)))
-    centres = open_.groupBy("band").agg(centre.alias("hub"))
-    centres = centres.select("band", *(F.col(f"hub.{c}").alias(k) for c, k in (("key", "hub"), ("n", "n_b"), ("component", "c_b"))))
-    pairs = open_.withColumnsRenamed({"n": "n_a", "component": "c_a"}).join(centres, "band").filter(_joinable(percent))
-    return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-
-
 def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair that can still join two components: all of a small bucket's, and by prefixes."""
     large = open_.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > PAIRED)
     small = open_.join(large, "band", "left_anti")
     among = open_.join(large, "band", "left_semi").select("key", "n", "component").distinct()
-    by_prefix = _prefixes(settle(among, "among"), sets, percent)
+    by_prefix = _prefixes(among, sets, percent)
     small = small.select("*", F.lit(0).alias("own"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("before"))
     return _joined(small, "band", percent).unionByName(_joined(by_prefix, "shingle", percent)).distinct()
 
@@ -267,19 +250,14 @@ def near_duplicates(
     needed = members.select("key").distinct()
     reader = texts.withColumnRenamed("doc_id", "key").join(needed, "key")
     sets = settle(reader.mapInArrow(_set_reader(words), "key long, shingles array<long>"), "sets")
-    links = settle(_confirmed(stars, sets, percent).unionByName(same.filter("a <> b")), "star-links")
-
-    # a bucket's members may link to others than its smallest: some more stars around members
-    # drawn by hash, then every pair that could still join two components of a bucket
-    tried = stars
-    for turn in range(DRAWN_STARS + 1):
-        found = components(links)
-        open_ = _undecided(members, found)
-        pairs = _around_drawn(open_, turn, percent) if turn < DRAWN_STARS else _across(open_, sets, percent)
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        pointers = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        links = settle(pointers.unionByName(_confirmed(pairs, sets, percent)), "links")
+    links = _confirmed(stars, sets, percent).unionByName(same.filter("a <> b"))
+
+    # a bucket's members may link to others than its smallest: every pair that could still join
+    # two components of a bucket
+    found = components(links)
+    pairs = _across(_undecided(members, found), sets, percent).join(stars, ["a", "b"], "left_anti")
+    pointers = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = pointers.unionByName(_confirmed(pairs, sets, percent))
 
     final = components(links).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
