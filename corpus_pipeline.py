@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand in an earlier place; ``n_chars`` follows."""
-    out = dedup_lines(docs)
+    """All documents, without lines that stand in an earlier place, short ones included; ``n_chars`` follows."""
+    out = dedup_lines(docs, least_exact=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -2,7 +2,8 @@
 
 Two lines are alike if one edit at most (a character put in, left out or replaced) makes one
 of the other. A line goes if an alike line stands earlier: in a document of smaller id, or
-further up in its own. Lines below ``least_chars`` characters always stay.
+further up in its own. Lines below ``least_chars`` characters go only if they equal an earlier
+line and have ``least_exact`` or more; they need one hash, no variants.
 
 A line's neighbourhood is all its variants with one character left out, as hashes. Variants
 are joined by grouping: with the place of the missing character in the key, all lines of a
@@ -39,25 +40,27 @@ def _end(line: Column, n: Column) -> Column:
     return F.when(n > 0, F.substring(line, -n, n)).otherwise("")
 
 
-def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Every line of ``least_chars`` or more: its place, hashes, and hashes of its two ends.
+def _lines(docs: DataFrame, least_chars: int, least_exact: int) -> DataFrame:
+    """Every line of ``least_exact`` or more: its place, hashes, and hashes of its two ends.
 
+    Lines below ``least_chars`` have no ends, so no other line is like them but by equality.
     The ends' length is the largest power of two that is no more than half the line. A line
     whose length is a power of two has ends of half that length too, for lines one shorter.
     """
     text = F.col("text")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    rows = rows.withColumn("n", F.length("line")).filter(F.col("n") >= least_chars)
+    rows = rows.withColumn("n", F.length("line")).filter(F.col("n") >= min(least_exact, least_chars))
     line = F.col("line")
     rows = rows.withColumn("part", F.expr("shiftleft(1, length(bin(n)) - 2)"))
     part, twice = F.col("part"), F.col("n") == 2 * F.col("part")
     half = (part / 2).cast("int")
+    long = F.col("n") >= least_chars
     return rows.select(
         *_PLACE, "line", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"),
-        F.xxhash64(F.lit(0), part, F.substring(line, F.lit(1), part)).alias("e0"),
-        F.xxhash64(F.lit(1), part, _end(line, part)).alias("e1"),
-        F.when(twice, F.xxhash64(F.lit(0), half, F.substring(line, F.lit(1), half))).alias("e2"),
-        F.when(twice, F.xxhash64(F.lit(1), half, _end(line, half))).alias("e3"),
+        F.when(long, F.xxhash64(F.lit(0), part, F.substring(line, F.lit(1), part))).alias("e0"),
+        F.when(long, F.xxhash64(F.lit(1), part, _end(line, part))).alias("e1"),
+        F.when(long & twice, F.xxhash64(F.lit(0), half, F.substring(line, F.lit(1), half))).alias("e2"),
+        F.when(long & twice, F.xxhash64(F.lit(1), half, _end(line, half))).alias("e3"),
     )
 
 
@@ -132,13 +135,14 @@ def _alike(candidates: DataFrame, blocks: int) -> DataFrame:
     return both.filter(F.levenshtein("line", "earlier", 1) >= 0).select("place.*")
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, blocks: int = BLOCKS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, blocks: int = BLOCKS, least_exact: int | None = None) -> DataFrame:
     """``docs`` with ``text`` without repeated lines, and n_lines, n_exact and n_near.
 
     A line (what stands between line feeds) of ``least_chars`` or more characters goes if an
     alike line stands earlier; n_exact counts those that equal an earlier line, n_near the
-    others that are one edit away from one. Shorter and empty lines stay. A text whose lines
-    all go is empty, its row stays; a null text stays null and has no lines.
+    others that are one edit away from one. Of shorter lines, those of ``least_exact`` or more
+    (None: no shorter ones) go if they equal an earlier line. Other and empty lines stay. A text
+    whose lines all go is empty, its row stays; a null text stays null and has no lines.
 
     Earlier is a smaller doc_id (null is smallest), then a smaller place in the text. Rows that
     repeat a doc_id are ordered by a hash of their text; rows that repeat both are one document
@@ -147,7 +151,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, blocks: int = B
     added = ("n_lines", "n_exact", "n_near")
     names = [c for c in docs.columns if c not in added]
     docs = docs.select(*names).withColumn("text", F.col("text").cast("string"))
-    lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least_chars)
+    lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least_chars, least_chars if least_exact is None else max(least_exact, 1))
     place = F.struct(*_PLACE)
     first = lines.groupBy(*_LINE, "e0", "e1", "e2", "e3").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     first = settle(first, "lines")

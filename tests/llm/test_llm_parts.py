@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from noticegrade.llm import decontaminate, licence_rules, lines, pieces, quality, warc
 
 
@@ -105,6 +106,16 @@ def test_lines_by_brute_force(spark, least, alphabet, lengths):
     assert sum(w[2] for w in want.values()) > 20
 
 
+def test_short_lines_go_if_they_repeat_exactly(spark):
+    long = "a line of twenty characters or more"
+    docs = [(1, f"Ietzte.\n\nx\n{long}"), (2, f"Ietzte.\n\nIetzte!\n{long}s"), (3, "x\nIetzte!\n ")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in lines.dedup_lines(frame, least_exact=1).collect()}
+    assert out == {1: (docs[0][1], 0, 0), 2: ("\nIetzte!", 1, 1), 3: (" ", 2, 0)}
+    stage = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["lines"](spark, frame, "").collect()}
+    assert stage == {i: text for i, (text, _, _) in out.items()}
+
+
 def test_chunks_of_a_large_benchmark_add_up(spark):
     draw = random.Random(2)
     words = [f"w{k}" for k in range(12)]
