@@ -835,14 +835,11 @@ def model_replay(spark, sf):
     return _plain(backtest.precision_at_k(replayed))
 
 
-CHECK_TREES = 20
-
-
 @query
 def challenger_scores(spark, sf):
     """The same by the calibrated boosted trees."""
     train, held = _matrix(spark, sf, True)
-    model = models.train_challenger(train, _used(True), trees=CHECK_TREES)
+    model = models.train_challenger(train, _used(True))
     scored = model.explain(model.predict_proba(held))
     return _plain(
         explain.flatten_reasons(scored, ["request_id", "domain", "action_probability"])
@@ -857,7 +854,7 @@ def model_comparison(spark, sf):
         train, held = _matrix(spark, sf, exclude)
         fitted = {
             "baseline": models.train_baseline(train, _used(exclude)),
-            "challenger": models.train_challenger(train, _used(exclude), trees=CHECK_TREES),
+            "challenger": models.train_challenger(train, _used(exclude)),
         }
         row = models.compare_models(held, fitted).withColumn(
             "outcome_ratios", F.lit("excluded" if exclude else "kept")

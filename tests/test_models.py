@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from noticegrade.operators import evaluate as E
 from noticegrade.operators import explain as X
 from noticegrade.operators import models as Mo
+from noticegrade.plans import registered
 
 FEATURES = ["a", "b", "c"]
 
@@ -100,6 +102,24 @@ def test_challenger_ranks_and_models_compare(frame):
     assert single == pytest.approx([r["roc_auc"] for r in rows if r["model"] == "baseline"][0])
 
 
+@pytest.mark.parametrize("name", ["challenger_scores", "model_comparison"])
+def test_registered_queries_fit_all_trees(monkeypatch, name):
+    asked, signature = [], inspect.signature(Mo.train_challenger)
+
+    def train(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        asked.append(bound.arguments["trees"])
+        raise InterruptedError
+
+    monkeypatch.setattr(registered, "_matrix", lambda *_: (None, None))
+    monkeypatch.setattr(registered.models, "train_baseline", lambda *_: None)
+    monkeypatch.setattr(registered.models, "train_challenger", train)
+    with pytest.raises(InterruptedError):
+        registered.QUERIES[name](None, None)
+    assert asked == [250]
+
+
 def test_labels_must_have_two_classes(frame):
     with pytest.raises(ValueError, match="both positive and negative"):
         Mo.train_baseline(frame.where("action = 1"), FEATURES)
