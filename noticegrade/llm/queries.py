@@ -34,7 +34,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenise(_table(spark, sf_dir, "documents"), keep=["doc_id"], add=["n_tokens", "ids_sha256", "round_trip", "parity"])
+    docs = _table(spark, sf_dir, "documents")
+    return tokenise(docs, keep=["doc_id"], add=["n_tokens", "ids_sha256", "round_trip", "parity"], parity_every=1)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,11 @@ def test_tokens_equal_the_reference_implementation(spark, texts):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
 
 
+def test_every_row_is_compared_with_the_reference(spark, texts):
+    got = {r["doc_id"]: r["parity"] for r in result(spark, "op3_sentencepiece")}
+    assert got == dict.fromkeys(texts, True)
+
+
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_fingerprints_by_brute_force(spark, texts, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
