@@ -1,12 +1,14 @@
 """WARC archives of pages, written by Spark, and a salvage reader for archives with damage.
 
-``write_archives`` makes a record of every page in the engine's own expressions and writes the
-archives with its text writer, so they go to whatever store the folder is in. ``read_archives``
+``write_archives`` makes a record of every page in the engine's own expressions, compresses each
+in a gzip member of its own, and writes the archives with Spark's text writer, so they go to
+whatever store the folder is in. ``read_archives``
 reads whole archive files. Every record is checked: version line, headers, length, the blank
 lines after the block, and the payload's digest. Where a check fails the reader looks for the
 next place at which a record passes all checks, goes on from there, and logs the bytes between
 as a gap, with the first reason. In compressed archives the same is done with members: what a
-damaged member gave before the damage is used, then the next valid member is looked for.
+damaged member gives up to the very byte that fails is used, then the next valid member is
+looked for.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticegrade.llm.words import small_batches
+
 #: Records of an archive file, at most.
 FILE_RECORDS = 4000
 #: Fixed values of the format.
@@ -76,10 +81,35 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r")).alias("value"))
 
 
+def _member_of(value: str) -> bytes:
+    """A record's gzip member without its last byte, which is 0."""
+    data = value.encode() + b"\n"
+    member = zlib.compress(data, 6, 31)
+    if member[-1]:  # the length's last byte, from 16 MB on: an empty member after it ends with 0
+        member += zlib.compress(b"", 6, 31)
+    return member[:-1]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches):
+        members = [_member_of(value) for value in batch.column("value").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+
+
 def write_archives(pages: DataFrame, folder: str, compression: str = "gzip", least_bytes: int = 0) -> None:
-    """Write ``pages`` as archives of at most ``FILE_RECORDS`` records each below ``folder``."""
-    out = records(pages, least_bytes).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS)
-    out.option("compression", compression).text(folder)
+    """Write ``pages`` as archives of at most ``FILE_RECORDS`` records each below ``folder``.
+
+    With gzip every record is a member of its own, so damage in one leaves the others whole. The
+    text writer doesn't know of the members: their files are named as plain text. Any other
+    ``compression`` is the text writer's.
+    """
+    out, separator = records(pages, least_bytes), "\n"
+    if compression == "gzip":
+        # what the writer puts between lines is the members' last byte
+        out, separator = out.mapInArrow(_members, "value binary").select(F.col("value").cast("string")), "\0"
+        compression = "none"
+    writer = out.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_RECORDS)
+    writer.option("compression", compression).text(folder)
 
 
 @dataclass
@@ -145,6 +175,16 @@ def salvage_records(data: bytes) -> Iterator[Found]:
         yield Found(gap, len(data) - gap, why)
 
 
+def _before_damage(data: bytes, at: int, pos: int) -> bytes:
+    """All that the member at ``at`` gives before it fails, which is in the piece at ``pos``."""
+    step = zlib.decompressobj(31)
+    out = [step.decompress(data[at:pos])]
+    with suppress(zlib.error):  # a call that fails gives nothing, so a byte at a time
+        for k in range(pos, len(data)):
+            out.append(step.decompress(data[k : k + 1]))
+    return b"".join(out)
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
     """(content, end, what is wrong) of the member at ``at``; content as far as it came."""
     step = zlib.decompressobj(31)
@@ -154,7 +194,7 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
         try:
             out.append(step.decompress(piece))
         except zlib.error as error:
-            return b"".join(out), pos, f"bad member: {error}"
+            return _before_damage(data, at, pos), pos, f"bad member: {error}"
         pos += len(piece)
     if not step.eof:
         return b"".join(out), len(data), "member without an end"

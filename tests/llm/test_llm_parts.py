@@ -66,6 +66,33 @@ def test_members_after_a_damaged_one_are_recovered():
     assert split(warc.salvage(data)) == ([b"plain", BLOCKS[0] * 50], [(0, 7, "no member")])
 
 
+@pytest.mark.parametrize("far", [4, 9000])
+def test_a_damaged_member_gives_what_lies_before(far):
+    draw = random.Random(4)
+    blocks = [bytes(draw.choices(range(256), k=1000)) for _ in range(60)]
+    data = bytearray(gzip.compress(b"".join(map(record, blocks))))
+    data[-8 if far == 4 else -far] ^= 0xFF  # in the checksum, or in one of the last records
+    kept, gaps = split(warc.salvage(bytes(data)))
+    assert gaps == [(0, len(data), gaps[0][2])] and gaps[0][2].startswith("bad member")
+    assert kept == blocks if far == 4 else blocks[:50] == kept[:50]
+
+
+def test_damage_in_a_written_archive_costs_one_record(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"<p>page {i} é</p>" * 40) for i in range(200)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/a")
+    data = b"".join(p.read_bytes() for p in sorted(tmp_path.glob("a/part-*")))
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 200
+    assert sorted(f.headers["warc-record-id"] for f in warc.salvage(data)) == sorted(f"<urn:page:{i}>" for i, *_ in rows)
+    second = data.index(b"\x1f\x8b\x08", 1)
+    data = data[: second + 60] + bytes([data[second + 60] ^ 0xFF]) + data[second + 61 :]
+    assert sum(f.reason is None for f in warc.salvage(data)) == 199
+
+
+def test_members_of_any_length_end_alike():
+    for n in (0, 5, 1 << 24):
+        assert gzip.decompress(warc._member_of("x" * n) + b"\0") == b"x" * n + b"\n"
+
+
 def one_edit(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
