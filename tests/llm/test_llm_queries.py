@@ -112,6 +112,20 @@ MARKUP = [
 ]
 
 
+NAMES = [
+    ('<article class="post overflow-hidden"><p>See <a href="/the-hidden-valley">the valley</a> and <i title="hidden gems">gems</i>.', ["See the valley and gems."]),
+    ("<body class='overflow-hidden'><article><p data-state=hidden>a<p hidden>b<p hidden=''>c<p>d", ["a", "d"]),
+    ('<article><h2 id="social-structure">H</h2><p id="share-prices">P</p><section id="search-methods">S</section>', ["H", "P", "S"]),
+    ('<article><h2 id="comments">On comments</h2><p>t</p><div id="comments">c</div><div id="post-comments">c</div><div id="share-buttons">s', ["On comments", "t"]),
+    ('<div id="main"><p>t</p><div id="comment-3">c</div></div><div id="social-feed">s</div>', ["t"]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), NAMES)
+def test_names_and_hidden_in_a_main_part(page, want):
+    test_blocks(page, want)
+
+
 @pytest.mark.parametrize(("page", "want"), MARKUP)
 def test_blocks(page, want):
     got = extract.blocks(page)
