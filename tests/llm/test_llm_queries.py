@@ -142,6 +142,19 @@ def test_repeated_runs_of_a_host_are_boilerplate(spark):
     assert got[100]["text"].count("\n") == 2 and got[200]["text"] == got[201]["text"] == "one two three four five six seven"
 
 
+def test_text_that_few_pages_share_stays(spark):
+    story = lambda i: " ".join(f"s{i}w{k}" for k in range(80))
+    menu, quote = "<div>Home News Sport Weather Travel Money and more</div>", "as far as I can see from here"
+    rows = [(i, f"http://a.com/{i}", f"{menu}<div>{i} visits</div><p>{story(i)} {quote} z{i}</p>") for i in range(20)]
+    rows += [(20, "http://a.com/0?print", f"{menu}<div>77 visits</div><p>{story(0)} {quote} z0</p>")]  # a near copy
+    rows += [(21, "http://a.com/1?print", f"{menu}<div>1 visits</div><p>{story(1)} {quote} z1 printed</p>")]
+    rows += [(30 + i, f"http://b.com/{i}", f"<div>{i} visits</div><p>{story(9)}</p>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        want = re.sub(r"<[^>]+>", "\n", page.replace(menu, "")).split("\n")
+        assert got[i] == "\n".join(x for x in want if x), i
+
+
 def test_shards_are_whole_even_and_keep_groups(spark, texts):
     rows = result(spark, "op6_sharding")
     assert sorted(r["doc_id"] for r in rows) == list(texts)
