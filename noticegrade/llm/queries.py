@@ -12,9 +12,12 @@ from noticegrade.llm.fingerprints import fingerprints
 from noticegrade.llm.licences import scan_licences
 from noticegrade.llm.lines import dedup_lines
 from noticegrade.llm.near_dedup import near_duplicates
+from noticegrade.llm.periodic import periodic_runs
 from noticegrade.llm.pieces import tokenise
 from noticegrade.llm.quality import classify_quality, held_out
 from noticegrade.llm.sharding import shard
+from noticegrade.llm.simhash import simhash_duplicates
+from noticegrade.llm.spelling import spelling_variants, vocabulary
 from noticegrade.llm.warc import read_archives, write_archives
 
 
@@ -79,6 +82,51 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents made periodic from some word on, as the contract of op11 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    w = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    found = found.withColumn("w", F.when(F.col("h") % 10 == 0, w)).withColumn("n", F.size("w"))
+    first = (F.col("g") % F.col("n")).cast("int")
+    found = found.withColumn("first", F.when(F.col("n") > 0, first))
+    period = 1 + F.floor((F.col("n") - F.col("first")) / (3 + F.col("g") % 8)).cast("int")
+    found = found.withColumn("period", period)
+    place = lambda i: F.when(i < F.col("first"), i).otherwise(F.col("first") + (i - F.col("first")) % F.col("period"))
+    made = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", place(i)))
+    return found.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(_table(spark, sf_dir, "documents")), keep=["doc_id"])
+    # the first of the runs with the greatest length / period, as they are in order of start and period
+    longer = lambda a, x: x["length"] * a["period"] > a["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(longer(a, x), x).otherwise(a))
+    line = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vocabulary(_table(spark, sf_dir, "documents"), damage_every=199)
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -90,4 +138,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_licences": op10_licences,
+    "op11_periods": op11_periods,
+    "op12_spelling": op12_spelling,
+    "op13_simhash": op13_simhash,
 }
