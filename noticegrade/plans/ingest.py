@@ -15,6 +15,7 @@ from noticegrade.operators.joined import (
     sample_requests,
 )
 from noticegrade.sources.raw import land, read_raw_csv, validate_sources
+from noticegrade.sources.split_csv import read_split_csv
 from noticegrade.sources.tables import RowCounter, read_table, write_by_month, write_table
 
 
@@ -57,11 +58,21 @@ def run_ingest(
     seed: int = settings.SEED,
     multi_line: bool = True,
 ) -> DataFrame:
-    """The whole job: validate, land, clean, join, sample. Returns the row-count audit."""
+    """The whole job: validate, land, clean, join, sample. Returns the row-count audit.
+
+    Plain files are read by ranges, line breaks in fields included; a gzip file is one task.
+    ``multi_line=False`` is for files known to have no line breaks in fields.
+    """
     layout = Layout(out)
     paths = validate_sources(spark, raw_folder)
+
+    def read(path: str) -> DataFrame:
+        if multi_line and not path.endswith(".gz"):
+            return read_split_csv(spark, path)
+        return read_raw_csv(spark, path, multi_line=multi_line)
+
     raw = {
-        name: land(read_raw_csv(spark, path, multi_line=multi_line), layout.path("landed", name))
+        name: land(read(path), layout.path("landed", name))
         for name, path in zip(("requests", "domains"), paths)
     }
     counts = clean_and_count(

@@ -18,7 +18,7 @@ from noticegrade.operators import backtest, clean, evaluate, explain, features,
 from noticegrade.operators import joined as J
 from noticegrade.operators import models, profile, radar, select
 from noticegrade.plans import ingest, model_frame, scoring, views
-from noticegrade.sources import certificates, raw, tables
+from noticegrade.sources import certificates, raw, split_csv, tables
 from noticegrade.sources import views as V
 from noticegrade.streaming import radar as stream
 
@@ -120,6 +120,22 @@ def contract_rename(spark, sf):
     return clean.apply_contract(V.raw_requests(spark, sf), settings.REQUEST_COLUMNS)
 
 
+def _from_csv(spark, df, key, column, columns):
+    """The raw table written as CSV with line breaks in a column, and read again by ranges."""
+    folder = V.csv_folder(V.broken_lines(df, key, column), fresh_folder(spark, "csv"))
+    return clean.apply_contract(split_csv.read_split_csv(spark, folder), columns)
+
+
+@query
+def scan_requests_csv(spark, sf):
+    return _from_csv(spark, V.raw_requests(spark, sf), "Request ID", "Lumen URL", settings.REQUEST_COLUMNS)
+
+
+@query
+def scan_domains_csv(spark, sf):
+    return _from_csv(spark, V.raw_domains(spark, sf), "Request ID", "Domain", settings.DOMAIN_COLUMNS)
+
+
 @query
 def coerce_counts(spark, sf):
     typed = clean.typed_requests(V.raw_requests(spark, sf))
@@ -664,15 +680,14 @@ def noise_avoided(spark, sf):
 
 
 def _leads(spark, sf):
-    """Domains first taken down after the scorer was fitted, flagged when first seen."""
+    """Domains first taken down after the scorer was fitted, flagged by their sightings in the feed."""
     dated = settle(_dated(spark, sf), "dated")
     scorer = radar.fit_pattern_scorer(radar.known_domains(dated, LEAD_CUTOFF))
     firsts = dated.groupBy("domain").agg(F.min("date").alias("date"))
     later = firsts.where(F.col("date") >= F.lit(LEAD_CUTOFF).cast("date"))
-    shift = (7 * F.length("domain")) % 41 - 20
-    seen = later.select("domain", F.date_sub("date", shift).alias("flagged_on"))
-    risky = radar.score_domains(seen, scorer).where(F.col("risk") >= 0.5)
-    return backtest.lead_times(risky.select("domain", "flagged_on"), later)
+    seen = settle(radar.explode_hosts(certificates.parse_messages(V.takedown_feed(spark, sf))), "sightings")
+    risky = radar.score_domains(seen.select("domain").distinct(), scorer).where(F.col("risk") >= 0.5)
+    return backtest.feed_leads(seen.join(risky.select("domain"), "domain", "left_semi"), later)
 
 
 @query
@@ -725,16 +740,18 @@ def watchlist(spark, sf):
 FEED_PARTS = 4
 
 
-def _replayed(spark, sf, make_writer) -> None:
+def _replayed(spark, sf, make_writer, delayed=None) -> None:
     """Play the certificate feed to a stream as it would arrive.
 
     Each stretch of days is written as JSON files, then the stream, started from its
-    checkpoint, takes in what is new.
+    checkpoint, takes in what is new. Messages that are ``delayed`` come with the next stretch.
     """
     feed = fresh_folder(spark, "feed")
     messages = settle(V.certificate_messages(spark, sf), "messages")
     first, last = messages.agg(F.min("seen_micros"), F.max("seen_micros")).first()
     part = F.floor((F.col("seen_micros") - first) * FEED_PARTS / F.lit(last - first + 1))
+    if delayed is not None:
+        part = F.least(part + delayed.cast("int"), F.lit(FEED_PARTS - 1))
     for i in range(FEED_PARTS):
         messages.where(part == i).select("value").write.mode("append").text(feed)
         events = radar.explode_hosts(certificates.stream_messages(spark, feed))
@@ -779,6 +796,21 @@ def stream_bursts(spark, sf):
     return _plain(tables.read_table(spark, f"{base}/alerts").drop("batch"))
 
 
+@query
+def stream_late_events(spark, sf):
+    """Every twentieth message comes a stretch late: totals of all windows, and what came after they had closed."""
+    base = fresh_folder(spark, "windows")
+    _replayed(
+        spark, sf, lambda events: stream.window_writer(events, base, f"{base}/state"), F.col("event_id") % 20 == 3
+    )
+    totals = stream.read_window_counts(spark, base)
+    late = radar.window_counts(tables.read_table(spark, f"{base}/late").drop("batch", "window_start"))
+    both = totals.join(late.withColumnRenamed("n", "n_late"), ["window_start", "signature"], "left")
+    # the last correction of a window may be older than its last events in time
+    fixed = tables.read_table(spark, f"{base}/corrections").groupBy("window_start", "signature").agg(F.max("n").alias("n_corrected"))
+    return _plain(both.join(fixed, ["window_start", "signature"], "left").fillna(0, ["n_late", "n_corrected"]))
+
+
 @query
 def stream_watchlist(spark, sf):
     base = fresh_folder(spark, "watch")

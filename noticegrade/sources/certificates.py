@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticegrade.streaming.store import MergedStore
+
 # ---- fixed values: the fields of a feed message that are used ---------------------
 MESSAGE_SCHEMA = (
     "message_type string, data struct<leaf_cert: struct<all_domains: array<string>, "
@@ -41,16 +43,20 @@ def store_events(new: DataFrame, path: str, checkpoint: str):
     )
 
 
+def new_domain_store(path: str, **options) -> MergedStore:
+    return MergedStore(path.rstrip("/"), earliest_sighting, **options)
+
+
 def store_new_domains(events: DataFrame, path: str, checkpoint: str):
     """Writer of the rolling new-domain store: per batch the first sighting of each domain.
 
-    No event is too late for it. A batch run again replaces its own folder.
+    No event is too late for it. A batch run again replaces its own rows, and batches are merged
+    into a snapshot as they add up.
     """
+    store = new_domain_store(path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        earliest_sighting(batch).withColumn("event_date", F.to_date("seen_at")).write.mode(
-            "overwrite"
-        ).partitionBy("event_date").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        store.add(earliest_sighting(batch), batch_id)
 
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
@@ -65,5 +71,5 @@ def earliest_sighting(events: DataFrame) -> DataFrame:
 
 
 def read_new_domains(spark: SparkSession, path: str) -> DataFrame:
-    """First sighting per domain over all batches stored so far."""
-    return earliest_sighting(spark.read.parquet(path))
+    """First sighting per domain over all batches: the last snapshot and the batches since."""
+    return new_domain_store(path).read(spark)

@@ -17,9 +17,9 @@ EXPECTED_SOURCES = {"requests.csv": "Reporting organization name", "domains.csv"
 def read_raw_csv(spark: SparkSession, path, *, multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column text. Gzip is told from the extension.
 
-    Quoted fields may span lines, so by default a file is one task, as is any gzip file.
-    Give a folder or a list of files to read many at once; set ``multi_line=False`` for
-    plain files known to have no line breaks in fields, and large files are split.
+    Quoted fields may span lines, so by default a file is one task, as is any gzip file;
+    ``split_csv.read_split_csv`` reads large plain files in many tasks. Set ``multi_line=False``
+    for plain files known to have no line breaks in fields, and they are split too.
     """
     return (
         spark.read.option("header", "true")

@@ -253,6 +253,37 @@ def certificate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def takedown_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificate messages that name the domains of takedown requests, as JSON text.
+
+    Event n is a certificate for all domains of request n, seen up to half a month before or
+    after the request's date.
+    """
+    named = domain_counts(spark, sf_dir).groupBy("request_id").agg(F.sort_array(F.collect_set("domain")).alias("hosts"))
+    epoch = F.expr("TIMESTAMP_NTZ'2024-01-16 00:00:00'")
+    shift = F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz"))
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), shift.alias("shift"))
+    both = events.join(named, "request_id").join(request_dates(spark, sf_dir), "request_id")
+    seen = F.unix_date("date").cast("long") * 86_400_000_000 + F.col("shift")
+    leaf = F.struct(F.col("hosts").alias("all_domains"), F.struct(F.lit("CA").alias("O")).alias("issuer"))
+    data = F.struct(leaf.alias("leaf_cert"), (seen.cast("double") / 1e6).alias("seen"))
+    message = F.struct(F.lit("certificate_update").alias("message_type"), data.alias("data"))
+    return both.select(F.to_json(message).alias("value"))
+
+
+def broken_lines(raw: DataFrame, key: str, column: str) -> DataFrame:
+    """Raw text with line breaks, quotes and commas put into one column of every seventh row."""
+    text = F.concat(F.coalesce(F.col(f"`{column}`"), F.lit("")), F.lit('\n"cited", line\n'))
+    return raw.withColumn(column, F.when(F.col(f"`{key}`").cast("bigint") % 7 == 0, text).otherwise(F.col(f"`{column}`")))
+
+
+def csv_folder(raw: DataFrame, folder: str) -> str:
+    """Raw text written as CSV files with headers, quoted where needed."""
+    writer = raw.write.option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+    writer.option("ignoreTrailingWhiteSpace", "false").csv(folder)
+    return folder
+
+
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id", S.clean_domain(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)).alias("domain")

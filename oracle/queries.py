@@ -40,6 +40,18 @@ SELECT request_id, date, lumen_url, copyright_owner_id, copyright_owner, reporti
   reporting_org, urls_removed, urls_not_in_index, urls_no_action, urls_pending, from_abuser
 FROM requests_raw_v""")
 
+_REQUESTS_RAW = (
+    "request_id, date, {}, copyright_owner_id, copyright_owner, reporting_org_id, reporting_org, "
+    "urls_removed, urls_not_in_index, urls_no_action, urls_pending, from_abuser"
+)
+_broken = (
+    "CASE WHEN request_id::BIGINT % 7 = 0 THEN coalesce({0}, '') || chr(10) || '\"cited\", line' || chr(10) ELSE {0} END AS {0}"
+)
+sql("scan_requests_csv", ("requests_raw_v",), f"SELECT {_REQUESTS_RAW.format(_broken.format('lumen_url'))} FROM requests_raw_v")
+sql("scan_domains_csv", ("domains_raw_v",), f"""
+SELECT request_id, {_broken.format('domain')}, urls_removed, urls_not_in_index, urls_no_action, urls_pending, from_abuser
+FROM domains_raw_v""")
+
 _typed_counts = ", ".join(f"{clean_count(c)} AS {c}" for c in COUNTS)
 view("typed_v", ("requests_raw_v",), f"""
 SELECT *, urls_removed::BIGINT + urls_not_in_index + urls_no_action + urls_pending AS urls_specified FROM (
@@ -512,7 +524,7 @@ view("ct_v", (), f"""
 SELECT CASE WHEN event_id % 40 = 0 THEN 'match-live-' || user_id || '.xyz'
     ELSE {_kind} || '-' || user_id || '.' || {_tld} END AS domain,
   'CA-' || (user_id % 7) AS issuer,
-  CASE WHEN event_id % 40 = 0 THEN 1705777200000000 + epoch_us(ts) % 900000000 ELSE epoch_us(ts) END AS seen_at
+  CASE WHEN event_id % 40 = 0 THEN 1705777200000000 + epoch_us(ts) % 900000000 ELSE epoch_us(ts) END AS seen_at, event_id
 FROM events""")
 sql("ct_events", ("ct_v",), "SELECT domain, issuer, seen_at FROM ct_v")
 sql("new_domains", ("ct_v",), """
@@ -552,19 +564,40 @@ sql("stream_bursts", ("bursts_v", "ct_v"), f"""
 SELECT window_start, signature, n, {r('expected')}, {r('z')}, is_burst FROM bursts_v
 WHERE is_burst = 1 AND window_start + 900000000 <= (SELECT max(seen_at) FROM ct_v) - 600000000""")
 
+# the feed in four stretches, every twentieth message a stretch late; a window closes ten minutes after its end
+view("played_v", ("ct_v",), f"""
+SELECT *, seen_at // 900000000 * 900000000 AS window_start, concat_ws('+', {_marks}) || '|' || ({suffix('domain')}) AS signature,
+  least(floor((seen_at - a) * 4 / (b - a + 1))::INT + (event_id % 20 = 3)::INT, 3) AS part
+FROM (SELECT *, min(seen_at) OVER () AS a, max(seen_at) OVER () AS b FROM ct_v)""")
+view("late_v", ("played_v",), """
+SELECT window_start, signature, part FROM played_v p JOIN (
+  SELECT x.part, max(y.seen_at) AS latest FROM (SELECT DISTINCT part FROM played_v) x
+  JOIN played_v y ON y.part < x.part GROUP BY 1) USING (part)
+WHERE window_start + 900000000 <= latest - 600000000""")
+sql("stream_late_events", ("played_v", "late_v"), """
+SELECT window_start, signature, count(*) AS n, coalesce(any_value(n_late), 0) AS n_late,
+  count(*) FILTER (part <= last_late) AS n_corrected
+FROM played_v LEFT JOIN (SELECT window_start, signature, count(*) AS n_late, max(part) AS last_late FROM late_v GROUP BY 1, 2)
+USING (window_start, signature) GROUP BY 1, 2""")
+
 LEAD_CUTOFF = "1995-04-01"
 view("early_known_v", ("joined_v",), known(LEAD_CUTOFF))
 view("early_weights_v", ("early_known_v",), weights("early_known_v"))
 view("later_v", ("joined_v",), f"""
 SELECT domain, min(date) AS first_takedown FROM joined_v GROUP BY 1 HAVING min(date) >= DATE '{LEAD_CUTOFF}'""")
 view("later_risk_v", ("later_v", "early_weights_v"), risk("later_v", "early_weights_v"))
-view("leads_v", ("later_v", "later_risk_v"), """
-SELECT domain, first_takedown - ((7 * length(domain)) % 41 - 20)::INT AS flagged_on, first_takedown,
-  ((7 * length(domain)) % 41 - 20)::INT AS lead_days
-FROM later_v JOIN later_risk_v USING (domain) WHERE risk >= 0.5""")
+view("feed_v", ("domains_v", "requests_v"), """
+SELECT DISTINCT event_id, domain, epoch_us(date::TIMESTAMP) + epoch_us(ts) - 1705363200000000 AS seen_at
+FROM events JOIN domains_v ON event_id = domains_v.request_id JOIN requests_v ON event_id = requests_v.request_id""")
+view("feed_risk_v", ("feed_v", "early_weights_v"), risk("feed_v", "early_weights_v"))
+view("leads_v", ("later_v", "feed_v", "feed_risk_v"), """
+SELECT domain, first_takedown, min(day) AS flagged_on, count(*) FILTER (day < first_takedown) AS seen_before,
+  max(day) FILTER (day < first_takedown) AS last_before, date_diff('day', min(day), first_takedown)::INT AS lead_days
+FROM (SELECT domain, first_takedown, make_timestamp(seen_at)::DATE AS day
+  FROM feed_v JOIN later_v USING (domain) JOIN feed_risk_v USING (domain) WHERE risk >= 0.5) GROUP BY 1, 2""")
 sql("lead_time", ("leads_v",), """
-SELECT domain, flagged_on::VARCHAR AS flagged_on, first_takedown::VARCHAR AS first_takedown, lead_days
-FROM leads_v""")
+SELECT domain, flagged_on::VARCHAR AS flagged_on, first_takedown::VARCHAR AS first_takedown, lead_days,
+  seen_before, last_before::VARCHAR AS last_before FROM leads_v""")
 sql("lead_time_summary", ("leads_v",), """
 SELECT count(*) AS domains, count(*) FILTER (lead_days > 0) AS flagged_ahead,
   round(avg(lead_days), 6) AS mean_lead, round(quantile_cont(lead_days, 0.25), 6) AS lead_q1,

@@ -128,7 +128,7 @@ def test_late_sightings_are_not_new_and_not_counted_twice(spark, tmp_path):
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     df = spark.createDataFrame([("a.com", "CA", START)], "domain string, issuer string, seen_at timestamp")
-    path = f"{tmp_path}/store/batch=0"
+    store = C.new_domain_store(f"{tmp_path}/store")
     for _ in range(2):
-        C.earliest_sighting(df).write.mode("overwrite").parquet(path)
+        store.add(C.earliest_sighting(df), 0)
     assert C.read_new_domains(spark, f"{tmp_path}/store").count() == 1
