@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from noticegrade import settings
-from noticegrade.functions.prefix import quantiles_of_counts, rank_within, value_counts
+from noticegrade.functions.prefix import rank_within
 from noticegrade.functions.storage import settle, shared_folder
 from noticegrade.operators.explain import (
     importance_contributions,
@@ -28,25 +28,16 @@ from noticegrade.operators.explain import (
 )
 from noticegrade.operators.evaluate import ranking_measures
 from noticegrade.operators.features import numeric_features
+from noticegrade.operators.fits import exact_medians, fit_logistic, moments
 
 LINEAR, TREES = "logistic_regression", "gradient_boosted_trees"
 
 
-def _stacked_counts(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows per feature and value. Values are counted map-side, so they travel, not rows."""
-    stacked = df.select(*by, *(F.col(f).cast("double").alias(f) for f in features)).unpivot(
-        list(by), list(features), "feature", "value"
-    )
-    return value_counts(stacked, [*by, "feature"], "value")
-
-
 def impute_medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Exact median per feature, nulls left out; an all-null feature gets 0.0."""
-    medians = quantiles_of_counts(_stacked_counts(df, features), ["feature"], {"median": 0.5})
-    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return names.join(medians, "feature", "left").select(
-        "feature", F.coalesce("median", F.lit(0.0)).alias("median")
-    )
+    rows = settle(df.select(*(F.col(f).cast("double").alias(f) for f in features)), "features")
+    medians = exact_medians(rows, features)[0]
+    return df.sparkSession.createDataFrame(list(medians.items()), "feature string, median double")
 
 
 @dataclass
@@ -67,63 +58,23 @@ class Preparation:
 def learn_preparations(
     rows: DataFrame, features: Sequence[str], rows_per_set: Sequence[int], scale: bool
 ) -> list[Preparation]:
-    """Statistics of every training set in at most two passes over ``rows``.
+    """Statistics of every training set from a few passes over ``rows``, in which no row is moved.
 
     Set i leaves out ``_fold`` i; the last set is all rows.
     """
     folds = len(rows_per_set) - 1
-    counted = _stacked_counts(rows, features, ["_fold"])
-    sets = F.filter(
-        F.sequence(F.lit(0), F.lit(folds)), lambda i: (i == folds) | (i != F.col("_fold"))
-    )
-    by_set = counted.withColumn("_set", F.explode(sets)).drop("_fold")
-    medians = quantiles_of_counts(by_set, ["_set", "feature"], {"median": 0.5}).collect()
-    preparations = [Preparation(dict.fromkeys(features, 0.0)) for _ in range(folds + 1)]
-    for r in medians:
-        preparations[r["_set"]].medians[r["feature"]] = r["median"]
+    sets = {i: F.col("_fold") != i for i in range(folds)} | {folds: F.lit(True)}
+    medians = exact_medians(rows, features, sets)
+    preparations = [Preparation(medians[i]) for i in sets]
     if scale:
-        _add_scales(by_set, preparations, features, rows_per_set)
+        found = moments(rows, features, sets, medians, dict(enumerate(rows_per_set)))
+        for i, prep in enumerate(preparations):
+            prep.means = {f: mean for f, (mean, _) in found[i].items()}
+            # a constant feature is centred and left unscaled
+            prep.scales = {f: spread or 1.0 for f, (_, spread) in found[i].items()}
     return preparations
 
 
-def _add_scales(
-    by_set: DataFrame,
-    preparations: list[Preparation],
-    features: Sequence[str],
-    rows_per_set: Sequence[int],
-) -> None:
-    """Mean and population deviation of the imputed features, from the value counts.
-
-    Sums are taken around the median: imputed rows then add nothing, and little is
-    lost to rounding.
-    """
-    centres = F.create_map(
-        *(
-            F.lit(x)
-            for i, prep in enumerate(preparations)
-            for f in features
-            for x in (f"{i}:{f}", float(prep.medians[f]))
-        )
-    )
-    off = F.col("_v") - centres[F.concat(F.col("_set").cast("string"), F.lit(":"), "feature")]
-    sums = (
-        by_set.withColumn("_off", off)
-        .groupBy("_set", "feature")
-        .agg(
-            F.sum(F.col("_n") * F.col("_off")).alias("first"),
-            F.sum(F.col("_n") * F.col("_off") * F.col("_off")).alias("second"),
-        )
-    )
-    for prep in preparations:
-        prep.means, prep.scales = dict(prep.medians), dict.fromkeys(features, 1.0)
-    for r in sums.collect():
-        prep, f, n = preparations[r["_set"]], r["feature"], rows_per_set[r["_set"]]
-        shift = r["first"] / n
-        prep.means[f] += shift
-        # a constant feature is centred and left unscaled
-        prep.scales[f] = max(r["second"] / n - shift * shift, 0.0) ** 0.5 or 1.0
-
-
 def _vector(df: DataFrame, columns: dict[str, Column], out: str) -> DataFrame:
     named = {f"_x_{f}": c for f, c in columns.items()}
     assembler = VectorAssembler(inputCols=list(named), outputCol=out)
@@ -143,15 +94,9 @@ class LinearFit:
     ) -> LinearFit:
         n = sum(counts.values())
         weight = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
-        vectors = _vector(train, {f: prep.scaled(f) for f in features}, "_features").select(
-            "_features", F.col(label).cast("double").alias("_label"), weight.alias("_weight")
-        )
-        # penalty 1 on the summed loss is 1 / (sum of weights) on the mean loss
-        model = LogisticRegression(
-            featuresCol="_features", labelCol="_label", weightCol="_weight",
-            regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000,
-        ).fit(vectors)
-        return cls(prep, dict(zip(features, map(float, model.coefficients))), float(model.intercept))
+        # penalty 1 on the summed loss
+        fitted = fit_logistic(train, [prep.scaled(f) for f in features], F.col(label), weight, 1.0)
+        return cls(prep, dict(zip(features, fitted.coefficients)), fitted.intercept)
 
     def add_raw(self, df: DataFrame, out: str) -> DataFrame:
         margin = F.lit(self.intercept)
@@ -270,23 +215,12 @@ def fit_sigmoid(
 ) -> tuple[float, float]:
     """Slope and offset of the sigmoid that maps a raw score to a probability.
 
-    Targets are pulled in from 0 and 1 by the class sizes; each row enters as a positive
-    and a negative copy weighted by its target.
+    Targets are pulled in from 0 and 1 by the class sizes.
     """
     high, low = (counts[1] + 1) / (counts[1] + 2), 1 / (counts[0] + 2)
     target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
-    copies = F.array(
-        F.struct(F.lit(1.0).alias("y"), target.alias("w")),
-        F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")),
-    )
-    weighted = df.select(F.col(raw).alias("_raw"), F.explode(copies).alias("c")).select(
-        "_raw", F.col("c.y").alias("_label"), F.col("c.w").alias("_weight")
-    )
-    vectors = VectorAssembler(inputCols=["_raw"], outputCol="_features").transform(weighted)
-    model = LogisticRegression(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=200, tol=1e-9
-    ).fit(vectors)
-    return float(model.coefficients[0]), float(model.intercept)
+    fitted = fit_logistic(df.select(F.col(raw).alias("_raw"), target.alias("_target")), [F.col("_raw")], F.col("_target"))
+    return fitted.coefficients[0], fitted.intercept
 
 
 def _train(fit_class, model_type, train, features, label, key, parallelism, **options) -> TriageModel:
@@ -313,7 +247,7 @@ def _train(fit_class, model_type, train, features, label, key, parallelism, **op
         fitted = fit_class.fit(inside, preparations[i], features, label, set_counts[i], **options)
         if i == sets:
             return fitted, None
-        held_out = fitted.add_raw(rows.where(F.col("_fold") == i), "_out")
+        held_out = settle(fitted.add_raw(rows.where(F.col("_fold") == i), "_out").select("_out", label), "held_out")
         return fitted, fit_sigmoid(held_out, "_out", label, fold_counts[i])
 
     spark = rows.sparkSession

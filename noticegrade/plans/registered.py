@@ -580,6 +580,47 @@ def scale_stats(spark, sf):
     return _plain(spark.createDataFrame(found, "feature string, median double, mean double, scale double"))
 
 
+FITTED = ["domain_historical_hit_rate", "suspicious_token_count"]
+
+
+@query
+def baseline_fit(spark, sf):
+    """Coefficients of the class-weighted, penalised regression on two prepared features."""
+    train, _ = features.temporal_split(_frame(spark, sf), V.CUTOFF)
+    rows = settle(train.select(*FITTED, "action", F.lit(0).alias("_fold")), "train")
+    counts = models.class_counts(rows, "action")
+    (prep,) = models.learn_preparations(rows, FITTED, [sum(counts.values())], scale=True)
+    fit = models.LinearFit.fit(rows, prep, FITTED, "action", counts)
+    found = [*fit.coefficients.items(), ("intercept", fit.intercept)]
+    return _plain(spark.createDataFrame(found, "term string, coefficient double"))
+
+
+@query
+def sigmoid_fit(spark, sf):
+    """Slope and offset that calibrate a raw score: the number of suspicious tokens."""
+    train, _ = features.temporal_split(_frame(spark, sf), V.CUTOFF)
+    rows = settle(train.select(F.col("suspicious_token_count").cast("double").alias("raw"), "action"), "train")
+    slope, offset = models.fit_sigmoid(rows, "raw", "action", models.class_counts(rows, "action"))
+    return _plain(spark.createDataFrame([(slope, offset)], "slope double, offset double"))
+
+
+@query
+def target_validation(spark, sf):
+    """Rows of each class in sets of training rows, and whether a model would be trained on them."""
+    train, _ = features.temporal_split(_frame(spark, sf), V.CUTOFF)
+    rows = settle(train.select("action", "tld_is_risky"), "train")
+    sets = {"all": rows, "risky": rows.where("tld_is_risky = 1"), "actioned": rows.where("action = 1"), "none": rows.where("action > 1")}
+    found = []
+    for name, part in sets.items():
+        n, positive = part.agg(F.count("*"), F.count_if(F.col("action") == 1)).first()
+        try:
+            models.class_counts(part, "action")
+            found.append((name, n - positive, positive, 1))
+        except ValueError:
+            found.append((name, n - positive, positive, 0))
+    return spark.createDataFrame(found, "rows_of string, negative long, positive long, accepted int")
+
+
 @query
 def numeric_coercion(spark, sf):
     """Text columns read as numbers; what isn't one is null."""
@@ -858,6 +899,26 @@ def scored_output(spark, sf):
     return _plain(out.withColumn("reasons", reasons).drop("top_features", "year_month", "date"))
 
 
+class _FixedModel:
+    """A model whose score and reasons are given, not learnt."""
+
+    def predict_proba(self, df, out):
+        return df.withColumn(out, model_frame.plain_score())
+
+    def explain(self, df):
+        return explain.with_top_features(df, _contributions())
+
+
+@query
+def scored_output_fixed(spark, sf):
+    """The scoring job's written table, by a model that is given."""
+    path = fresh_folder(spark, "scored")
+    options = {"train": lambda past, used: _FixedModel()}
+    out = scoring.run_scoring(spark, _frame(spark, sf), path, V.owner_weights(spark, sf), V.CUTOFF, **options)
+    reasons = F.array_join(F.transform("top_features", lambda x: x["feature"]), ",")
+    return _plain(out.withColumn("reasons", reasons).drop("top_features", "date"))
+
+
 @query
 def model_replay(spark, sf):
     """Precision at k of a replay that is ranked by the trained model."""

@@ -377,6 +377,44 @@ sql("predict_fixed", ("contributions_v",), """
 SELECT request_id, domain, round((1 / (1 + exp(-(0.9::DOUBLE * z + 0.1::DOUBLE)))
   + 1 / (1 + exp(-(1.2::DOUBLE * z - 0.3::DOUBLE)))) / 2, 6) AS action_probability
 FROM (SELECT request_id, domain, sum(contribution) - 0.25::DOUBLE AS z FROM contributions_v GROUP BY 1, 2)""")
+view("fit_rows_v", ("features_v",), f"""
+SELECT action AS y, suspicious_token_count::DOUBLE AS raw, domain_historical_hit_rate AS a, median(domain_historical_hit_rate) OVER () AS m,
+  sum(action) OVER () AS pos, count(*) OVER () AS n FROM features_v WHERE date < DATE '{CUTOFF}'""")
+view("fit_scaled_v", ("fit_rows_v",), """
+SELECT y, (coalesce(a, m) - avg(coalesce(a, m)) OVER ()) / stddev_pop(coalesce(a, m)) OVER () AS x0,
+  (raw - avg(raw) OVER ()) / stddev_pop(raw) OVER () AS x1,
+  n::DOUBLE / (2 * CASE WHEN y = 1 THEN pos ELSE n - pos END) AS w FROM fit_rows_v""")
+# Newton's method: each view is the step after the one before it; Cramer's rule solves it
+view("newton_0", (), "SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2")
+view("platt_0", (), "SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1")
+view("platt_rows_v", ("fit_rows_v",), """
+SELECT raw AS x, CASE WHEN y = 1 THEN (pos + 1)::DOUBLE / (pos + 2) ELSE 1.0::DOUBLE / (n - pos + 2) END AS t FROM fit_rows_v""")
+for _k in range(1, 11):
+    view(f"newton_{_k}", ("fit_scaled_v", f"newton_{_k - 1}"), f"""
+SELECT b0 + (g0 * (e * i - f * f) - c * (g1 * i - f * g2) + d * (g1 * f - e * g2)) / det AS b0,
+  b1 + (a * (g1 * i - g2 * f) - g0 * (c * i - f * d) + d * (c * g2 - g1 * d)) / det AS b1,
+  b2 + (a * (e * g2 - f * g1) - c * (c * g2 - g1 * d) + g0 * (c * f - e * d)) / det AS b2
+FROM (SELECT *, a * (e * i - f * f) - c * (c * i - f * d) + d * (c * f - e * d) AS det FROM (
+  SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+    sum(w * (y - p) * x0) - any_value(b0) AS g0, sum(w * (y - p) * x1) - any_value(b1) AS g1, sum(w * (y - p)) AS g2,
+    sum(h * x0 * x0) + 1 AS a, sum(h * x0 * x1) AS c, sum(h * x0) AS d, sum(h * x1 * x1) + 1 AS e, sum(h * x1) AS f, sum(h) AS i
+  FROM (SELECT *, w * p * (1 - p) AS h FROM (
+    SELECT *, 1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2))) AS p FROM fit_scaled_v, newton_{_k - 1}))))""")
+    view(f"platt_{_k}", ("platt_rows_v", f"platt_{_k - 1}"), f"""
+SELECT b0 + (g0 * e - c * g1) / (a * e - c * c) AS b0, b1 + (a * g1 - c * g0) / (a * e - c * c) AS b1 FROM (
+  SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum((t - p) * x) AS g0, sum(t - p) AS g1,
+    sum(p * (1 - p) * x * x) AS a, sum(p * (1 - p) * x) AS c, sum(p * (1 - p)) AS e
+  FROM (SELECT *, 1 / (1 + exp(-(b0 * x + b1))) AS p FROM platt_rows_v, platt_{_k - 1}))""")
+sql("baseline_fit", ("newton_10",), f"""
+SELECT 'domain_historical_hit_rate' AS term, {r('b0', 'coefficient')} FROM newton_10
+UNION ALL SELECT 'suspicious_token_count', round(b1, 6) FROM newton_10 UNION ALL SELECT 'intercept', round(b2, 6) FROM newton_10""")
+sql("sigmoid_fit", ("platt_10",), f"SELECT {r('b0', 'slope')}, {r('b1', 'offset')} FROM platt_10".replace("AS offset", 'AS "offset"'))
+_train = f"FROM features_v WHERE date < DATE '{CUTOFF}'"
+sql("target_validation", ("features_v",), " UNION ALL ".join(
+    f"SELECT '{name}' AS rows_of, count(*) FILTER (action <> 1) AS negative, count(*) FILTER (action = 1) AS positive, "
+    f"(count(DISTINCT action) = 2)::INT AS accepted {_train} AND {where}"
+    for name, where in (("all", "true"), ("risky", "tld_is_risky = 1"), ("actioned", "action = 1"), ("none", "action > 1"))
+))
 sql("scale_stats", ("features_v",), " UNION ALL ".join(
     f"SELECT '{f}' AS feature, round(any_value(m), 6) AS median, round(avg(coalesce({f}::DOUBLE, m)), 6) AS mean, "
     f"round(CASE WHEN stddev_pop(coalesce({f}::DOUBLE, m)) = 0 THEN 1 ELSE stddev_pop(coalesce({f}::DOUBLE, m)) END, 6) AS scale "
@@ -615,6 +653,11 @@ SELECT r.request_id, r.domain, r.step_start::VARCHAR AS step_start, {r('score')}
   round(r.score * r.weight, 6) AS expected_value, r.rank,
   (o.request_id IS NOT NULL)::INT AS selected, (score < 0.5)::INT AS low_confidence
 FROM ranked_v r LEFT JOIN optimal_v o USING (request_id, domain) JOIN reasons_v USING (request_id, domain)""")
+sql("scored_output_fixed", ("ranked_v", "optimal_v", "reasons_v"), f"""
+SELECT r.request_id, r.domain, strftime(r.step_start, '%Y-%m') AS year_month, r.step_start::VARCHAR AS step_start, {r('score')}, r.weight,
+  r.cost_minutes, r.action, round(r.domain_removal_rate, 6) AS domain_removal_rate, reasons, round(r.score * r.weight, 6) AS expected_value,
+  r.rank, (o.request_id IS NOT NULL)::INT AS selected
+FROM ranked_v r LEFT JOIN optimal_v o USING (request_id, domain) JOIN reasons_v USING (request_id, domain)""")
 _month = "date_trunc('month', {})::DATE::VARCHAR AS year_month"
 sql("outcomes_view", ("precision_v", "avoided_v", "requests_v"), f"""
 SELECT {_month.format('step_start')}, 'precision_at_' || k AS metric, round(avg("precision"), 6) AS value
