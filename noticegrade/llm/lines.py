@@ -2,8 +2,8 @@
 
 Two lines are alike if one edit at most (a character put in, left out or replaced) makes one
 of the other. A line goes if an alike line stands earlier: in a document of smaller id, or
-further up in its own. Lines below ``least_chars`` characters go only if they equal an earlier
-line and have ``least_exact`` or more; they need one hash, no variants.
+further up in its own. Empty lines stay. Where ``least_chars`` is set higher than one, lines below
+it go only if they equal an earlier line and have ``least_exact`` characters or more.
 
 A line's neighbourhood is all its variants with one character left out, as hashes. Variants
 are joined by grouping: with the place of the missing character in the key, all lines of a
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from noticegrade.functions.storage import settle
 
-LEAST_CHARS = 20
+LEAST_CHARS = 1
 #: Blocks that a line is cut into before variants are made.
 BLOCKS = 8
 #: A table of hashes with up to so many rows is broadcast (16 MB); a larger one is joined by shuffle.
@@ -44,15 +44,16 @@ def _lines(docs: DataFrame, least_chars: int, least_exact: int) -> DataFrame:
     """Every line of ``least_exact`` or more: its place, hashes, and hashes of its two ends.
 
     Lines below ``least_chars`` have no ends, so no other line is like them but by equality.
-    The ends' length is the largest power of two that is no more than half the line. A line
+    The ends' length is the largest power of two that is no more than half the line, none for a
+    single character. A line
     whose length is a power of two has ends of half that length too, for lines one shorter.
     """
     text = F.col("text")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     rows = rows.withColumn("n", F.length("line")).filter(F.col("n") >= min(least_exact, least_chars))
     line = F.col("line")
-    rows = rows.withColumn("part", F.expr("shiftleft(1, length(bin(n)) - 2)"))
-    part, twice = F.col("part"), F.col("n") == 2 * F.col("part")
+    rows = rows.withColumn("part", F.expr("IF(n > 1, shiftleft(1, length(bin(n)) - 2), 0)"))
+    part, twice = F.col("part"), (F.col("n") == 2 * F.col("part")) & (F.col("n") > 1)
     half = (part / 2).cast("int")
     long = F.col("n") >= least_chars
     return rows.select(

@@ -11,7 +11,7 @@ _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')
 OP2 = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 o AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM d),
-b AS (SELECT doc_id, pos, line, length(line) AS n, doc_id::hugeint * 100000000 + pos AS ord FROM o WHERE length(line) >= 20),
+b AS (SELECT doc_id, pos, line, length(line) AS n, doc_id::hugeint * 100000000 + pos AS ord FROM o WHERE length(line) >= 1),
 f AS (SELECT line, n, min(ord) AS ord FROM b GROUP BY line, n),
 h AS (SELECT line, n, ord, s, side, CASE WHEN side = 0 THEN substr(line, 1, s // 2) ELSE right(line, s - s // 2) END AS part
       FROM (SELECT *, unnest([n, n - 1]) AS s FROM f), (SELECT unnest([0, 1]) AS side)),

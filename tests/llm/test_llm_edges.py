@@ -58,7 +58,9 @@ def test_quality(docs, none, labels):
 
 
 def test_lines(docs, none):
-    got = rows_of(lines.dedup_lines(docs))
+    every = {r["doc_id"]: r["text"] for r in rows_of(lines.dedup_lines(docs)) if r["doc_id"] in (1, 2, 3, 4, 5)}
+    assert every == {1: None, 2: "", 3: " ", 4: "one", 5: ""}
+    got = rows_of(lines.dedup_lines(docs, 20))
     assert len(got) == len(TEXTS)
     by = {}
     for r in got:
