@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from noticegrade.llm import decontaminate, licence_rules, lines, pieces, quality, warc
+from noticegrade.llm import decontaminate, extract, licence_rules, lines, pieces, quality, warc
 
 
 def record(block, kind="response", digest=None, length=None):
@@ -100,7 +100,7 @@ def one_edit(a, b):
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-@pytest.mark.parametrize(("least", "alphabet", "lengths"), [(3, "ab", (0, 9)), (20, "xy z日", (18, 70))])
+@pytest.mark.parametrize(("least", "alphabet", "lengths"), [(1, "abc", (0, 5)), (3, "ab", (0, 9)), (20, "xy z日", (18, 70))])
 def test_lines_by_brute_force(spark, least, alphabet, lengths):
     draw = random.Random(5)
     base = ["".join(draw.choice(alphabet) for _ in range(draw.randint(*lengths))) for _ in range(50)]
@@ -137,7 +137,7 @@ def test_short_lines_go_if_they_repeat_exactly(spark):
     long = "a line of twenty characters or more"
     docs = [(1, f"Ietzte.\n\nx\n{long}"), (2, f"Ietzte.\n\nIetzte!\n{long}s"), (3, "x\nIetzte!\n ")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    out = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in lines.dedup_lines(frame, least_exact=1).collect()}
+    out = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in lines.dedup_lines(frame, 20, least_exact=1).collect()}
     assert out == {1: (docs[0][1], 0, 0), 2: ("\nIetzte!", 1, 1), 3: (" ", 2, 0)}
     stage = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["lines"](spark, frame, "").collect()}
     assert stage == {i: text for i, (text, _, _) in out.items()}
@@ -204,3 +204,22 @@ def test_prior_and_risk_on_a_known_mixture():
     assert (score(pos) > 0).mean() > 0.95 and (score(neg) < 0).mean() > 0.95
     prior = quality.estimate_prior(score(pos[1500:]), score(unlabelled))
     assert 0.62 < prior < 0.78
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<!DOCTYPE html><body><p>One line</p></body>", "One line"),
+        ("<!doctype html PUBLIC '-//x'><?xml a?><!bad><p>One</p></>", "One"),
+        ('<article><h2 class="social-structure">A</h2><p class="share-price">B</p></article>', "A\nB"),
+        ('<article><section class="search-methods">A</section><p class="related-work">B <span class="ad-hoc">C</span></p></article>', "A\nB C"),
+        ('<article><div class="notice-period">A</div><div class="notice">B</div><p class="advert">C</p></article>', "A"),
+        ('<article>x <math><mi>y</mi></math> <object>z</object></article>', "x y z"),
+        ("<main><p>Intro</p><article><p>Text</p></article><p>Outro</p><nav>N</nav></main><p>Else</p>", "Intro\nText\nOutro"),
+        ("<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p></header><p>Text</p></article>", "Title\nText"),
+        ('<article><div class="post-comments"><h3>Comments</h3>c</div><div id="related-posts">r</div>Text</article>', "Text"),
+    ],
+)
+def test_what_is_text_of_a_page(spark, page, text):
+    df = spark.createDataFrame([(1, "http://h/x", page)], "page_id long, url string, html string")
+    assert [r["text"] for r in extract.extract(df).collect()] == [text]
