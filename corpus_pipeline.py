@@ -22,27 +22,42 @@ SHINGLE_WORDS, RESEMBLANCE = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject; every row is judged by its own text, null and empty ones too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify_quality(docs, labels).filter("predicted = 1").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stand in an earlier place, short ones included; ``n_chars`` follows."""
-    out = dedup_lines(docs, least_exact=1)
+    out = dedup_lines(docs, least_chars=20, least_exact=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near duplicates."""
-    gone = near_duplicates(docs, SHINGLE_WORDS, RESEMBLANCE).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that of smallest doc_id, then of smallest text hash.
+
+    Rows are told apart by doc_id and text, so texts that share an id are no link between others.
+    Of rows that repeat both, one stays. A null doc_id is the smallest. Texts without words stay,
+    once for each id and text.
+    """
+    row = F.xxhash64("doc_id", "text")
+    named = docs.withColumn("row ", row)
+    linked = near_duplicates(named.select(F.col("row ").alias("doc_id"), "text"), SHINGLE_WORDS, RESEMBLANCE)
+    # a row for each doc_id and text, with the number of rows that have both
+    rows = linked.groupBy(F.col("doc_id").alias("row ")).agg(F.min("component_id").alias("group "), F.count("*").alias("times "))
+    ids = docs.select(row.alias("row "), F.col("doc_id").alias("id ")).distinct()
+    placed = settle(rows.join(ids, "row "), "rows")
+    first = placed.groupBy("group ").agg(F.min(F.struct("id ", "row "))["row "].alias("row "))
+    kept = settle(placed.join(first, ["group ", "row "]).select("row ", "times "), "kept")
+    once = named.join(kept.filter("`times ` = 1"), "row ", "left_semi")
+    again = named.join(kept.filter("`times ` > 1"), "row ", "left_semi").dropDuplicates(["row "])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold benchmark passages."""
+    """Documents that don't hold benchmark passages. Rows without words and repeated rows stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
