@@ -137,9 +137,9 @@ def build_tokenizer(model: PieceModel) -> Tokenizer:
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    # No piece goes on after a word's end, so words can be taken one by one. Otherwise a text
-    # stays whole.
-    if not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)):
+    # If no piece goes on after a word's end, words can be taken one by one, which makes the search
+    # for the best pieces shorter. Merges take a whole text in less time than its words.
+    if model.kind == UNIGRAM and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     if model.add_leading_mark:
@@ -152,7 +152,15 @@ def build_tokenizer(model: PieceModel) -> Tokenizer:
 def _ready(data: bytes, threads: int) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-    return build_tokenizer(read_model(data))
+    tokenizer = build_tokenizer(read_model(data))
+    # texts come normalised, see marked(): the tokenizer would keep every character's origin as well
+    tokenizer.normalizer = normalizers.Sequence([])
+    return tokenizer
+
+
+@lru_cache(maxsize=2)
+def _model(data: bytes) -> PieceModel:
+    return read_model(data)
 
 
 @lru_cache(maxsize=2)
@@ -164,9 +172,9 @@ def _reference(data: bytes):
 
 def encode(texts: list[str], data: bytes, threads: int = THREADS) -> list[list[int]]:
     """Ids of each text. An empty text has none."""
-    tokenizer, out = _ready(data, threads), [[] for _ in texts]
-    full = [i for i, t in enumerate(texts) if t]
-    for i, got in zip(full, tokenizer.encode_batch_fast([texts[i] for i in full], add_special_tokens=False), strict=True):
+    tokenizer, out, model = _ready(data, threads), [[] for _ in texts], _model(data)
+    full = {i: marked(t, model) for i, t in enumerate(texts) if t}
+    for i, got in zip(full, tokenizer.encode_batch_fast(list(full.values()), add_special_tokens=False), strict=True):
         out[i] = got.ids
     return out
 
@@ -189,6 +197,17 @@ def decode(ids: list[list[int]], data: bytes) -> list[str]:
     return [t.removeprefix(" ") if marked else t for t in texts]
 
 
+def marked(text: str, model: PieceModel) -> str:
+    """What the rebuilt normaliser makes of a text: cleaned, with marks for spaces and at its start."""
+    if model.character_map:
+        text = normalizers.Precompiled(model.character_map).normalize_str(text)
+    if model.remove_extra_spaces:
+        text = " ".join(x for x in text.split(" ") if x).strip()
+    if model.add_leading_mark and text:
+        text = MARK + text
+    return text.replace(" ", MARK)
+
+
 def normalised(text: str, model: PieceModel) -> str:
     """What decoding gives back: the text as the normaliser leaves it."""
     if model.character_map:
@@ -222,7 +241,7 @@ def tokenise(
     names = [c for c in keep or docs.columns if c not in add]
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    compare = F.pmod(F.xxhash64("text"), F.lit(max(parity_every, 1))) == 0 if parity_every else F.lit(False)
+    compare = F.pmod(F.xxhash64("text"), F.lit(parity_every)) == 0 if parity_every > 1 else F.lit(parity_every == 1)
     extra = [c for c in names if c != "text"]
     read = docs.select(*map(F.col, extra), F.col("text").cast("string").alias("text")).withColumn("compare ", compare)
     schema = T.StructType([read.schema[c] for c in names] + [_ADDED[c] for c in add])
