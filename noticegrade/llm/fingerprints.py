@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noticegrade.functions.storage import settle
-from noticegrade.llm.words import mix, small_batches
+from noticegrade.llm.words import mix, slices, text_buffers
 
 BUCKETS = 1024
 _TABLES = (mix(np.arange(768, dtype=np.uint64), 51).reshape(3, 256) % np.uint64(BUCKETS)).astype(np.uint16)
@@ -103,6 +103,13 @@ def _compared(text: str, digest: Digest, after: str, after_digest: Digest) -> tu
     return len(text), sha, digest.raw(), other.raw(), digest.likeness(other), digest.likeness(after_digest)
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``_BLOCK`` bytes of text."""
+    for batch in batches:
+        for start, end in slices(text_buffers(batch.column("text"))[1], _BLOCK):
+            yield batch.slice(start, end - start)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row of a sorted partition against the one after it.
 
@@ -111,7 +118,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     part = TaskContext.get().partitionId()
     held = None
-    for batch in small_batches(batches):
+    for batch in _in_parts(batches):
         rows, edges = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             digest = Digest(text)
