@@ -36,24 +36,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that of smallest doc_id, then of smallest text hash.
+    """One row of each group of near duplicates, that of smallest doc_id.
 
-    Rows are told apart by doc_id and text, so texts that share an id are no link between others.
-    Of rows that repeat both, one stays. A null doc_id is the smallest. Texts without words stay,
-    once for each id and text.
+    Rows that share an id, or have none, are told apart by their text: they are no link between
+    others, come after all ids that stand once, in the order of a hash, and of those that repeat
+    id and text one stays. Other texts without words stay.
     """
-    row = F.xxhash64("doc_id", "text")
-    named = docs.withColumn("row ", row)
-    linked = near_duplicates(named.select(F.col("row ").alias("doc_id"), "text"), SHINGLE_WORDS, RESEMBLANCE)
-    # a row for each doc_id and text, with the number of rows that have both
-    rows = linked.groupBy(F.col("doc_id").alias("row ")).agg(F.min("component_id").alias("group "), F.count("*").alias("times "))
-    ids = docs.select(row.alias("row "), F.col("doc_id").alias("id ")).distinct()
-    placed = settle(rows.join(ids, "row "), "rows")
-    first = placed.groupBy("group ").agg(F.min(F.struct("id ", "row "))["row "].alias("row "))
-    kept = settle(placed.join(first, ["group ", "row "]).select("row ", "times "), "kept")
-    once = named.join(kept.filter("`times ` = 1"), "row ", "left_semi")
-    again = named.join(kept.filter("`times ` > 1"), "row ", "left_semi").dropDuplicates(["row "])
-    return once.unionByName(again).select(*docs.columns)
+    ids = docs.groupBy(F.col("doc_id").alias("id ")).agg(F.count("*").alias("rows "))
+    odd = settle(ids.filter("`rows ` > 1 or `id ` is null").select("id "), "ids")
+    shared = F.col("doc_id").eqNullSafe(F.col("id "))
+    own = docs.join(odd, shared, "left_anti").withColumn("row ", F.col("doc_id").cast("long"))
+    late = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+    told = docs.join(odd, shared, "left_semi").withColumn("row ", late).dropDuplicates(["row "])
+    rows = own.unionByName(told)
+    linked = near_duplicates(rows.select(F.col("row ").alias("doc_id"), "text"), SHINGLE_WORDS, RESEMBLANCE)
+    gone = linked.filter("not kept").select(F.col("doc_id").alias("row "))
+    return rows.join(gone, "row ", "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
