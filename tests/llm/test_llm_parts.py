@@ -223,3 +223,13 @@ def test_prior_and_risk_on_a_known_mixture():
 def test_what_is_text_of_a_page(spark, page, text):
     df = spark.createDataFrame([(1, "http://h/x", page)], "page_id long, url string, html string")
     assert [r["text"] for r in extract.extract(df).collect()] == [text]
+
+
+def test_rows_that_share_an_id_are_no_bridge(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (3, "b c", "s"), (4, "t u", "x"), (4, "t u", "y"), (None, "n", "z"), (5, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = dict(corpus_pipeline.STAGES)["near"](spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:2]) for r in got) == [
+        ("1", "a0"), ("2", "b0"), ("3", "b "), ("4", "t "), ("5", ""), ("None", "n")
+    ]
