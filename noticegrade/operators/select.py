@@ -23,6 +23,8 @@ from noticegrade.functions.skew import top_k_per_group
 KEY = ("request_id", "domain")
 # how far from a whole number of ticks binary fractions of minutes may be
 _WHOLE = 1e-9
+# a group's largest value in the units that selections add up
+_PARTS = 1 << 40
 
 
 def add_owner_weight(
@@ -113,24 +115,42 @@ def greedy_select(
     return taken.unionByName(free).drop("_cost")
 
 
-def _fill(items: pd.DataFrame, budget: int, value: str) -> np.ndarray:
-    """Mask of the rows in a best subset. ``items`` is small: see ``optimal_select``."""
-    costs = items["_cost"].to_numpy()
-    values = items[value].to_numpy(dtype=float)
-    best = np.zeros(budget + 1)
-    used = np.zeros((len(items), budget + 1), dtype=bool)
-    for i, (c, v) in enumerate(zip(costs, values)):
+def _units(values: np.ndarray) -> np.ndarray:
+    """Values in parts of the largest one, as whole numbers: sums of a few hundred are exact."""
+    return np.floor(values / values.max() * _PARTS + 0.5).astype(np.int64)
+
+
+def _fill(costs: np.ndarray, units: np.ndarray, budget: int) -> np.ndarray:
+    """Mask of the rows in the best subset. The rows are few: see ``optimal_select``.
+
+    Going back over the rows from the last, a row is in only where no subset of the ones before
+    it does as well without it, which makes the answer unique.
+    """
+    best = np.zeros(budget + 1, np.int64)
+    used = np.zeros((len(costs), budget + 1), dtype=bool)
+    for i, (c, v) in enumerate(zip(costs, units)):
         with_item = best[: budget + 1 - c] + v
         used[i, c:] = with_item > best[c:]
         best[c:] = np.maximum(best[c:], with_item)
-    left, mask = budget, np.zeros(len(items), dtype=bool)
-    for i in range(len(items) - 1, -1, -1):
+    left, mask = budget, np.zeros(len(costs), dtype=bool)
+    for i in range(len(costs) - 1, -1, -1):
         if used[i, left]:
             mask[i] = True
             left -= costs[i]
     return mask
 
 
+def _frontier(costs: np.ndarray, budget: int) -> np.ndarray:
+    """Rows that may be in the answer, for rows in their order (value, then key).
+
+    A row is out of it if more rows that stand before it and cost no more than it does are
+    there than a subset with it can hold: one of them is free to take its place.
+    """
+    others = (budget - costs) // costs.min()
+    before = np.array([(costs[:i] <= c).sum() for i, c in enumerate(costs)])
+    return before <= others
+
+
 def optimal_select(
     df: DataFrame,
     budget: float = settings.BUDGET_MINUTES,
@@ -147,7 +167,11 @@ def optimal_select(
     most valuable of each cost are kept, map-side. What is left of a group is at most
     the sum of ``budget // c`` over c, 261 rows for 60 ticks, and is solved exactly in
     rows x budget steps. With one cost for all, the kept rows are already the answer.
-    Several best subsets: the one that leaves out the least valuable, later candidates.
+
+    Values count in 2^40ths of the group's largest value, so equal totals are equal in whatever
+    order they are added. Ties: with the candidates in the order of value (largest first), then
+    key, two best subsets differ in a last candidate; the one without it is taken. So the answer
+    is unique for every input. A null, zero or negative value is never taken.
     """
     budget = _ticks(budget, ticks_per_minute)
     fits = _affordable(df, cost, budget, ticks_per_minute).where(F.col(value) > 0)
@@ -165,7 +189,9 @@ def optimal_select(
 
     def solve(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values([value, *key], ascending=[False] + [True] * len(key))
-        return items[_fill(items, budget, value)][keep]
+        items = items[_frontier(items["_cost"].to_numpy(), budget)]
+        units = _units(items[value].to_numpy(dtype=float))
+        return items[_fill(items["_cost"].to_numpy(), units, budget)][keep]
 
     chosen = short.groupBy(*group).applyInPandas(solve, short.schema)
     return chosen.drop("_rank", "_cost").unionByName(free)

@@ -16,7 +16,7 @@ from noticegrade.functions import scalars as S
 from noticegrade.functions.storage import fresh_folder, settle
 from noticegrade.operators import backtest, clean, evaluate, explain, features, history
 from noticegrade.operators import joined as J
-from noticegrade.operators import models, profile, radar, select
+from noticegrade.operators import models, profile, radar, select, trees
 from noticegrade.plans import ingest, model_frame, scoring, views
 from noticegrade.sources import certificates, raw, split_csv, tables
 from noticegrade.sources import views as V
@@ -570,6 +570,28 @@ def predict_fixed(spark, sf):
     )
 
 
+# tree, node, feature, threshold, left, right, value, weight
+TREES = [
+    (0, 0, "domain_historical_hit_rate", 0.48, 1, 2, 0.0, 1.0), (0, 1, None, None, None, None, -0.4, 1.0),
+    (0, 2, "suspicious_token_count", 0.5, 3, 4, 0.0, 1.0), (0, 3, None, None, None, None, 0.2, 1.0),
+    (0, 4, None, None, None, None, 0.9, 1.0),
+    (1, 0, "request_no_action_ratio", 0.25, 1, 2, 0.0, 0.05), (1, 1, "request_month", 6.0, 3, 4, 0.0, 0.05),
+    (1, 2, None, None, None, None, -1.5, 0.05), (1, 3, None, None, None, None, 0.7, 0.05),
+    (1, 4, None, None, None, None, 1.1, 0.05),
+    (2, 0, None, None, None, None, 0.3, 0.05),
+]
+
+
+@query
+def tree_predict_fixed(spark, sf):
+    """Margin and probability by boosted trees that are given as a table of nodes, not learnt."""
+    prep = models.Preparation(_explained(0))
+    nodes = spark.createDataFrame(TREES, trees.NODES)
+    scored = trees.add_margin(_candidates(spark, sf), nodes, {f: prep.imputed(f) for f in EXPLAINED}, 2)
+    scored = scored.withColumn("action_probability", trees.margin_probability())
+    return _plain(scored.select("request_id", "domain", "margin", "action_probability"))
+
+
 @query
 def scale_stats(spark, sf):
     """Mean and population deviation of each feature of the training rows, once imputed."""

@@ -377,6 +377,26 @@ sql("predict_fixed", ("contributions_v",), """
 SELECT request_id, domain, round((1 / (1 + exp(-(0.9::DOUBLE * z + 0.1::DOUBLE)))
   + 1 / (1 + exp(-(1.2::DOUBLE * z - 0.3::DOUBLE)))) / 2, 6) AS action_probability
 FROM (SELECT request_id, domain, sum(contribution) - 0.25::DOUBLE AS z FROM contributions_v GROUP BY 1, 2)""")
+# three trees, walked by a join per level: (tree, node, feature, threshold, left, right, value, weight)
+_TREE_ROWS = """
+  (0, 0, 'domain_historical_hit_rate', 0.48::DOUBLE, 1, 2, 0.0::DOUBLE, 1.0::DOUBLE), (0, 1, NULL, NULL, NULL, NULL, -0.4, 1.0),
+  (0, 2, 'suspicious_token_count', 0.5, 3, 4, 0.0, 1.0), (0, 3, NULL, NULL, NULL, NULL, 0.2, 1.0), (0, 4, NULL, NULL, NULL, NULL, 0.9, 1.0),
+  (1, 0, 'request_no_action_ratio', 0.25, 1, 2, 0.0, 0.05), (1, 1, 'request_month', 6.0, 3, 4, 0.0, 0.05),
+  (1, 2, NULL, NULL, NULL, NULL, -1.5, 0.05), (1, 3, NULL, NULL, NULL, NULL, 0.7, 0.05), (1, 4, NULL, NULL, NULL, NULL, 1.1, 0.05),
+  (2, 0, NULL, NULL, NULL, NULL, 0.3, 0.05)"""
+view("tree_nodes_v", (), f"SELECT * FROM (VALUES {_TREE_ROWS}) AS n(tree, node, feature, threshold, l, r, value, weight)")
+_tree_x = ", ".join(f"coalesce({f}::DOUBLE, {m}::DOUBLE) AS {f}" for f, m, *_ in _EXPLAINED)
+view("tree_inputs_v", ("candidates_v",), f"""
+SELECT request_id, domain, feature, x FROM (SELECT request_id, domain, {_tree_x} FROM candidates_v)
+UNPIVOT (x FOR feature IN ({', '.join(e[0] for e in _EXPLAINED)}))""")
+view("tree_0_v", ("candidates_v", "tree_nodes_v"), "SELECT request_id, domain, n.* FROM candidates_v, tree_nodes_v n WHERE node = 0")
+for _k in (1, 2):
+    view(f"tree_{_k}_v", (f"tree_{_k - 1}_v", "tree_inputs_v", "tree_nodes_v"), f"""
+SELECT t.request_id, t.domain, n.* FROM tree_{_k - 1}_v t LEFT JOIN tree_inputs_v i USING (request_id, domain, feature)
+JOIN tree_nodes_v n ON n.tree = t.tree AND n.node = CASE WHEN t.feature IS NULL THEN t.node WHEN x <= t.threshold THEN t.l ELSE t.r END""")
+sql("tree_predict_fixed", ("tree_2_v",), """
+SELECT request_id, domain, round(z, 6) AS margin, round(1 / (1 + exp(-2 * z)), 6) AS action_probability
+FROM (SELECT request_id, domain, sum(value * weight) AS z FROM tree_2_v GROUP BY 1, 2)""")
 view("fit_rows_v", ("features_v",), f"""
 SELECT action AS y, suspicious_token_count::DOUBLE AS raw, domain_historical_hit_rate AS a, median(domain_historical_hit_rate) OVER () AS m,
   sum(action) OVER () AS pos, count(*) OVER () AS n FROM features_v WHERE date < DATE '{CUTOFF}'""")
@@ -495,6 +515,34 @@ JOIN (SELECT step_start, sum(expected_value) AS v, count(*) AS n FROM greedy_v
   WHERE cumulative_cost <= 60 GROUP BY 1) g USING (step_start)"""
 )
 
+# the same on whole numbers, and back from the last candidate: one is in where the total needs it
+view("units_v", ("valued_v",), """
+SELECT *, floor(expected_value / max(expected_value) OVER (PARTITION BY step_start) * 1099511627776::DOUBLE + 0.5)::BIGINT AS v,
+  row_number() OVER (PARTITION BY step_start ORDER BY expected_value DESC, request_id, domain) AS i FROM (
+  SELECT *, row_number() OVER (PARTITION BY step_start, cost_minutes
+    ORDER BY expected_value DESC, request_id, domain) AS rn FROM valued_v WHERE expected_value > 0) WHERE rn * cost_minutes <= 60""")
+SQL["optimal_select_mixed"] = (
+    with_views("units_v").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""", best_v AS (
+  SELECT step_start, 0::BIGINT AS i, list_transform(range(61), lambda b: 0::BIGINT) AS best
+  FROM (SELECT DISTINCT step_start FROM units_v)
+  UNION ALL
+  SELECT b.step_start, s.i, list_transform(range(61), lambda m: CASE WHEN m >= s.cost_minutes
+    THEN greatest(b.best[m + 1], b.best[m + 1 - s.cost_minutes] + s.v) ELSE b.best[m + 1] END)
+  FROM best_v b JOIN units_v s ON s.step_start = b.step_start AND s.i = b.i + 1),
+steps_v AS (
+  SELECT u.*, b.best AS before FROM units_v u JOIN best_v b ON b.step_start = u.step_start AND b.i = u.i - 1),
+back_v AS (
+  SELECT step_start, max(i) + 1 AS i, 60::BIGINT AS left_over, false AS taken FROM units_v GROUP BY 1
+  UNION ALL
+  SELECT s.step_start, s.i, CASE WHEN t THEN left_over - cost_minutes ELSE left_over END, t FROM (
+    SELECT s.*, b.left_over, b.left_over >= s.cost_minutes AND coalesce(
+      s.before[b.left_over + 1 - s.cost_minutes] + s.v > s.before[b.left_over + 1], false) AS t
+    FROM back_v b JOIN steps_v s ON s.step_start = b.step_start AND s.i = b.i - 1) s)
+SELECT request_id, domain, step_start::VARCHAR AS step_start, {r('expected_value')}, cost_minutes
+FROM units_v JOIN back_v USING (step_start, i) WHERE taken"""
+)
+
 # ---- backtest --------------------------------------------------------------------------------------
 
 sql("replay_ranked", ("ranked_v",), f"""

@@ -20,7 +20,7 @@ QUICK = (
     "watchlist", "stream_bursts", "stream_first_sightings", "greedy_select_fractional",
     "optimal_select_fractional", "explain_tree_top3", "predict_fixed", "scale_stats",
     "numeric_coercion", "model_choice", "joined_dirty", "feature_matrix_dirty", "replay_dirty",
-    "domain_suffix_rules",
+    "domain_suffix_rules", "optimal_select_mixed", "tree_predict_fixed",
 )
 NAMES = list(SQL) if os.environ.get("ALL_QUERIES") else QUICK
 

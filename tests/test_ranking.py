@@ -202,6 +202,27 @@ def test_optimal_selection_is_the_best_and_greedy_is_not_better(spark, budget):
     assert all(r["uplift"] >= -1e-9 for r in uplift) and any(r["uplift"] > 0 for r in uplift)
 
 
+@pytest.mark.parametrize("budget", [1, 7, 12])
+def test_ties_of_best_subsets_have_one_answer(spark, budget):
+    """Few distinct values whose decimal sums aren't exact, so that many subsets tie."""
+    rng = random.Random(budget)
+    rows = [(i, rng.choice("ab"), DAY + dt.timedelta(days=i % 4), rng.choice([0.1, 0.2, 0.3, 0.4, 0.7, -1.0, 0.0, None]), rng.randint(1, 5))
+            for i in range(44)]
+    schema = "request_id long, domain string, step_start date, expected_value double, cost_minutes long"
+    got = Se.optimal_select(spark.createDataFrame(rows, schema).repartition(5), budget, "cost_minutes")
+    found = {r["request_id"] for r in got.collect()}
+    for day in {r[2] for r in rows}:
+        items = sorted((-r[3], r[0], r[4]) for r in rows if r[2] == day and (r[3] or 0) > 0)
+        # the greatest total in tenths; of equal ones that without the last candidate they differ in
+        best = max(
+            (round(-10 * sum(items[i][0] for i in s)), tuple(-(i in s) for i in reversed(range(len(items)))))
+            for n in range(len(items) + 1) for s in itertools.combinations(range(len(items)), n)
+            if sum(items[i][2] for i in s) <= budget
+        )
+        want = {items[i][1] for i, chosen in zip(reversed(range(len(items))), best[1]) if chosen}
+        assert found & {r[0] for r in rows if r[2] == day} == want
+
+
 def test_greedy_stops_at_the_first_that_does_not_fit(spark):
     rows = [(1, "a", DAY, 9.0, 3), (2, "b", DAY, 8.0, 4), (3, "c", DAY, 0.1, 1), (4, "d", DAY, 0.0, 0), (5, "e", DAY, 99.0, 50)]
     df = spark.createDataFrame(
