@@ -14,11 +14,13 @@ What is left after the components of those links are members of different compon
 size they are paired in full; in larger ones those are paired that share one of their rarest
 shingles, of which each document has so many that a link can't be missed (prefix filtering). So
 a large group of like documents doesn't make pairs with the square of its size, and no link
-that could change a component is left out.
+that could change a component is left out. Those sets meet by shingle, block of sizes and
+component, after the bounds have taken out what can have no partner.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,24 +167,54 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     large = open_.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > PAIRED)
     small = open_.join(large, "band", "left_anti")
     among = open_.join(large, "band", "left_semi").select("key", "n", "component").distinct()
-    by_prefix = _prefixes(among, sets, percent)
-    small = small.select("*", F.lit(0).alias("own"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("before"))
-    return _joined(small, "band", percent).unionByName(_joined(by_prefix, "shingle", percent)).distinct()
+    return _paired(small, percent).unionByName(_met(_prefixes(among, sets, percent), percent)).distinct()
 
 
-def _joined(rows: DataFrame, by: str, percent: int) -> DataFrame:
-    names = {"key": "", "n": "n_", "component": "c_", "own": "own_", "at": "at_", "before": "before_"}
-    one, two = (rows.select(by, *(F.col(c).alias(x + k) for c, x in names.items())) for k in "ab")
+def _paired(small: DataFrame, percent: int) -> DataFrame:
+    one, two = (small.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "component"))) for k in "ab")
+    possible = (F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b"))
+    possible = possible & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return one.join(two, "band").filter(possible).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
+def _meetings(first: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by prefixes, on (shingle, block, other): the shorter and the longer set of a pair.
+
+    A link's sets share percent / (100 + percent) of their summed size at least, and no more than
+    what follows the first shared shingle in either's order. So that one stands in the first ninth
+    of the shorter set (at 80 percent), which keeps most of a prefix out of one side. Sets meet
+    only where their sizes are in one block or in neighbouring ones, and a longer set is held
+    against a component only (``other``) that it isn't in, where the bounds leave it a partner.
+    """
+    width = math.log(100 / percent) + 0.01  # a little more than a link's sizes may be apart
+    placed = first.withColumn("block", F.floor(F.log("n") / width))
+    shorter = placed.filter((100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n"))
+    heads = shorter.groupBy("shingle", "block", F.col("component").alias("other"))
+    heads = heads.agg(F.min("n").alias("least_n"), F.min("own").alias("least_own"))
+    longer = placed.withColumn("block", F.explode(F.array(F.col("block") - 1, "block"))).join(heads, ["shingle", "block"])
+    room = (100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("least_n"))
+    room = room & (100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least_own")))
+    longer = longer.filter(room & (F.col("component") != F.col("other")) & (F.col("least_n") <= F.col("n")))
+    return shorter.withColumn("other", F.col("component")), longer.drop("least_n", "least_own")
+
+
+def _met(first: DataFrame, percent: int) -> DataFrame:
+    on = ["shingle", "block", "other"]
+    names = {"key": "", "n": "n_", "own": "own_", "at": "at_", "before": "before_"}
+    one, two = (
+        rows.select(*on, *(F.col(c).alias(x + k) for c, x in names.items())) for rows, k in zip(_meetings(first, percent), "ab", strict=True)
+    )
     # what only one of both has can't be shared: bounds of intersection and union
     most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
     least = F.greatest(F.col("n_a") + F.col("own_b"), F.col("n_b") + F.col("own_a"))
     # nor can more be shared than what follows the first shared shingle in either's order
     after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     possible = (100 * most >= percent * least) & ((100 + percent) * after >= percent * (F.col("n_a") + F.col("n_b")))
-    possible = possible & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+    possible = possible & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
     # a pair that shares the key before this one as well has met there
     possible = possible & F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
-    return one.join(two, by).filter(possible).select("a", "b").distinct()
+    met = one.join(two, on).filter(possible & (F.col("a") != F.col("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _prefixes(among: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,17 +224,20 @@ def _prefixes(among: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     others), a link needs at least percent * n / 100 shared ones, so one of the first
     n - ceil(percent * n / 100) + 1. A shingle whose documents are all of one component is left
     out. ``own`` counts a document's shingles that no other has; with too many of those it can't
-    be linked at all.
+    be linked at all. An id that repeats with several sets has a row for each.
     """
-    held = settle(among.join(sets, "key"), "held")
+    held = settle(among.join(sets, "key").filter(F.size("shingles") == F.col("n")), "held")
     # a shingle once for each task, with its documents there: common ones are summed up early
     holders = settle(held.select("key", "shingles").mapInArrow(_holders, "shingle long, n long, keys array<long>"), "holders")
     often = holders.groupBy("shingle").agg(F.sum("n").alias("often")).filter(F.col("often") <= RARE)
     rare = holders.join(often, "shingle").select("shingle", "often", F.explode("keys").alias("key")).groupBy("key")
     rare = rare.agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("rare"))
     ranked = held.join(rare, "key", "left")
-    ranked = ranked.withColumn("own", F.size(F.filter(F.coalesce("rare", F.array()), lambda x: x["often"] == 1)))
-    ranked = ranked.withColumn("rare", F.coalesce("rare.shingle", F.array().cast("array<long>")))
+    rarest = F.coalesce("rare", F.array().cast("array<struct<often:long,shingle:long>>"))
+    single = F.filter(rarest, lambda x: x["often"] == 1)
+    # of an id's rare shingles those of this set
+    ranked = ranked.withColumn("own", F.size(F.array_intersect(single["shingle"], "shingles")))
+    ranked = ranked.withColumn("rare", F.array_intersect(rarest["shingle"], F.col("shingles")))
     linkable = ranked.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rows = linkable.withColumn("ranked", F.concat("rare", F.array_except("shingles", "rare")))

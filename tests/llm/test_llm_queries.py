@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from noticegrade.functions.storage import settle
 from noticegrade.llm import extract, near_dedup, sharding
 from noticegrade.llm.fingerprints import fingerprint, likeness
 from noticegrade.llm.pieces import MODEL
@@ -233,3 +235,56 @@ def test_a_large_group_of_like_documents(spark, monkeypatch):
         got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
         assert got == want
     assert len(set(want.values())) > 20
+
+
+@pytest.mark.parametrize("paired", [1, 64])
+def test_like_documents_of_many_lengths_and_repeated_ids(spark, monkeypatch, paired):
+    """Pieces of one text whose lengths differ by up to a third; an id of several texts links what any of them links."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(200):
+        words = base[: int(rng.integers(110, 150))]
+        for at in rng.integers(0, len(words), int(rng.integers(0, 9))):
+            words[at] = f"x{rng.integers(0, 30)}"
+        rows.append((int(rng.integers(0, 190)), " ".join(words)))
+    distinct = sorted(set(rows))
+    link = components({k: shingles(t, 5) for k, (_, t) in enumerate(distinct)})
+    # texts of one id are one node
+    names = {k: {k} for k in range(len(distinct))}
+    for x, y in [*link.items(), *((a, b) for a in names for b in names if a < b and distinct[a][0] == distinct[b][0])]:
+        if names[x] is not names[y]:
+            names[x] |= names[y]
+            for k in names[y]:
+                names[k] = names[x]
+    want = {distinct[k][0]: min(distinct[m][0] for m in group) for k, group in names.items()}
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(set(want.values())) > 10
+
+
+def test_template_pages_below_the_limit_meet_no_square(spark, monkeypatch):
+    """2,000 pages that share most of their words, of resemblance below 0.8, and two that are linked."""
+    seen = []
+    meetings = near_dedup._meetings
+
+    def watched(first, percent):
+        one, two = (settle(x, "side") for x in meetings(first, percent))
+        seen.append((one, two))
+        return one, two
+
+    monkeypatch.setattr(near_dedup, "_meetings", watched)
+    base = [f"t{k}" for k in range(100)]
+    docs = [(i, " ".join([f"own{i}a", *base[:50], *(f"own{i}b{k}" for k in range(4)), *base[50:], f"own{i}c", f"own{i}d", f"own{i}e"])) for i in range(2000)]
+    docs.append((5000, docs[7][1] + " end"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # few bands' values agree at this resemblance, so narrow bands bring all pages together
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 5, 80, permutations=24, rows=1).collect()}
+    assert got == {i: i for i in range(2000)} | {5000: 7}
+    on = ["shingle", "block", "other"]
+    assert seen
+    for one, two in seen:
+        pairs = one.groupBy(on).count().join(two.groupBy(on).agg(F.count("*").alias("m")), on)
+        joined = pairs.agg(F.sum(F.col("count") * F.col("m"))).first()[0] or 0
+        assert joined < 50 * 2000
