@@ -9,7 +9,8 @@ A suffix can only match if its first words all occur in the benchmark, so the ar
 for those suffixes alone and stays small beside the text.
 
 The benchmark goes to the tasks in chunks of a bounded size, one pass over the documents for
-each chunk (one in all for usual benchmarks). A pass adds to what the one before has marked.
+each chunk (one in all for usual benchmarks). A pass adds to what the one before has marked and
+written; driver and tasks hold one chunk at a time, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticegrade.functions.storage import settle
 from noticegrade.llm.words import ALPHANUMERIC, slices, small_batches, text_buffers, word_hashes
 
 WINDOW = 13
@@ -179,15 +181,15 @@ def _marked_rows(ids: np.ndarray, rows: np.ndarray, before: list[dict | None], w
     return out
 
 
-def _chunks(benchmark: DataFrame, chunk_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = math.ceil(total / chunk_bytes)
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [tuple(x) for x in part.distinct().sort("item", "text").collect()]
+def _items(benchmark: DataFrame) -> DataFrame:
+    named = F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item")
+    return benchmark.select(named, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _chunk(items: DataFrame, k: int, n: int) -> list[tuple[str, str]]:
+    """Chunk k of n, in a fixed order: about CHUNK_BYTES, or one item that is longer."""
+    part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+    return [tuple(x) for x in part.distinct().sort("item", "text").collect()]
 
 
 def contamination(
@@ -208,12 +210,19 @@ def contamination(
     text = F.col("text").cast("string").alias("text")
     out = docs.select(*[text if c == "text" else F.col(c) for c in names], F.lit(None).cast(_MARKS).alias("marks"))
     schema = out.schema
-    chunks = list(_chunks(benchmark, chunk_bytes)) or [[]]
-    for k, chunk in enumerate(chunks):
-        shared = spark.sparkContext.broadcast(Windows(chunk, window))
-        if k == len(chunks) - 1 and keep is not None:
+    items = _items(benchmark)
+    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = max(1, math.ceil(total / chunk_bytes))
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(Windows(_chunk(items, k, n), window))
+        last = k == n - 1
+        if last and keep is not None:
             schema = T.StructType([schema[c] for c in [*keep, "marks"]])
         out = out.mapInArrow(_marker(shared, schema.names[:-1]), schema)
+        if not last:
+            # written, so that no later job needs this chunk again, in the driver or in a task
+            out = settle(out, "marked")
+            shared.destroy()
     return out
 
 
