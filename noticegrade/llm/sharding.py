@@ -4,11 +4,12 @@ A partial partition is a list of ``shards`` sums. Differencing takes the two par
 with the largest spread (largest less smallest sum) and adds them in opposite order, largest
 sums to smallest, until one is left.
 
-A task can't hold all groups of a large input. So a group that is larger than a set part of all
-bytes is an item of its own (there can't be many), and the others are gathered by hash into a
-fixed number of items. Differencing the items in one task needs the same memory at every input
-size; large groups are weighed against everything else, and the items are small enough beside
-a shard for the result to be near equal.
+A task can't hold all groups of a large input, and every group takes part all the same. Groups
+that hold a set part of all bytes or rows are differenced first (there can't be many). The others
+go by hash to buckets of bounded size, a task each: a bucket differences its groups together with
+its share of the heavy groups' sums, so it fills up what those leave uneven. The first
+bucket comes after the others and takes their sums instead of a share, so it levels what
+is left of all.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql.window import Window
 from noticegrade.functions.storage import settle
 
 SHARDS = 40
-#: A group of more than 1 / (shards * HEAVY) of all bytes is an item of its own.
+#: A group of more than 1 / (shards * HEAVY) of all bytes or rows is placed with others of its kind.
 HEAVY = 64
-#: Items that the other groups are gathered into.
-LIGHT_ITEMS = 4096
+#: Other groups that one task differences, about.
+BUCKET_GROUPS = 8192
 #: Rows of a shard that one task numbers.
 CELL_ROWS = 20_000
 ROW_BYTES = 16
@@ -68,32 +69,61 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, sums[-1]
 
 
-def balance(groups: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """Where ``groups`` (key, size) go: (key, shard) of heavy groups, (item, shard) of the others'.
+def fill(sizes: np.ndarray, begun: list[int], turn: int = 0) -> np.ndarray:
+    """The shard of each of ``sizes``, when the shards hold ``begun`` already.
 
-    A group that isn't among the heavy ones has the shard of the item ``light_item(key)``.
-    Keys are unique, sizes longs of 0 or more. Both results are small whatever the input: below
-    shards * HEAVY and at most LIGHT_ITEMS rows.
+    ``turn`` moves equal sums on, so that many calls don't favour the same shards.
     """
-    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    heavy = groups.select("key", "size").crossJoin(F.broadcast(total))  # one row
-    heavy = heavy.withColumn("heavy", F.col("size").cast("decimal(38,0)") * (shards * HEAVY) > F.col("total"))
-    own = heavy.filter("heavy").select(F.lit(-1).cast("long").alias("item"), "key", "size")
-    light = heavy.filter("not heavy").groupBy(light_item("key").alias("item")).agg(F.sum("size").alias("size"))
-    items = own.unionByName(light.select("item", F.lit(None).cast("binary").alias("key"), "size"))
+    shards = len(begun)
+    parts = np.zeros((len(sizes) + 1, shards), np.int64)
+    parts[0] = np.roll(np.array(begun, np.int64), turn)
+    parts[1:, 0] = sizes
+    where = difference(parts)[0]
+    shard_at = np.empty(shards, np.int64)
+    shard_at[where[0]] = (np.arange(shards) - turn) % shards
+    return shard_at[where[1:, 0]]
+
+
+def _placed(groups: DataFrame, within: str, begun: list[int], whole: int) -> DataFrame:
+    """(key, size, shard) of ``groups``; each value of ``within`` is one task, with its share (size of ``whole``) of ``begun``."""
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "item", "key"], ascending=[False, True, True])
-        parts = np.zeros((len(frame), shards), np.int64)
-        parts[:, 0] = frame["size"]
-        return pd.DataFrame({"item": frame["item"], "key": frame["key"], "shard": difference(parts)[0][:, 0]})
+        frame = frame.sort_values(["size", "key"], ascending=[False, True])
+        share = int(frame["size"].sum())
+        own = [x * share // whole for x in begun] if whole else begun
+        shard_of = fill(frame["size"].to_numpy(), own, int(frame[within].iloc[0]))
+        return pd.DataFrame({"key": frame["key"], "size": frame["size"], "shard": shard_of})
+
+    return groups.select("key", "size", within).groupBy(within).applyInPandas(place, "key binary, size long, shard int")
 
-    placed = settle(items.groupBy(F.lit("all").alias("items")).applyInPandas(place, "item long, key binary, shard int"), "placed")
-    return placed.filter("item < 0").select("key", "shard"), placed.filter("item >= 0").select("item", "shard")
 
+def _sums(placed: DataFrame, shards: int) -> list[int]:
+    found = {r["shard"]: r["size"] for r in placed.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    return [found.get(k, 0) for k in range(shards)]
 
-def light_item(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(LIGHT_ITEMS))
+
+def balance(groups: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """Where ``groups`` (key, size, rows) go: (key, shard) of the heavy groups, and of the others.
+
+    Keys are unique, sizes longs of 0 or more. There are fewer than 2 * shards * HEAVY heavy groups.
+    The driver sees totals and a sum per shard.
+    """
+    total = groups.agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).first()
+    large = lambda c: F.col(c).cast("decimal(38,0)") * (shards * HEAVY) > F.lit(total[c] or 0)
+    groups = groups.withColumn("heavy", large("size") | large("rows"))
+    one = groups.filter("heavy").withColumn("bucket", F.lit(0))
+    heavy = settle(_placed(one, "bucket", [0] * shards, 0), "heavy")
+    begun = _sums(heavy, shards)
+    light = groups.filter("not heavy")
+    count, whole = light.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(1, math.ceil(count / BUCKET_GROUPS))
+    light = light.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    if buckets == 1:
+        return heavy.select("key", "shard"), settle(_placed(light, "bucket", begun, 0), "light").select("key", "shard")
+    most = settle(_placed(light.filter("bucket > 0"), "bucket", begun, whole), "light")
+    begun = [x + y for x, y in zip(begun, _sums(most, shards), strict=True)]
+    last = settle(_placed(light.filter("bucket = 0"), "bucket", begun, 0), "last")
+    return heavy.select("key", "shard"), most.unionByName(last).select("key", "shard")
 
 
 def numbered(rows: DataFrame, within: str, by: list[str], count: int) -> DataFrame:
@@ -124,11 +154,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     size = (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
     rows = settle(rows, "sized")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
+    groups = rows.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     heavy, light = balance(settle(groups, "groups"), shards)
-    heavy, light = heavy.withColumnRenamed("shard", "own"), light.withColumnRenamed("shard", "shared")
-    placed = rows.withColumn("item", light_item("key")).join(F.broadcast(heavy), "key", "left").join(F.broadcast(light), "item", "left")
-    placed = placed.withColumn("shard", F.coalesce("own", "shared")).drop("own", "shared", "item")
+    # rows of heavy groups travel through no join; the others' keys have few rows each
+    heavy = F.broadcast(heavy)
+    placed = rows.join(heavy, "key").unionByName(rows.join(heavy, "key", "left_anti").join(light, "key"))
     out = numbered(placed, "shard", ["doc_id", "key"], rows.count())
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

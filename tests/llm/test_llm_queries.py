@@ -171,6 +171,38 @@ def test_shards_are_whole_even_and_keep_groups(spark, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(g) == 1 for g in groups.values())
 
 
+def test_filling_up_levels_what_is_there():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 5_000, 2_000)
+    for begun in ([0] * 7, [900_000, 10, 400_000, 0, 0, 77, 3], [10**14, 0, 0, 0, 0, 0, 5]):
+        for turn in (0, 5, 12):
+            got = np.array(begun, np.int64)
+            np.add.at(got, sharding.fill(sizes, begun, turn), sizes)
+            assert got.sum() == sum(begun) + sizes.sum()
+            got = np.sort(got)[: 6 if max(begun) > 10**9 else 7]  # what is too large stays alone
+            assert got[-1] - got[0] < 20
+    assert list(sharding.fill(np.array([], np.int64), [3, 1])) == []
+
+
+def test_shards_level_out_over_many_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [f"{i} " + "x" * int(n) for i, n in enumerate(rng.integers(1, 900, 1_500))]
+    texts += ["big " + "y" * 40_000] * 2 + ["copy"] * 700 + [None] * 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spreads = {}
+    for groups in (8192, 100):
+        monkeypatch.setattr(sharding, "BUCKET_GROUPS", groups)
+        rows = sharding.shard(docs, 7).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+        sums, homes = Counter(), defaultdict(set)
+        for r in rows:
+            sums[r["shard"]] += r["size"]
+            homes[texts[r["doc_id"]] or ""].add(r["shard"])
+        assert sorted(sums) == list(range(7)) and all(len(h) == 1 for h in homes.values())
+        spreads[groups] = max(sums.values()) - min(sums.values())
+    assert spreads[8192] < 20 and spreads[100] < 200, spreads
+
+
 def test_differencing_is_tighter_than_greedy():
     rng = np.random.default_rng(3)
     parts = np.zeros((300, 7), np.int64)
