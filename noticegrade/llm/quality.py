@@ -61,7 +61,10 @@ def _per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def statistics(column: pa.Array) -> np.ndarray:
-    """One row of ``STATISTICS`` for each whole text; an empty text has zeros and no_words = 1."""
+    """One row of ``STATISTICS`` for each whole text; an empty text has zeros and no_words = 1.
+
+    Words are the same if they differ in the case of A-Z only.
+    """
     data, limits = text_buffers(column)
     out = np.zeros((len(limits) - 1, len(STATISTICS)))
     for start, end in slices(limits):
