@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 
 from noticegrade.llm.words import small_batches
 
-#: Records of an archive file, at most.
+#: Bytes of an archive file, about, and the packs of records that make it up.
+FILE_BYTES, PACKS = 32 << 20, 128
+#: Records of an archive file that is compressed by the text writer, or not at all.
 FILE_RECORDS = 4000
+#: Rows that the reader hands on at a time.
+_ROWS_AT_ONCE = 500
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,25 +95,42 @@ def _member_of(value: str) -> bytes:
     return member[:-1]
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
-        members = [_member_of(value) for value in batch.column("value").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+def _packs(values: Iterator[str], most: int) -> Iterator[bytes]:
+    """The members of some records, gathered to packs of at most ``most`` bytes; a larger member is a pack of its own."""
+    pack, size = [], 0
+    for member in map(_member_of, values):
+        if pack and size + len(member) >= most:
+            yield b"\0".join(pack)
+            pack, size = [], 0
+        pack.append(member)
+        size += len(member) + 1
+    if pack:
+        yield b"\0".join(pack)
 
 
-def write_archives(pages: DataFrame, folder: str, compression: str = "gzip", least_bytes: int = 0) -> None:
-    """Write ``pages`` as archives of at most ``FILE_RECORDS`` records each below ``folder``.
+def write_archives(
+    pages: DataFrame, folder: str, compression: str = "gzip", least_bytes: int = 0, file_bytes: int = FILE_BYTES
+) -> None:
+    """Write ``pages`` as archives below ``folder``.
 
     With gzip every record is a member of its own, so damage in one leaves the others whole. The
-    text writer doesn't know of the members: their files are named as plain text. Any other
-    ``compression`` is the text writer's.
+    text writer doesn't know of the members: their files are named as plain text. A file has at
+    most ``PACKS`` packs of members, each of at most ``file_bytes / PACKS`` bytes or one member, so
+    only records larger than a pack make a file longer than ``file_bytes``. Any other
+    ``compression`` is the text writer's, with ``FILE_RECORDS`` records to a file.
     """
-    out, separator = records(pages, least_bytes), "\n"
+    out, separator, most = records(pages, least_bytes), "\n", FILE_RECORDS
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            packs = list(_packs((value.as_py() for value in batch.column("value")), file_bytes // PACKS))
+            yield pa.RecordBatch.from_arrays([pa.array(packs, pa.binary())], names=["value"])
+
     if compression == "gzip":
-        # what the writer puts between lines is the members' last byte
-        out, separator = out.mapInArrow(_members, "value binary").select(F.col("value").cast("string")), "\0"
+        # what the writer puts between lines is the packs' last byte
+        out, separator, most = out.mapInArrow(members, "value binary").select(F.col("value").cast("string")), "\0", PACKS
         compression = "none"
-    writer = out.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_RECORDS)
+    writer = out.write.option("lineSep", separator).option("maxRecordsPerFile", most)
     writer.option("compression", compression).text(folder)
 
 
@@ -270,10 +292,11 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> Da
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows = [row(path.as_py(), found) for found in salvage(content.as_py())]
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds + [pa.string()] * payload, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                name = path.as_py()
+                for part in batched((row(name, found) for found in salvage(content.as_py())), _ROWS_AT_ONCE):
+                    columns = zip(*part, strict=True)
+                    arrays = [pa.array(c, k) for c, k in zip(columns, kinds + [pa.string()] * payload, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     return files.mapInArrow(read, _ROWS + ", payload string" * payload)

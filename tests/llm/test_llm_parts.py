@@ -88,6 +88,20 @@ def test_damage_in_a_written_archive_costs_one_record(spark, tmp_path):
     assert sum(f.reason is None for f in warc.salvage(data)) == 199
 
 
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", "".join(chr(97 + (i * j * j + j) % 26) for j in range(30 * (i % 9)))) for i in range(900)]
+    rows.append((900, "http://a/large", "".join(chr(33 + hash((j, 7)) % 90) for j in range(30_000))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/a", file_bytes=128 * 900)
+    sizes = sorted(p.stat().st_size for p in tmp_path.glob("a/part-*"))
+    assert len(sizes) > 2 and sizes[-2] <= 128 * 900 and sizes[-1] < 128 * 900 + 31_000
+    got = warc.read_archives(spark, f"{tmp_path}/a", payload=True).collect()
+    assert sorted((r["page_id"], r["payload"]) for r in got if r["record_type"] == "response") == sorted(
+        (max(i for i, _, x in rows if x == text), text) for text in {x for *_, x in rows}
+    )
+    assert len(got) == 901 and all(r["gap"] is None for r in got)
+
+
 def test_members_of_any_length_end_alike():
     for n in (0, 5, 1 << 24):
         assert gzip.decompress(warc._member_of("x" * n) + b"\0") == b"x" * n + b"\n"
