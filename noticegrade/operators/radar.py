@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noticegrade import settings
 from noticegrade.functions import scalars as S
 from noticegrade.functions.skew import lookup_join
+from noticegrade.functions.storage import settle
 
 BASELINE_HOURS = 24
 
@@ -66,13 +67,14 @@ def fit_pattern_scorer(
     ``known`` has one row per domain with ``is_pirate``. The result is a table, so the
     vocabulary may be as large as it likes.
     """
-    counted = (
+    counted = settle(
         known.select("is_pirate", F.explode(naming_signals(F.col("domain"), tokens, suffixes)).alias("signal"))
         .groupBy("signal")
         .agg(
             F.count_if("is_pirate").alias("pirate_domains"),
             F.count_if(~F.col("is_pirate")).alias("other_domains"),
-        )
+        ),
+        "signals",
     )
     sums = counted.agg(
         F.struct(
