@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade import settings
+from noticegrade.functions.storage import settle
 from noticegrade.operators.backtest import noise_avoided, one_per_key, precision_at_k, rank_all
 from noticegrade.operators.explain import with_top_features
 from noticegrade.operators.profile import monthly_volume
@@ -31,10 +32,11 @@ def triage_view(
     """Every candidate with rank, value, reasons, whether it is above the cut line, and
     whether its score is low enough to be shown faded. Outcomes are not in the table; rows
     that repeat a candidate are reduced by ``one_per_key``."""
-    valued = with_value(one_per_key(candidates.drop(*OUTCOME_COLUMNS)))
+    valued = settle(with_value(one_per_key(candidates.drop(*OUTCOME_COLUMNS))), "valued")
     chosen = optimal_select(valued.select(*_selection_columns(cost)), budget, cost).select(
         *(F.col(k).alias(f"_s_{k}") for k in KEY), F.lit(1).alias("_taken")
     )
+    chosen = settle(chosen, "chosen")  # a few rows a step: known to be small before the join
     on = F.lit(True)
     for k in KEY:
         on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))

@@ -169,3 +169,19 @@ def test_both_routes_to_the_model_frame_agree(spark):
 
     slow = rows(M.model_frame_from_joined(joined))
     assert slow == rows(M.model_frame(domains, requests))
+
+
+def test_a_narrow_model_frame_is_part_of_the_whole(spark, make_requests, monkeypatch):
+    requests = make_requests({}, {"request_id": 7001, "date": "2021-03-20"})
+    named = [(7000, "live-hd.xyz", 3), (7001, "live-hd.xyz", 0), (9, "a.com", 1), (7001, None, 2)]
+    kept = [(*r, 4, 4 - r[2], 0, 0, r[2] / 4, False) for r in named]
+    counts = "urls_removed int, urls_specified long, urls_no_action int, urls_not_in_index int, urls_pending int"
+    domains = spark.createDataFrame(kept, f"request_id long, domain string, {counts}, removal_rate double, from_abuser boolean")
+    whole, written = M.model_frame(domains, requests), []
+    plain = M.settle
+    monkeypatch.setattr(M, "settle", lambda df, name: (written.extend(df.columns), plain(df, name))[1])
+    wanted = ["request_id", "domain", "request_no_action_ratio", "domain_historical_hit_rate", "tld_is_risky", "action"]
+    narrow = M.model_frame(domains, requests, wanted)
+    assert set(narrow.columns) == set(wanted)
+    assert sorted(narrow.select(wanted).collect(), key=str) == sorted(whole.select(wanted).collect(), key=str)
+    assert "reporting_org" not in written and "domain_urls_removed" not in written

@@ -288,3 +288,11 @@ def test_lead_times(spark):
     assert {r["domain"]: r["lead_days"] for r in leads.collect()} == {"a": 10, "b": -2}
     summary = B.lead_time_summary(leads).first()
     assert (summary["domains"], summary["flagged_ahead"], summary["lead_median"]) == (2, 1, 4.0)
+
+
+def test_ranks_move_no_row_after_the_ranges(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id"), F.lit("x").alias("wide"))
+    ranked = prefix.rank_within(df, ["g"], [F.col("id").desc()], "rank")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+    assert sorted(r["rank"] for r in ranked.where("g = 1").collect()) == list(range(1, 168))
