@@ -11,9 +11,11 @@ state. Lines that start outside start a record; only records of several lines ar
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,15 +50,49 @@ def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def _composed(lines: DataFrame) -> DataFrame:
-    """Adds the composition of the lines of a range up to each: ``set_to`` (null: none sets it) and ``swapped``."""
-    upto = Window.partitionBy("file", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    sets = F.col("out") == F.col("ins")
-    swaps = F.sum(F.when(~sets & (F.col("out") == 1), 1).otherwise(0)).over(upto)
-    lines = lines.withColumn("swaps", swaps)
-    last = F.last(F.when(sets, F.struct("out", "swaps")), ignorenulls=True).over(upto)
-    lines = lines.withColumn("last", last)
-    since = F.col("swaps") - F.coalesce(F.col("last.swaps"), F.lit(0))
-    return lines.withColumn("set_to", F.col("last.out")).withColumn("swapped", since % 2).drop("last", "swaps", "out", "ins")
+    """Adds what the lines of a range do to the state up to each line and before it, and the records begun.
+
+    ``set_to`` (null: none sets it) and ``swapped`` are the composition up to a line, ``set_before`` and
+    ``swapped_before`` that of the lines before; ``if_out`` and ``if_in`` count the lines of the range up to this
+    one that start a record, if the range is entered outside or inside. A task has its ranges' lines
+    in their order, so they are scanned as they are read and no line is moved.
+    """
+    kinds = "set_to int, swapped int, set_before int, swapped_before int, if_out long, if_in long"
+    carried = lines.drop("out", "ins")
+    return lines.mapInArrow(_scan, f"{', '.join(f'{c} {t}' for c, t in carried.dtypes)}, {kinds}")
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    here = None  # the range being read
+    set_to, swapped, begun = -1, 0, [0, 0]
+    for batch in batches:
+        names = [c for c in batch.schema.names if c not in ("out", "ins")]
+        start = batch.column("range").to_numpy()
+        file = batch.column("file").dictionary_encode().indices.to_numpy()
+        out, ins = batch.column("out").to_numpy(), batch.column("ins").to_numpy()
+        cuts = np.flatnonzero((start[1:] != start[:-1]) | (file[1:] != file[:-1])) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part = batch.slice(a, b - a)
+            if not part.num_rows:
+                continue
+            key = (part.column("file")[0].as_py(), int(start[a]))
+            if key != here:
+                here, set_to, swapped, begun = key, -1, 0, [0, 0]
+            o, s = out[a:b], ins[a:b]
+            sets = o == s
+            swaps = np.cumsum(~sets & (o == 1))
+            last = np.maximum.accumulate(np.where(sets, np.arange(len(o)), -1))
+            from_line = last >= 0
+            known = np.where(from_line, o[last], set_to)
+            odd = np.where(from_line, swaps - swaps[last], swaps + swapped) % 2
+            before = np.concatenate([[set_to], known[:-1]]), np.concatenate([[swapped], odd[:-1]])
+            starts = [np.where(before[0] < 0, state, before[0]) ^ before[1] == 0 for state in (0, 1)]
+            counts = [np.cumsum(x) + n for x, n in zip(starts, begun)]
+            set_to, swapped, begun = int(known[-1]), int(odd[-1]), [int(c[-1]) for c in counts]
+            columns = [pa.array(v.astype(np.int32), mask=v < 0) for v in (known, odd, *before)]
+            columns += [pa.array(c.astype(np.int64)) for c in counts]
+            more = ["set_to", "swapped", "set_before", "swapped_before", "if_out", "if_in"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=[*names, *more])
 
 
 def _after(set_to: Column, swapped: Column, state: Column) -> Column:
@@ -70,8 +106,7 @@ def _range_states(lines: DataFrame) -> DataFrame:
     One row for each range of a file, which is some hundred bytes for every 128 MB.
     """
     ends = lines.groupBy("file", "range").agg(
-        F.max_by(F.struct("set_to", "swapped"), "at").alias("whole"),
-        F.count_if(_starts(F.lit(0))).alias("if_out"), F.count_if(_starts(F.lit(1))).alias("if_in"),
+        F.max_by(F.struct("set_to", "swapped"), "at").alias("whole"), F.max("if_out").alias("if_out"), F.max("if_in").alias("if_in"),
     )
     per_file = ends.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("range", "whole", "if_out", "if_in"))).alias("ranges"))
     first = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("records"), F.array().cast("array<struct<range:long,state:int,records:long>>").alias("done"))
@@ -86,28 +121,19 @@ def _range_states(lines: DataFrame) -> DataFrame:
     return scanned.select("file", F.col("x.range").alias("range"), F.col("x.state").alias("state"), F.col("x.records").alias("records"))
 
 
-def _starts(state: Column) -> Column:
-    """Whether a line starts a record, if its range is entered in ``state``; from the composition before it."""
-    return _after(F.col("set_before"), F.coalesce("swapped_before", F.lit(0)), state) == 0
-
-
 def csv_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, record, text): every record of the files, headers included; ``record`` counts from 1 in a file.
 
     Blank records are left out, and so is a carriage return at a record's end.
     """
-    lines = _composed(_lines(spark, path))
-    order = Window.partitionBy("file", "range").orderBy("at")
-    lines = lines.withColumn("set_before", F.lag("set_to").over(order)).withColumn("swapped_before", F.lag("swapped").over(order))
-    lines = settle(lines, "lines")
-    placed = lines.join(_range_states(lines), ["file", "range"])
-    placed = placed.withColumn("starts", _starts(F.col("state")).cast("int"))
-    open_ = _after(F.col("set_to"), F.col("swapped"), F.col("state"))
-    placed = placed.withColumn("ends", open_ == 0)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = placed.select(
-        "file", "range", "at", "value", "starts", "ends", (F.col("records") + F.sum("starts").over(upto)).alias("record")
-    )
+    # read twice, which is less than to write the lines: first for the ranges' states alone
+    states = settle(_range_states(_composed(_lines(spark, path))), "ranges")
+    placed = _composed(_lines(spark, path)).join(states, ["file", "range"])
+    state = F.col("state")
+    placed = placed.withColumn("starts", (_after(F.col("set_before"), F.col("swapped_before"), state) == 0).cast("int"))
+    placed = placed.withColumn("ends", _after(F.col("set_to"), F.col("swapped"), state) == 0)
+    begun = F.when(state == 1, F.col("if_in")).otherwise(F.col("if_out"))
+    numbered = placed.select("file", "range", "at", "value", "starts", "ends", (F.col("records") + begun).alias("record"))
     whole = numbered.filter("starts = 1 and ends").select("file", "record", F.col("value").alias("text"))
     parts = numbered.filter("not (starts = 1 and ends)").groupBy("file", "record")
     joined = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "at", "value"))), lambda x: x["value"]), "\n").alias("text"))

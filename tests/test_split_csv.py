@@ -65,3 +65,12 @@ def test_gzip_is_one_range(spark, tmp_path):
     with gzip.open(tmp_path / "a.csv.gz", "wt") as file:
         file.write('a,b\n1,"two\nlines"\n')
     assert rows(read_split_csv(spark, str(tmp_path))) == Counter([("1", "two\nlines")])
+
+
+def test_whole_lines_are_not_moved(small_ranges, tmp_path):
+    spark = small_ranges
+    (tmp_path / "t.csv").write_text('a,b\n' + "".join(f'{k},"x"\n' for k in range(200)) + '9,"two\nlines"\n')
+    found = csv_records(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1  # only records of several lines meet
+    assert found.count() == 202
