@@ -183,3 +183,9 @@ def test_scored_output_ranks_selects_and_explains(spark, tmp_path):
         assert sorted((r["expected_value"] for r in step if r["selected"]), reverse=True) == valued[:20]
     kept = settle(spark.range(3), "few")
     assert kept.count() == 3 and discard(spark) > 0 and discard(spark) == 0
+
+
+def test_tree_rounds_keep_no_node_ids(spark):
+    rows = spark.createDataFrame([(float(k), k % 2) for k in range(40)], "a double, action int")
+    fit = Mo.TreeFit.fit(rows, Mo.Preparation({"a": 0.0}), ["a"], "action", {0: 20, 1: 20}, trees=2, seed=1)
+    assert not fit.model.getOrDefault("cacheNodeIds")
