@@ -17,9 +17,11 @@ def lookup_join(
 
     Adaptive execution splits the large partitions of the fact side, whatever their
     number, and broadcasts a lookup it has measured to be small. Null keys match only
-    with ``null_safe``.
+    with ``null_safe``; the keys' hash is compared first then, as rows sort faster by a number.
     """
     on = F.lit(True)
+    if null_safe and all(facts.schema[k].dataType == lookup.schema[k].dataType for k in keys):
+        on = F.xxhash64(*keys) == F.xxhash64(*(f"_k_{k}" for k in keys))
     for k in keys:
         a, b = F.col(k), F.col(f"_k_{k}")
         on = on & (a.eqNullSafe(b) if null_safe else a == b)

@@ -185,3 +185,39 @@ def test_a_narrow_model_frame_is_part_of_the_whole(spark, make_requests, monkeyp
     assert set(narrow.columns) == set(wanted)
     assert sorted(narrow.select(wanted).collect(), key=str) == sorted(whole.select(wanted).collect(), key=str)
     assert "reporting_org" not in written and "domain_urls_removed" not in written
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_domains_are_summed_by_request_where_they_lie(spark):
+    per_request = V.domains(spark, SF).groupBy("request_id").agg(F.sum("urls_removed"))
+    assert plan(per_request).count("hashpartitioning(request_id") == 1
+    assert "hashpartitioning(request_id#" in plan(per_request) and ", domain#" not in plan(per_request).split("hashpartitioning(")[1].split(")")[0]
+
+
+def test_the_frame_writes_what_both_histories_read(spark, make_requests, monkeypatch):
+    requests = make_requests({}, {"request_id": 7001, "date": "2021-03-20"})
+    counts = "urls_removed int, urls_specified long, urls_no_action int, urls_not_in_index int, urls_pending int"
+    rows = [(7000, "a.com", 1, 1, 0, 0, 0, 1.0, False), (7001, None, 0, 1, 1, 0, 0, 0.0, False)]
+    domains = spark.createDataFrame(rows, f"request_id long, domain string, {counts}, removal_rate double, from_abuser boolean")
+    written, plain = {}, M.settle
+    monkeypatch.setattr(M, "settle", lambda df, name: (written.update({name: df.columns}), plain(df, name))[1])
+    M.model_frame(domains, requests, ["request_id", "domain", "request_org_historical_hit_rate", "action"])
+    assert list(written) == ["weighted", "attached"]
+    assert "reporting_org" not in written["weighted"] and "request_urls_pending" not in written["weighted"]
+
+
+def test_history_is_looked_up_by_a_number_first(spark):
+    from noticegrade.functions.skew import lookup_join
+
+    facts = spark.createDataFrame([("a", 1), (None, 1), ("a", None), ("b", 2)], "g string, day int")
+    table = spark.createDataFrame([("a", 1, 10), (None, 1, 20), ("a", None, 30)], "g string, day int, v int")
+    out = lookup_join(facts.hint("merge"), table, ["g", "day"], null_safe=True)
+    assert {(r["g"], r["day"]): r["v"] for r in out.collect()} == {("a", 1): 10, (None, 1): 20, ("a", None): 30, ("b", 2): None}
+    assert "SortMergeJoin [xxhash64(" in plan(out)
+    # keys of another width still meet
+    wide = table.withColumn("day", F.col("day").cast("long"))
+    met = lookup_join(facts, wide, ["g", "day"], null_safe=True)
+    assert sorted(r["v"] for r in met.collect() if r["v"]) == [10, 20, 30]
