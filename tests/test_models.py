@@ -189,3 +189,32 @@ def test_tree_rounds_keep_no_node_ids(spark):
     rows = spark.createDataFrame([(float(k), k % 2) for k in range(40)], "a double, action int")
     fit = Mo.TreeFit.fit(rows, Mo.Preparation({"a": 0.0}), ["a"], "action", {0: 20, 1: 20}, trees=2, seed=1)
     assert not fit.model.getOrDefault("cacheNodeIds")
+
+
+def test_reasons_sort_without_a_compared_pair_at_a_time(spark):
+    rows = spark.createDataFrame([(1, -2.0, 2.0, 0.5, float("nan"))], "id int, a double, b double, c double, d double")
+    out = X.with_top_features(rows, {c: F.col(c) for c in "abc"})
+    assert [r["feature"] for r in out.first()["top_features"]] == ["a", "b", "c"]
+    assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scoring_by_a_given_model_writes_no_rows_that_no_step_reads(spark, tmp_path, monkeypatch):
+    from noticegrade.plans import registered, scoring
+    from noticegrade.sources import views as V
+
+    sf, written, plain = "/root/testdata/sf0.001", [], scoring.settle
+    monkeypatch.setattr(scoring, "settle", lambda df, name: (written.append(name), plain(df, name))[1])
+    model = registered._FixedModel()
+    frame = registered._frame(spark, sf)
+    out = scoring.run_scoring(spark, frame, str(tmp_path / "given"), cutoff=V.CUTOFF, train=lambda past, used: model)
+    assert written == ["valued", "chosen"]
+    assert out.count() == frame.where(F.col("date") >= V.CUTOFF).count() > 0
+
+
+def test_training_reads_written_rows(spark, monkeypatch):
+    from noticegrade.plans import scoring
+
+    seen = []
+    monkeypatch.setattr(scoring, "settle", lambda df, name: (seen.append(name), df)[1])
+    monkeypatch.setattr(scoring, "train_baseline", lambda past, used: used)
+    assert scoring.train_on_written(spark.range(3), ["a"]) == ["a"] and seen == ["past"]
