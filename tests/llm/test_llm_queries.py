@@ -157,6 +157,31 @@ def test_text_that_few_pages_share_stays(spark):
         assert got[i] == "\n".join(x for x in want if x), i
 
 
+def test_a_host_s_boilerplate_goes_from_marked_articles_too(spark):
+    advert = "Sign up for our weekly letter and read the best stories first"
+    quote, lead = "It was the best of times and the worst of times", "Nobody in the village had ever seen a ship this large"
+    story = lambda i: "".join(f"<p>{' '.join(f's{i}w{k}v{j}' for k in range(20 + j))}</p>" for j in range(2))
+    beside, title = f"<div class=newsletter><p>Hello</p><p>{advert}</p></div>", "The weather of the week in all parts"
+    pages = {}
+    for i in range(24):  # the advert stands beside every other article, and unmarked in the others; all pages list a title
+        inside = f"<h2>{title}</h2>{story(i)}<p>{quote}</p>" + ("" if i % 2 else f"<p>{advert}</p><p>{advert} and tell us of z{i}</p>")
+        pages[f"http://a.com/{i}"] = f"<nav>{title}</nav><article>{inside}</article>{beside if i % 2 else ''}<aside>{lead if i > 11 else quote if i < 9 else ''}</aside>"
+    # versions of one article, whose first words stand in the sidebar of others
+    pages |= {f"http://a.com/v{i}": f"<article><p>{lead}</p>{story(99)}<p>version {i}</p></article>" for i in range(9)}
+    pages |= {f"http://b.com/{i}": pages[f"http://a.com/{i}"] for i in range(2)}  # too few pages
+    rows = [(k, url, page) for k, (url, page) in enumerate(pages.items())]
+    rows += rows[:3]  # rows that repeat stay
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows)
+    for r in got:
+        article = re.search("<article>(.*)</article>", rows[r["page_id"]][2])[1]
+        want = [x for x in re.sub("<[^>]+>", "\n", article).split("\n") if x]
+        if rows[r["page_id"]][1].startswith("http://a.com"):
+            want = [x for x in want if x != advert]
+        assert r["text"] == "\n".join(want), rows[r["page_id"]][1]
+        assert (r["boilerplate"] is None) == (advert not in article or "b.com" in r["url"])
+
+
 def test_shards_are_whole_even_and_keep_groups(spark, texts):
     rows = result(spark, "op6_sharding")
     assert sorted(r["doc_id"] for r in rows) == list(texts)
