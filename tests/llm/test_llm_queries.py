@@ -157,6 +157,39 @@ def test_text_that_few_pages_share_stays(spark):
         assert got[i] == "\n".join(x for x in want if x), i
 
 
+def brute_repeats(rows, run, least, share):
+    """page_id -> starts of runs on enough distinct pages of the host; a page is (id, host, article, outside)."""
+    pages = {}
+    for _, host, article, _ in rows:
+        pages.setdefault(host, set()).add(article)
+    parts = {i: (host, article, [[" ".join(w[k : k + run]) for k in range(len(w) - run + 1)] for w in (article.split(), outside.split())]) for i, host, article, outside in rows}
+    on = {}
+    for host, article, streams in parts.values():
+        for words in (x for stream in streams for x in stream):
+            on.setdefault((host, words), set()).add(article)
+    enough = {x for x, found in on.items() if len(found) >= max(least, share * len(pages[x[0]]))}
+    return {i: sum((host, words) in enough for stream in streams for words in stream) for i, (host, _, streams) in parts.items()}
+
+
+@pytest.mark.parametrize("packed", [1 << 21, 50])
+def test_whole_streams_of_every_page_are_in_the_arrays(spark, monkeypatch, packed):
+    monkeypatch.setattr(extract, "PACKED", packed)
+    draw = np.random.default_rng(5)
+    phrases = [" ".join(f"{c}{k}" for k in range(9)) for c in "pqrstu"]
+    rows = []
+    for i in range(60):
+        said = [" ".join(f"z{x}" for x in draw.integers(0, 500, draw.integers(1, 9))) for _ in range(5)]
+        for k in draw.choice(len(phrases), draw.integers(0, 4), replace=False):
+            said.insert(int(draw.integers(0, 5)), phrases[k])  # within an article's blocks, not at their start
+        rows.append((i, f"h{i % 3 if i < 50 else 9 + i}", " ".join(["once", *said]), " ".join(draw.choice(phrases, draw.integers(0, 3)))))
+    rows += [(100 + i, *rows[i][1:]) for i in range(9)]  # copies are no other pages
+    pages = [(i, f"http://{host}/{i}", f"<nav>{outside}</nav><article><p>{article}</p></article>") for i, host, article, outside in rows]
+    got = extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = brute_repeats(rows, extract.RUN, extract.LEAST_PAGES, extract.SHARE)
+    assert {r["page_id"]: r["repeated"] for r in got} == want and sum(want.values()) > 300
+    assert {r["page_id"]: r["text"] for r in got} == {i: article for i, _, article, _ in rows}
+
+
 def test_a_host_s_boilerplate_goes_from_marked_articles_too(spark):
     advert = "Sign up for our weekly letter and read the best stories first"
     quote, lead = "It was the best of times and the worst of times", "Nobody in the village had ever seen a ship this large"
