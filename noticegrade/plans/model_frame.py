@@ -11,11 +11,13 @@ from noticegrade import settings
 from noticegrade.functions.storage import settle
 from noticegrade.operators.features import (
     add_domain_features,
+    add_naming_features,
     add_request_features,
     add_request_history,
     add_request_shape,
     make_label,
 )
+from noticegrade.operators.history import add_prior_rates
 from noticegrade.operators.joined import attach_context, domain_grain, request_context
 from noticegrade.operators.select import add_owner_weight
 
@@ -51,7 +53,7 @@ def model_frame(domains: DataFrame, requests: DataFrame, columns: Sequence[str]
 
     Organisation and owner history depend only on the request, so they are attached at
     request grain, weighting each request by its number of domain rows. That is what
-    the joined table would weight it by. Only then do the domains join. ``columns`` names
+    the joined table would weight it by. Only then do the domains join, which bring their own history. ``columns`` names
     the wanted ones (None: all); what they don't need is neither moved nor written.
     ``requests`` is read once, ``domains`` twice.
     """
@@ -68,24 +70,26 @@ def model_frame(domains: DataFrame, requests: DataFrame, columns: Sequence[str]
     weighted = settle(weighted, "weighted")
     # a request without domains has no rows in the joined table; weight 0 says the same
     context = add_request_history(weighted, "request_", "request_", weight="_domain_rows").drop("_domain_rows")
-    attached = attach_context(domain_grain(domains), context)
+    grain = domain_grain(domains)
     if columns is not None:
-        attached = attached.select(*(c for c in attached.columns if c in columns or c in _SOURCES))
-    # the one wide join, written once: domain history reads three of its columns. Equal names are put
+        grain = grain.select(*(c for c in grain.columns if c in columns or c in _SOURCES))
+        context = context.select(*(c for c in context.columns if c in columns or c in _SOURCES))
+    # a domain's history needs no more of the request than its day, so the rest meets the rows last: what is
+    # moved by domain, and written before as several steps read it, is short. Equal names are put
     # side by side and by day, so that they pack well here and where the rows are moved; one number for
     # both sorts faster than the names
+    dated = attach_context(grain, weighted.select("request_id", "date"))
     near = F.shiftleft(F.xxhash64("domain"), 16) + F.coalesce(F.unix_date("date"), F.lit(0))
-    attached = settle(attached.sortWithinPartitions(near), "attached")
-    dated = attached.transform(
-        lambda d: add_domain_features(
-            d, input_prefix="domain_", history_from=attached.select("domain", "date", "domain_removal_rate")
-        )
-    )
+    dated = settle(dated.sortWithinPartitions(near), "attached")
+    rates = [("domain", "domain_removal_rate", "domain_historical_hit_rate")]
+    known = add_prior_rates(dated, rates, history_from=dated.select("domain", "date", "domain_removal_rate")).drop("date")
+    attached = attach_context(known, context)
     # the request's shape last: its counts are shorter to move than its ratios
-    frame = add_request_shape(dated, "request_", "request_").transform(lambda d: make_label(d, target_col="domain_removal_rate"))
-    first = set(attached.columns)
-    shape = [c for c in frame.columns if c not in dated.columns and c != "action"]
-    order = [*attached.columns, *shape, *(c for c in dated.columns if c not in first), "action"]
+    named = add_naming_features(attached)
+    frame = add_request_shape(named, "request_", "request_").transform(lambda d: make_label(d, target_col="domain_removal_rate"))
+    shape = [c for c in frame.columns if c not in named.columns and c != "action"]
+    first = [*grain.columns, *(c for c in context.columns if c != "request_id")]
+    order = [*first, *shape, "domain_historical_hit_rate", *(c for c in named.columns if c not in attached.columns), "action"]
     return frame.select(*(c for c in order if columns is None or c in columns))
 
 
