@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrade import settings
+from noticegrade.functions.skew import lookup_join
 from noticegrade.functions.storage import settle
 from noticegrade.operators.features import (
     add_domain_features,
@@ -66,29 +67,30 @@ def model_frame(domains: DataFrame, requests: DataFrame, columns: Sequence[str]
     if columns is not None:
         read = {*columns, *_SOURCES, *_HISTORY_SOURCES, "_domain_rows"}
         weighted = weighted.select(*(c for c in weighted.columns if c in read))
-    # both histories and the rows they are attached to read it
-    weighted = settle(weighted, "weighted")
+    # both histories and the rows they are attached to read it; ids may repeat, so its rows are numbered
+    weighted = settle(weighted.withColumn("_request_row", F.monotonically_increasing_id()), "weighted")
     # a request without domains has no rows in the joined table; weight 0 says the same
     context = add_request_history(weighted, "request_", "request_", weight="_domain_rows").drop("_domain_rows")
     grain = domain_grain(domains)
     if columns is not None:
         grain = grain.select(*(c for c in grain.columns if c in columns or c in _SOURCES))
-        context = context.select(*(c for c in context.columns if c in columns or c in _SOURCES))
+        kept = {*columns, *_SOURCES, "_request_row"}
+        context = context.select(*(c for c in context.columns if c in kept))
     # a domain's history needs no more of the request than its day, so the rest meets the rows last: what is
     # moved by domain, and written before as several steps read it, is short. Equal names are put
     # side by side and by day, so that they pack well here and where the rows are moved; one number for
     # both sorts faster than the names
-    dated = attach_context(grain, weighted.select("request_id", "date"))
+    dated = attach_context(grain, weighted.select("request_id", "date", "_request_row"))
     near = F.shiftleft(F.xxhash64("domain"), 16) + F.coalesce(F.unix_date("date"), F.lit(0))
     dated = settle(dated.sortWithinPartitions(near), "attached")
     rates = [("domain", "domain_removal_rate", "domain_historical_hit_rate")]
     known = add_prior_rates(dated, rates, history_from=dated.select("domain", "date", "domain_removal_rate")).drop("date")
-    attached = attach_context(known, context)
+    attached = lookup_join(known, context, ["request_id", "_request_row"])
     # the request's shape last: its counts are shorter to move than its ratios
     named = add_naming_features(attached)
     frame = add_request_shape(named, "request_", "request_").transform(lambda d: make_label(d, target_col="domain_removal_rate"))
     shape = [c for c in frame.columns if c not in named.columns and c != "action"]
-    first = [*grain.columns, *(c for c in context.columns if c != "request_id")]
+    first = [*grain.columns, *(c for c in context.columns if c not in ("request_id", "_request_row"))]
     order = [*first, *shape, "domain_historical_hit_rate", *(c for c in named.columns if c not in attached.columns), "action"]
     return frame.select(*(c for c in order if columns is None or c in columns))
 

@@ -227,22 +227,22 @@ def test_the_model_frame_moves_no_request_columns_by_domain(spark, make_requests
     from noticegrade.plans import model_frame as frames
 
     written, settle = {}, frames.settle
-    monkeypatch.setattr(frames, "settle", lambda df, name: written.update({name: df.columns}) or settle(df, name))
-    requests = make_requests(*({"request_id": i, "date": f"2021-03-{10 + i}", "removal_rate": i / 5} for i in range(1, 5)), {"request_id": 9, "date": None})
-    rows = [(i, d, 10 * i, 4 * i, 0, 0, 0, i / 10, False) for i in (1, 2, 3, 4, 4, 8, 9, None) for d in ("a.no", "b.no", None)]
+    monkeypatch.setattr(frames, "settle", lambda df, name: (written.update({name: df.columns}), settle(df, name))[1])
+    requests = make_requests(*({"request_id": i, "date": f"2021-03-{10 + i}", "removal_rate": i / 5} for i in (1, 2, 2, 3, 4)), {"request_id": 9, "date": None})
+    rows = [(i, d, 10, 4, 0, 0, 0, (i or 0) / 10, False) for i in (1, 2, 3, 4, 4, 8, 9, None) for d in ("a.no", "b.no", None)]
     schema = "request_id long, domain string, urls_specified long, urls_removed int, urls_no_action int, urls_not_in_index int, urls_pending int, removal_rate double, from_abuser boolean"
     domains = spark.createDataFrame(rows, schema)
     got = frames.model_frame(domains, requests, columns=["request_id", "domain", "date", "request_org_historical_hit_rate", "domain_historical_hit_rate", "action"])
-    assert sorted(written["attached"]) == ["date", "domain", "domain_removal_rate", "request_id"]
+    assert sorted(written["attached"]) == ["_request_row", "date", "domain", "domain_removal_rate", "request_id"]
     found = got.collect()
-    assert len(found) == len(rows) and got.columns[:2] == ["request_id", "domain"]
+    assert len(found) == len(rows) + 3 and got.columns[:2] == ["request_id", "domain"]  # a request is listed twice
     days = {i: 10 + i for i in range(1, 5)}
     for r in found:
         i = r["request_id"]
-        earlier = [x for x in (1, 2, 3, 4, 4) if i in days and x < i]
+        earlier = [x for x in (1, 2, 2, 3, 4, 4) if i in days and x < i]
         want = sum(x / 10 for x in earlier) / len(earlier) if earlier else None
         assert r["domain_historical_hit_rate"] == (want if want is None else pytest.approx(want))
-        assert (r["date"] is None) == (i not in days) and r["action"] == 0
+        assert (r["date"] is None) == (i not in days) and r["action"] == ((i or 0) >= 5)
     whole = frames.model_frame(domains, requests).columns
     assert whole.index("domain_urls_removed") < whole.index("date") < whole.index("request_urls_log1p") < whole.index("domain_historical_hit_rate") < whole.index("tld")
 
